@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quillstone.llm.bpe import op10_bpe
+from quillstone.llm.quality import op8_quality
 from quillstone.llm.warc import ORACLE_OP1, op1_warc
 
-QUERIES = {"op1_warc": op1_warc}
+QUERIES = {"op1_warc": op1_warc, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
 ORACLES = {"op1_warc": ORACLE_OP1}
