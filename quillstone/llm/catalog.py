@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from quillstone.llm.bpe import op10_bpe
+from quillstone.llm.langid import op3_langid
+from quillstone.llm.mixing import ORACLE_OP4, op4_mixing
 from quillstone.llm.quality import op8_quality
+from quillstone.llm.urls import op6_urls
 from quillstone.llm.warc import ORACLE_OP1, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
-ORACLES = {"op1_warc": ORACLE_OP1}
+QUERIES = {"op1_warc": op1_warc, "op3_langid": op3_langid, "op4_mixing": op4_mixing, "op6_urls": op6_urls, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
+ORACLES = {"op1_warc": ORACLE_OP1, "op4_mixing": ORACLE_OP4}
