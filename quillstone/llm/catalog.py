@@ -7,8 +7,9 @@ from quillstone.llm.langid import op3_langid
 from quillstone.llm.mixing import ORACLE_OP4, op4_mixing
 from quillstone.llm.neardup import op5_neardup
 from quillstone.llm.quality import op8_quality
+from quillstone.llm.substrings import op7_substrings
 from quillstone.llm.urls import op6_urls
 from quillstone.llm.warc import ORACLE_OP1, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op3_langid": op3_langid, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_warc": op1_warc, "op3_langid": op3_langid, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_substrings": op7_substrings, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
 ORACLES = {"op1_warc": ORACLE_OP1, "op4_mixing": ORACLE_OP4}
