@@ -47,7 +47,7 @@ ROW_SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 def cell_bits(windows: int, most_cells: int = 1 << 29) -> int:
     """Bits of a cell number: about four cells a window."""
-    return min(most_cells.bit_length() - 1, max(SLICE_BITS, (4 * max(1, windows)).bit_length()))
+    return max(SLICE_BITS, min(most_cells.bit_length() - 1, (4 * max(1, windows)).bit_length()))
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def _undeltas(size: int, data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, f"u{size}").astype(np.int64))
 
 
-def partial_sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
+def partial_sketches(docs: DataFrame, width: int, bits: int, most_held: int = FLUSH) -> DataFrame:
     """(slice, once, more): cells of each slice that a flush of a task met once, and more than once."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def partial_sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
             w = Words(texts)
             held.append(w.runs(width, w.hashes())[1])
             n += len(held[-1])
-            if n >= FLUSH:
+            if n >= most_held:
                 yield from flush(held)
                 held, n = [], 0
         if n:
@@ -159,7 +159,7 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def candidates(docs: DataFrame, width: int, folder: str, bits: int, shards: int) -> DataFrame:
+def candidates(docs: DataFrame, width: int, folder: str, bits: int, shards: int, most_held: int = FLUSH) -> DataFrame:
     """ENTRY rows: windows to group exactly, and windows already decided, packed by hash range."""
 
     def pack(shard: int, decided: bool, doc, key, at, h1, h2) -> dict:
@@ -201,7 +201,7 @@ def candidates(docs: DataFrame, width: int, folder: str, bits: int, shards: int)
                 keys = batch.column(1).to_numpy(zero_copy_only=False)
                 held.append((ids[doc].astype(np.int64), keys[doc].astype(np.int64), at[use] - w.low[doc], h1[use], h2[use]))
                 n += len(use)
-            if n >= FLUSH:
+            if n >= most_held:
                 yield from flush(held)
                 held, n = [], 0
         if n:
@@ -252,7 +252,7 @@ def decide(entries: DataFrame, shards: int) -> DataFrame:
     return entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, "doc_id long, text_key long, spans binary")
 
 
-def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29, most_held: int = FLUSH) -> DataFrame:
     """All columns of docs, n_words, n_removed and kept_text (the words left, joined by one space)."""
     spark = docs.sparkSession
     shards = n_shards(spark)
@@ -260,8 +260,8 @@ def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29)
     windows = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = cell_bits(windows // 6, most_cells)
     folder = local_path(new_shared_path(spark, "window-sketch"))
-    merge_sketches(partial_sketches(docs, width, bits), folder)
-    decided = decide(candidates(keyed, width, folder, bits, shards), shards)
+    merge_sketches(partial_sketches(docs, width, bits, most_held), folder)
+    decided = decide(candidates(keyed, width, folder, bits, shards, most_held), shards)
     found = decided.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("__spans"))
     columns = docs.columns
     joined = keyed.join(found, ["doc_id", "text_key"], "left").select(*columns, "__spans")
