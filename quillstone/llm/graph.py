@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from quillstone.llm._shared import persisted
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, root) from (node, root) where each root is a node itself and chains end in a node that is its own root."""
+    while True:
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        jumped = persisted(parents.join(up, "root").select("node", F.col("root").alias("old"), F.col("further").alias("root")), "roots")
+        parents = jumped.select("node", "root")
+        if jumped.filter("old <> root").isEmpty():
+            return parents
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that can be reached, for each node of a link.
 
-    Each round takes the least label among neighbours and then the label's own label, so
-    the rounds grow with the logarithm of the longest path. Only (node, label) rows move;
-    least values are combined before the shuffle, and each round is written to the shared
+    Rounds of contraction: each node points to its least neighbour if that is smaller
+    (least values are combined before the shuffle), chains are shortened to their roots,
+    and links between roots go into the next round, which has fewer of them each time.
+    Joins give a row for each link or node at most. Each step is written to the shared
     folder, which cuts lineage and leaves plain exchanges that AQE can split where one
-    label holds many rows. No links give no rows.
+    root holds many rows. No links give no rows.
     """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b).alias("a"), F.col(a).alias("b")))
-    both = persisted(both.filter("a <> b").distinct(), "links")
-    labels = persisted(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
+    links = persisted(edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
+    found = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        hop = persisted(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "hop")
-        up = hop.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = persisted(hop.join(up, "component").select("node", "old", F.col("further").alias("component")), "labels")
-        labels = jumped.select("node", "component")
-        if jumped.filter("old <> component").isEmpty():
-            return labels
+        ends = links.select(F.col("a").alias("node"), F.col("a").alias("root")).union(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+        step = roots(persisted(ends.groupBy("node").agg(F.min("root").alias("root")), "parents"))
+        if found is None:
+            found = step
+        else:
+            new = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            found = persisted(found.join(new, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "found")
+        for side in ("a", "b"):
+            links = links.join(step.select(F.col("node").alias(side), F.col("root").alias(f"to_{side}")), side)
+        links = persisted(links.filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return found.withColumnRenamed("root", "component")

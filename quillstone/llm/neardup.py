@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, mix, range_hashes, unique_pairs
-from quillstone.llm._shared import blocks, persisted, table
+from quillstone.llm._shared import blocks, n_shards, persisted, table
 from quillstone.llm.graph import components
 
 K = 64
@@ -141,6 +141,7 @@ def compared(members: DataFrame, payload: str, test, name: str) -> DataFrame:
 def pairwise(cut: DataFrame, payload: str, test, name: str) -> DataFrame:
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", payload)
+    spread = spread.repartition(n_shards(cut.sparkSession), "grp", "i", "j")  # else all blocks of a group would share a task
 
     def task(block: pa.Table) -> pa.Table:
         ids = block.column("node").to_numpy()
