@@ -39,7 +39,7 @@ from quillstone.llm._shared import blocks, crc_mod, n_shards, new_shared_path, t
 from quillstone.llm.files import local_path
 
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 BIG = 255
 
 
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: NgramModel, keep: tuple[str, ...] = ("doc_id",
 
     def task(batches):
         r = reader(model)
-        for batch, texts in blocks(batches, "__text", 4 << 20):
+        for batch, texts in blocks(batches, "__text", 2 << 20):
             made = r.score(texts)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v) for v in made.values()]], [*keep, *made])
 
