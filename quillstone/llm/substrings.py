@@ -40,7 +40,7 @@ from quillstone.llm.files import local_path
 
 ROWS = 2
 SLICE_BITS = 22
-FLUSH = 2 << 20
+FLUSH = 1 << 19
 #: Odd multipliers that give each row its own cells. Fixed values.
 ROW_SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
