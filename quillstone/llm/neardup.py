@@ -86,8 +86,8 @@ def listed(classes: DataFrame, k: int, floor: int, share: float) -> DataFrame:
     return ranked.filter(F.col("at") <= F.col("held") - least + 1).select("node", "value")
 
 
-def forest(ids: np.ndarray, side: np.ndarray, linked: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links (id, least id of its connected part) of a symmetric matrix. With two sides, only links between them are in it."""
+def forest(ids: np.ndarray, linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (id, least id of its connected part) of a symmetric matrix; ids ascend."""
     n, label = len(ids), np.arange(len(ids))
     for i in range(n):
         if label[i] == i:
@@ -153,7 +153,7 @@ def pairwise(cut: DataFrame, payload: str, test, name: str) -> DataFrame:
         found = test(sets)
         if len(set(side.tolist())) > 1:
             found &= side[:, None] != side[None, :]
-        a, b = forest(ids[order], side, found)
+        a, b = forest(ids[order], found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return persisted(spread.groupBy("grp", "i", "j").applyInArrow(task, "a long, b long"), name)
