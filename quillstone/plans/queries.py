@@ -388,7 +388,7 @@ GROUPED = f"{SCAN}, {SEM}, {FUSED}, {WINDOW.format('fu')}, ev as (select query_i
 
 
 def evidence(spark, d):
-    first = fused(spark, d)
+    first = fused(spark, d).persist()  # ten rows a question, used three times
     u = units(spark, d)
     return first.withColumn("is_context", F.lit(False)).unionByName(retrieval.page_window(first, u, C.page_radius, C.similarity).withColumn("is_context", F.lit(True)))
 
@@ -502,7 +502,8 @@ CITED = "cited as (select * from refs where (query_id % 3 <> 0 and ref_id in (2,
 
 def references(spark, d):
     j = fused(spark, d).join(units(spark, d), "chunk_id")
-    return retrieval.ranked(j, ("query_id",), F.desc("score"), "chunk_id").select("query_id", F.col("rn").alias("ref_id"), "doc_name", "page", F.left("text", F.lit(C.snippet_chars)).alias("snippet"))
+    refs = retrieval.ranked(j, ("query_id",), F.desc("score"), "chunk_id").select("query_id", F.col("rn").alias("ref_id"), "doc_name", "page", F.left("text", F.lit(C.snippet_chars)).alias("snippet"))
+    return refs.persist()  # ten rows a question, used for cited and for uncited answers
 
 
 def said(spark, d):
