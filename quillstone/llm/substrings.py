@@ -15,7 +15,8 @@ Pass 2 takes only windows estimated repeated. Inside one flush of a task, equal
 of later documents are decided at once; the first one goes to the task of its hash range,
 which groups exactly by 128 bits and decides the rest. So a passage that a third of all
 documents share sends one entry per flush, not one per document. Decisions come back to
-the documents by id, packed, and the words are removed.
+the documents packed by buckets of ids, one row per document after that, and the words
+are removed.
 
 Defined results: null texts have no words; a null id is never earlier than another and
 loses nothing; rows of one id are not earlier than one another; equal rows get equal
@@ -159,12 +160,24 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
+def by_document(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> dict[str, bytes]:
+    """Windows packed with each document's id and text key once; rows of a document are together."""
+    edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+    return {"docs": np.stack([doc[edge], key[edge]]).astype(np.int64).tobytes(), "counts": np.diff(np.append(edge, len(doc))).astype(np.uint32).tobytes(), "at": at.astype(np.uint32).tobytes()}
+
+
+def opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, key and at of a packed row."""
+    count = np.frombuffer(r["counts"], np.uint32)
+    doc, key = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
+    return np.repeat(doc, count), np.repeat(key, count), np.frombuffer(r["at"], np.uint32).astype(np.int64)
+
+
 def candidates(docs: DataFrame, width: int, folder: str, bits: int, shards: int, most_held: int = FLUSH) -> DataFrame:
     """ENTRY rows: windows to group exactly, and windows already decided, packed by hash range."""
 
     def pack(shard: int, decided: bool, doc, key, at, h1, h2) -> dict:
-        edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-        return {"shard": shard, "decided": decided, "docs": np.stack([doc[edge], key[edge]]).astype(np.int64).tobytes(), "counts": np.diff(np.append(edge, len(doc))).astype(np.uint32).tobytes(), "at": at.astype(np.uint32).tobytes(), "h1": h1.tobytes(), "h2": h2.tobytes()}
+        return {"shard": shard, "decided": decided, **by_document(doc, key, at), "h1": h1.tobytes(), "h2": h2.tobytes()}
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, key, at, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -210,46 +223,72 @@ def candidates(docs: DataFrame, width: int, folder: str, bits: int, shards: int,
     return docs.filter("doc_id is not null").select("doc_id", "text_key", "text").mapInArrow(task, ENTRY)
 
 
-def decide(entries: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, text_key, spans): packed starts and lengths of runs of windows that an earlier document holds."""
+DECIDED = "bucket int, docs binary, counts binary, at binary"
 
-    def packed(doc, key, at) -> pa.RecordBatch:
-        order = np.lexsort((at, key, doc))
-        doc, key, at = doc[order], key[order], at[order]
-        edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else np.zeros(0, np.int64)
-        spans = [np.stack(_runs(at[lo:hi])).astype(np.uint32).tobytes() for lo, hi in zip(edge, [*edge[1:], len(doc)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(key[edge]), pa.array(spans, pa.binary())], ["doc_id", "text_key", "spans"])
-
-    def opened(r: dict) -> tuple:
-        count = np.frombuffer(r["counts"], np.uint32)
-        doc, key = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
-        return np.repeat(doc, count), np.repeat(key, count), np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["h1"], U), np.frombuffer(r["h2"], U)
 
-    def grouped(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+def decide(entries: DataFrame, shards: int) -> DataFrame:
+    """DECIDED rows: windows that an earlier document holds, packed by the hash of the document, at most one row per hash range and bucket."""
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (mix(doc.astype(U)) % U(shards)).astype(np.int64)
+        order = np.lexsort((at, key, doc, bucket))
+        doc, key, at, bucket = doc[order], key[order], at[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(shards + 1))
+        rows = [{"bucket": int(b), **by_document(*(x[cuts[b] : cuts[b + 1]] for x in (doc, key, at)))} for b in np.flatnonzero(np.diff(cuts))]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("docs", "counts", "at")]]))
+
+    def grouped(held: list[tuple], done: list[tuple]) -> Iterator[pa.RecordBatch]:
         if held:
             doc, key, at, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, h2, h1))
             new = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             use = order[doc[order] > least]
-            if len(use):
-                yield packed(doc[use], key[use], at[use])
+            done = [*done, (doc[use], key[use], at[use])]
+        if done and sum(len(x[0]) for x in done):
+            yield from packed(done)
 
     def task(batches):
-        now, held = None, []
+        now, held, done = None, [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["shard"] != now:
-                    yield from grouped(held)
-                    now, held = r["shard"], []
-                row = opened(r)
+                    yield from grouped(held, done)
+                    now, held, done = r["shard"], [], []
                 if r["decided"]:
-                    yield packed(*row[:3])
+                    done.append(opened(r))
                 else:
-                    held.append(row)
-        yield from grouped(held)
+                    held.append((*opened(r), np.frombuffer(r["h1"], U), np.frombuffer(r["h2"], U)))
+        yield from grouped(held, done)
+
+    return entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, DECIDED)
+
+
+def gather(decided: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, text_key, spans): one row per document, with starts and lengths of its runs of windows."""
+
+    def spans(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, key, doc))
+        doc, key, at = doc[order], key[order], at[order]
+        edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+        made = [np.stack(_runs(np.unique(at[lo:hi]))).astype(np.uint32).tobytes() for lo, hi in zip(edge, [*edge[1:], len(doc)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(key[edge]), pa.array(made, pa.binary())], ["doc_id", "text_key", "spans"])
+
+    def task(batches):
+        now, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != now:
+                    if held:
+                        yield from spans(held)
+                    now, held = r["bucket"], []
+                held.append(opened(r))
+        if held:
+            yield from spans(held)
 
-    return entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, "doc_id long, text_key long, spans binary")
+    return decided.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc_id long, text_key long, spans binary")
 
 
 def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29, most_held: int = FLUSH) -> DataFrame:
@@ -262,7 +301,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29,
     folder = local_path(new_shared_path(spark, "window-sketch"))
     merge_sketches(partial_sketches(docs, width, bits, most_held), folder)
     decided = decide(candidates(keyed, width, folder, bits, shards, most_held), shards)
-    found = decided.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("__spans"))
+    found = gather(decided, shards).withColumnRenamed("spans", "__spans")
     columns = docs.columns
     joined = keyed.join(found, ["doc_id", "text_key"], "left").select(*columns, "__spans")
 
@@ -271,9 +310,9 @@ def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29,
             w = Words(texts)
             spans = batch.column(len(columns)).to_pylist()
             gone = np.zeros(len(w.start) + 1, np.int64)
-            for i, some in enumerate(spans):
-                for s in some or ():
-                    start, n = np.frombuffer(s, np.uint32).astype(np.int64).reshape(2, -1)
+            for i, packed in enumerate(spans):
+                if packed:
+                    start, n = np.frombuffer(packed, np.uint32).astype(np.int64).reshape(2, -1)
                     np.add.at(gone, w.low[i] + start, 1)
                     np.add.at(gone, w.low[i] + start + n + width - 1, -1)
             gone = np.cumsum(gone[:-1]) > 0
