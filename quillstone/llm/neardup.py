@@ -6,15 +6,17 @@
    Jaccard t or more shares at least ``floor`` of its k retained values, so a class is
    listed only under its ``size - floor + 1`` rarest values, values that nobody shares
    counting first. Most classes vanish here.
-3. Classes that lists connect form groups. A group is cut into blocks of about BLOCK
-   classes; a task takes two blocks and compares all their sketches by matrix products,
-   with the estimate of the union sketch as a filter, and returns only a forest of the
-   connections that pass. These give finer groups.
-4. The same is done with the full sets: exact intersection and union sizes, as integers.
-   Again only a forest of the true links leaves a task; components follow from it.
-
-Pairs are never rows: a group of g copies gives fewer than g rows a block pair. No cap
-is set on lists, groups or partners. A link is lost only if a sketch misleads: for k=64
+3. Each class is compared exactly with the class that heads most of its lists, and with
+   the others in its block of about BLOCK followers. That is linear in the size of a
+   group and joins nearly all copies of one text.
+4. Classes that lists connect form groups. Where a group still holds several components,
+   blocks of classes of different components are compared: first their sketches, with the
+   estimate of the union sketch as a filter, then, within the finer groups that pass, the
+   full sets, exactly. The largest component's blocks never meet one another.
+5. Comparisons are matrix products over a block pair. Only a forest of the links leaves a
+   task; components follow from the forests.
+
+Pairs are never rows. No cap is set on lists, groups or partners. A link is lost only if a sketch misleads: for k=64
 and floor=28, a pair at exactly 0.8 has less than 28 of 64 shared values with a chance
 below 2e-9 (Chernoff), less for likelier pairs; sets of up to k shingles are exact.
 
@@ -130,18 +132,42 @@ def estimated(values: list[np.ndarray], k: int) -> np.ndarray:
     return both / np.maximum(1, upto + upto.T - both)
 
 
-def compared(members: DataFrame, payload: str, test, name: str) -> DataFrame:
-    """Links (a, b) that ``test`` finds among the members of each group, from (grp, node, payload array)."""
-    counts = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
-    cut = members.join(counts, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    return pairwise(cut, payload, test, name)
+def star_blocks(lists: DataFrame) -> DataFrame:
+    """(grp, own, lo, hi, node, comp): each class with the class that heads most of its lists, in blocks that all hold that head.
 
+    A head with g followers makes about g / BLOCK blocks and g + g / BLOCK rows.
+    """
+    heads = persisted(lists.groupBy("value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
+    met = lists.join(heads, "value").filter("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    star = persisted(met.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("fewer"), "head")).alias("x")).select("node", "x.head"), "star")
+    parts = persisted(star.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    members = star.join(parts, "head").select(F.col("head").alias("grp"), own.alias("own"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "node", F.col("node").alias("comp"))
+    return members.unionByName(parts.select(F.col("head").alias("grp"), F.lit(-1).alias("own"), F.lit(0).alias("lo"), (F.col("parts") - 1).alias("hi"), F.col("head").alias("node"), F.col("head").alias("comp")))
 
-def pairwise(cut: DataFrame, payload: str, test, name: str) -> DataFrame:
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", payload)
-    spread = spread.repartition(n_shards(cut.sparkSession), "grp", "i", "j")  # else all blocks of a group would share a task
+
+def cross_blocks(state: DataFrame) -> DataFrame:
+    """(grp, own, lo, hi, node, comp) for the groups of (grp, node, comp) that hold more than one component.
+
+    Blocks of the largest component meet only blocks of the rest, so a group that one
+    component fills almost wholly costs hardly more than its size.
+    """
+    sizes = persisted(state.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
+    split = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
+    most = F.ceil(F.col("top.n") / BLOCK).cast("int")
+    split = persisted(split.select("grp", F.col("top.comp").alias("main"), rest.alias("rest"), most.alias("most")), "split-groups")
+    inside = F.col("comp") == F.col("main")
+    own = F.when(inside, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    hi = F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    return state.join(split, "grp").select("grp", own.alias("own"), F.lit(0).alias("lo"), hi.alias("hi"), "node", "comp")
+
+
+def compared(rows: DataFrame, payload: str, test, name: str, cross: bool = True) -> DataFrame:
+    """Links (a, b) that ``test`` finds between components, block by block; ``cross``: only between the two blocks of a pair."""
+    spread = rows.withColumn("other", F.explode(F.sequence("lo", "hi")))
+    spread = spread.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", payload)
+    spread = spread.repartition(n_shards(rows.sparkSession), "grp", "i", "j")  # else all blocks of a group would share a task
 
     def task(block: pa.Table) -> pa.Table:
         ids = block.column("node").to_numpy()
@@ -149,9 +175,9 @@ def pairwise(cut: DataFrame, payload: str, test, name: str) -> DataFrame:
         column = block.column(payload).combine_chunks()
         flat, offsets = column.values.to_numpy().view(U), column.offsets.to_numpy()
         sets = [flat[offsets[r] : offsets[r + 1]] for r in order]
-        side = block.column("own").to_numpy()[order]
-        found = test(sets)
-        if len(set(side.tolist())) > 1:
+        comp, side = block.column("comp").to_numpy()[order], block.column("own").to_numpy()[order]
+        found = test(sets) & (comp[:, None] != comp[None, :])
+        if cross and (side != side[0]).any():
             found &= side[:, None] != side[None, :]
         a, b = forest(ids[order], found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -159,46 +185,66 @@ def pairwise(cut: DataFrame, payload: str, test, name: str) -> DataFrame:
     return persisted(spread.groupBy("grp", "i", "j").applyInArrow(task, "a long, b long"), name)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, floor: int = FLOOR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
-    made = persisted(sketches(docs, width, k), "sketches")
-    filled = made.filter("n_shingles > 0 and doc_id is not null")
-    keys = ["n_shingles", "d1", "d2"]
-    classes = persisted(filled.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = persisted(listed(classes, k, floor, percent / 100), "lists")
-    hubs = lists.groupBy("value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    coarse = components(lists.join(persisted(hubs, "hubs"), "value").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = coarse.withColumnRenamed("component", "grp")
-    likely = compared(members.join(classes.select("node", "sketch"), "node"), "sketch", lambda sets: estimated(sets, k) >= floor / k, "likely")
-    groups = persisted(components(likely).withColumnRenamed("component", "grp"), "groups")
-
-    counts = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
-    cut = groups.join(counts, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cut = persisted(cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumnRenamed("node", "doc_id"), "members")
-    small = cut.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(cut) if small else cut, "doc_id")
-
-    def full_sets(batches):
+def with_full_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Rows with the whole shingle set of each node's text. Rows are broadcast up to BROADCAST_ROWS of them, else joined by shuffle."""
+    rows = persisted(rows, "set-rows")
+    small = rows.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(rows) if small else rows, "node")
+
+    def task(batches):
         for batch, some in blocks(batches, "text"):
             doc, run = shingle_sets(some, width)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(some))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(offsets), pa.array(run.view(np.int64)))], ["grp", "node", "parts", "own", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(run.view(np.int64)))], ["grp", "own", "lo", "hi", "node", "comp", "shingles"])
+
+    return texts.select("grp", "own", "lo", "hi", "node", "comp", "text").mapInArrow(task, "grp long, own int, lo int, hi int, node long, comp long, shingles array<long>")
 
-    sets = texts.select("grp", F.col("doc_id").alias("node"), "parts", "own", "text").mapInArrow(full_sets, "grp long, node long, parts int, own int, shingles array<long>")
+
+def in_components(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(grp, node, comp) of (grp, node): the component found so far, else the node itself."""
+    return persisted(groups.join(found, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp")), "state")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, floor: int = FLOOR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
 
     def linked(values: list[np.ndarray]) -> np.ndarray:
         size = np.array([len(v) for v in values], np.int64)
         both = overlaps(values)
         return 100 * both >= percent * (size[:, None] + size[None, :] - both)
 
-    links = pairwise(sets, "shingles", linked, "links")
-    found = components(links).select(F.col("node").alias("least"), F.col("component").alias("joined"))
+    def likely(values: list[np.ndarray]) -> np.ndarray:
+        return estimated(values, k) >= floor / k
+
+    made = persisted(sketches(docs, width, k), "sketches")
+    filled = made.filter("n_shingles > 0 and doc_id is not null")
+    keys = ["n_shingles", "d1", "d2"]
+    classes = persisted(filled.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch")), "classes")
+    lists = persisted(listed(classes, k, floor, percent / 100), "lists")
+    stars = persisted(star_blocks(lists), "stars")
+    near = compared(with_full_sets(stars, docs, width), "shingles", linked, "star-links", cross=False)
+    first = components(near)
+
+    coarse = components(stars.filter("own >= 0").select(F.col("node").alias("a"), F.col("grp").alias("b")).unionByName(list_links(lists)))
+    state = in_components(coarse.withColumnRenamed("component", "grp"), first)
+    sketched = cross_blocks(state).join(classes.select("node", "sketch"), "node")
+    maybe = compared(sketched, "sketch", likely, "likely")
+    fine = components(maybe.unionByName(state.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b"))).withColumnRenamed("component", "grp")
+    more = compared(with_full_sets(cross_blocks(in_components(fine, first)), docs, width), "shingles", linked, "links")
+
+    found = components(near.unionByName(more)).select(F.col("node").alias("least"), F.col("component").alias("joined"))
     repeated = persisted(classes.filter("n > 1").select(*keys, F.col("node").alias("class")), "repeated")
     rows = made.select("doc_id", *keys).join(repeated, keys, "left").withColumn("least", F.coalesce("class", "doc_id"))
     rows = rows.join(found, "least", "left").withColumn("component_id", F.coalesce("joined", "least"))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def list_links(lists: DataFrame) -> DataFrame:
+    """(a, b): each class of a list and the list's least class; a class that leads all of its lists has none."""
+    least = persisted(lists.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "least-of-lists")
+    return lists.join(least, "value").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the least of their component; of rows that repeat an id, the one with the least text."""
     kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
