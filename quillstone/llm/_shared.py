@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,9 +12,22 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_SHARED = "/tmp/checkpoints/quillstone"
+ROWS_AT_ONCE = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _give_memory_back() -> None:
+    """Freed arrays of 1 MB or more go back to the system at once, so that reused workers stay small. glibc only."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (AttributeError, OSError):
+        pass
+
+
+_give_memory_back()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -54,15 +68,26 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def selected(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
+    """The ``keep`` columns, and the text once: its name where it is kept, else ``__text`` after them."""
+    if text in keep:
+        return df.select(*keep), text
+    return df.select(*keep, df[text].alias("__text")), "__text"
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows in order, in pieces of about ``most`` bytes of ``column``; a longer text is a piece of its own. Nulls count as empty."""
-    for batch in batches:
-        texts = [x or b"" for x in utf8(batch.column(batch.schema.get_field_index(column)))]
-        start = size = 0
-        for i, x in enumerate(texts):
-            if size and size + len(x) > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(x)
-        if start < len(texts):
+    """Rows in order, in pieces of about ``most`` bytes of ``column``; a longer text is a piece of its own. Nulls count as empty.
+
+    Only ROWS_AT_ONCE texts of a batch are held as Python objects at a time.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            texts = [x or b"" for x in utf8(batch.column(batch.schema.get_field_index(column)))]
+            start = size = 0
+            for i, x in enumerate(texts):
+                if size and size + len(x) > most:
+                    yield batch.slice(start, i - start), texts[start:i]
+                    start, size = i, 0
+                size += len(x)
             yield batch.slice(start), texts[start:]

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm._shared import blocks, table
+from quillstone.llm._shared import blocks, selected, table
 
 LEAF = 1 << 16
 AGREE = 2
@@ -152,9 +152,11 @@ KINDS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int
 def transcode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), want: tuple[str, ...] = ("n_tokens", "ids"), text: str = "text", leaf: int = LEAF) -> DataFrame:
     """The ``keep`` columns and what ``want`` names: n_tokens, ids, decoded, ids_sha256, decoded_sha256."""
 
+    rows, column = selected(df, keep, text)
+
     def task(batches):
         c = codec(path, leaf)
-        for batch, texts in blocks(batches, "__text", 4 << 20):
+        for batch, texts in blocks(batches, column, 4 << 20):
             made: dict[str, list] = {w: [] for w in want}
             for x in texts:
                 ids = c.encode(x.decode("utf-8", "replace"))
@@ -174,7 +176,7 @@ def transcode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), wan
 
     fields = df.select(*keep).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} {KINDS[w][0]}" for w in want])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def vocabulary() -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import LOWER
-from quillstone.llm._shared import blocks, crc_mod, table
+from quillstone.llm._shared import blocks, crc_mod, selected, table
 
 UND = "und"
 BITS = 12
@@ -192,14 +192,16 @@ def fit(docs: DataFrame, per_lang: int = 300, most_langs: int = 100) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns, lang_pred and score."""
 
+    rows, column = selected(docs, keep, text)
+
     def task(batches):
-        for batch, texts in blocks(batches, "__text"):
+        for batch, texts in blocks(batches, column):
             lang, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = docs.select(*keep).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

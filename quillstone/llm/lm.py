@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm._kernels import U, Words, mix
-from quillstone.llm._shared import blocks, crc_mod, n_shards, new_shared_path, table
+from quillstone.llm._shared import blocks, crc_mod, n_shards, new_shared_path, selected, table
 from quillstone.llm.files import local_path
 
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -287,14 +287,16 @@ def reader(model: NgramModel) -> Reader:
 def score(docs: DataFrame, model: NgramModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns, n_tokens, n_known, base_score and score; perplexity is 10 ** (-score / n_tokens)."""
 
+    rows, column = selected(docs, keep, text)
+
     def task(batches):
         r = reader(model)
-        for batch, texts in blocks(batches, "__text", 2 << 20):
+        for batch, texts in blocks(batches, column, 2 << 20):
             made = r.score(texts)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v) for v in made.values()]], [*keep, *made])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_tokens long, n_known long, base_score double, score double"])
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, by_text, mix, range_hashes, unique_pairs
-from quillstone.llm._shared import blocks, table
+from quillstone.llm._shared import blocks, selected, table
 
 SYMBOLS = b"#*$%&|<>"
 _IS = {name: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for name, chars in {"symbol": SYMBOLS, "digit": b"0123456789", "upper": bytes(range(65, 91)), "stop": b".!?"}.items()}
@@ -68,13 +68,15 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
 def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns and STATS."""
 
+    rows, column = selected(docs, keep, text)
+
     def task(batches):
-        for batch, texts in blocks(batches, "__text"):
+        for batch, texts in blocks(batches, column):
             made = text_stats(texts)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(made[s]) for s in STATS], [*keep, *STATS])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{s} long" for s in STATS])
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def features() -> dict[str, Column]:
