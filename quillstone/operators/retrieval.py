@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000) -> DataFrame:
+def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000, least: int | None = None) -> DataFrame:
     """(query_id, chunk_id, n_found, score) over (chunk_id, text) and (query_id, toks array).
 
     Substring matches: full phrase of two or more tokens .75, all tokens .65, three
-    quarters of three or more .60, half of two or more .55. One automaton holds the
+    quarters of three or more .60, half of two or more .55. With ``least``, so many found
+    tokens make a hit whatever their share (score 0 below one half). One automaton holds the
     distinct tokens and phrases of up to ``block`` queries, so a text is read once for
     all of them, and found tokens become scores by one matrix product per batch.
     """
@@ -54,7 +55,7 @@ def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000) -> Da
                     score = np.select([ratio == 1, (ratio >= 0.75) & (n >= 3), (ratio >= 0.5) & (n >= 2)], [0.65, 0.60, 0.55], 0.0)
                     full = (phrase >= 0) & (hit[:, np.maximum(phrase, 0)] > 0)
                     score = np.where(full, 0.75, score)
-                    r, q = np.nonzero(score)
+                    r, q = np.nonzero(score if least is None else (score > 0) | (count >= least))
                     chunk = b.column(0).to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[r], pa.int64()), pa.array(count[r, q].astype(np.int64)), pa.array(score[r, q])], ["query_id", "chunk_id", "n_found", "score"])
 

@@ -457,8 +457,8 @@ def lexical_fallback(spark, d):
 
 
 def keyword_all(spark, d):
-    """Two or more of at most four tokens: at least half, so the scan has them all."""
-    return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block).filter("n_found >= 2")
+    """Two or more tokens, however many the question has."""
+    return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block, least=2).filter("n_found >= 2")
 
 
 @query(f"""with {ASKED}, k as (select 'a' as intent, 'the|of' as pattern, 'definite genitive' as extra union all select 'b', 'und|der', 'german' union all select 'c', 'que|de', 'romance')
