@@ -20,10 +20,11 @@ SURE = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language, and texts that are surely not in the language they declare."""
+    """Drop texts without a language, and texts that are surely not in the language they declare, if the model has learned that one."""
     model = langid.fit(docs)
     judged = langid.predict(docs, model, keep=tuple(docs.columns))
-    found = (F.col("lang_pred") != langid.UND) & (F.col("lang").isNull() | (F.col("lang_pred") == F.col("lang")) | (F.col("score") < SURE))
+    agrees = F.col("lang").isNull() | ~F.col("lang").isin(model.langs) | (F.col("lang_pred") == F.col("lang")) | (F.col("score") < SURE)
+    found = (F.col("lang_pred") != langid.UND) & agrees
     return judged.filter(found).select(*docs.columns)
 
 

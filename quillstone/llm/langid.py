@@ -7,7 +7,8 @@ for each pair of languages votes. Only whole texts are read, in training and in
 prediction; ``lang``, ``source`` and the id never enter a prediction.
 
 Training uses a bounded sample, ``per_lang`` documents a language (300 by default),
-drawn by the hash of the id from the rows that are allowed. The model is a matrix of
+drawn by the hash of the id from the rows that are allowed. Every language is learned:
+where there are many, ``most_rows`` rows are divided among them. The model is a matrix of
 (families + pairs) x (bins + 1) floats and goes out with the task.
 
 Defined results: null text, and text without a letter, gives ``und`` with score 0; so
@@ -31,6 +32,8 @@ UND = "und"
 BITS = 12
 BINS = 1 << BITS
 PIECE = 1 << 22
+#: Expected rows of a language with more: none is drawn with a chance of e**-20.
+LEAST_ROWS = 20
 #: Families of common ISO 639-1 codes. Fixed values.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
@@ -151,22 +154,23 @@ class Model:
         return [self.langs[p] if k else UND for p, k in zip(pick, known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit(docs: DataFrame, per_lang: int = 300, most_langs: int = 100) -> Model:
-    """Learn from rows of (doc_id, text, lang): at most ``per_lang`` of each of the ``most_langs`` commonest languages."""
+def fit(docs: DataFrame, per_lang: int = 300, most_rows: int = 30_000) -> Model:
+    """Learn every language of (doc_id, text, lang): about ``per_lang`` rows of each, less where they would be over ``most_rows`` in all, but never under LEAST_ROWS."""
     rows = docs.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model()
-    h, chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)), None
-    for r in counts:
-        chance = (F if chance is None else chance).when(F.col("lang") == r["lang"], F.lit(int(min(1.0, per_lang / r["count"]) * (1 << 30))))
+    each = min(per_lang, max(LEAST_ROWS, most_rows // len(counts)))
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in counts], "lang string, share long")
 
     def task(batches):
         for batch, texts in blocks(batches, "text"):
             keep = [i for i, x in enumerate(texts) if has_letter(x)]
             yield pa.RecordBatch.from_pydict({"key": pa.array([batch.column(2)[i].as_py() for i in keep], pa.int64()), "lang": pa.array([batch.column(1)[i].as_py() for i in keep], pa.string()), "x": pa.array([profile(texts[i]).tobytes() for i in keep], pa.binary())})
 
-    got = rows.filter(h < chance).select("text", "lang", h.alias("key")).mapInArrow(task, "key long, lang string, x binary").collect()
+    drawn = rows.join(F.broadcast(shares), "lang").filter(h < F.col("share"))
+    got = drawn.select("text", "lang", h.alias("key")).mapInArrow(task, "key long, lang string, x binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["key"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), BINS)
     lang = np.array([r["lang"] for r in got])
