@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from quillstone.llm._kernels import U, Words, mix, range_hashes, unique_pairs
 from quillstone.llm._shared import blocks, n_shards, persisted, table
 from quillstone.llm.graph import components
+from quillstone.operators.maintenance import with_next_ids
 
 K = 64
 FLOOR = 28
@@ -245,12 +246,30 @@ def list_links(lists: DataFrame) -> DataFrame:
     return lists.join(least, "value").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """Adds __key, one for each id and text: the id for the text of least digest, a number beyond all ids for its other texts and for texts without an id."""
+    named = F.col("doc_id").isNotNull()
+    marked = docs.withColumn("__digest", F.coalesce(F.md5("text"), F.lit("")))
+    texts = persisted(marked.select("doc_id", "__digest").distinct(), "texts")
+    first = texts.filter(named).groupBy("doc_id").agg(F.min("__digest").alias("__first"))
+    other = texts.filter(named).join(first, "doc_id").filter("__digest <> __first").drop("__first").unionByName(texts.filter(~named))
+    new = persisted(with_next_ids(other, texts.select(F.col("doc_id").alias("chunk_id")), ["doc_id", "__digest"]), "keys")
+    new = new.select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__of"), F.col("chunk_id").alias("__new"))
+    both = marked.join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
+    return persisted(both.select(*docs.columns, F.coalesce("__new", "doc_id").alias("__key")), "keyed")
+
+
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the least of their component; of rows that repeat an id, the one with the least text."""
-    kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = W.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    with_id = docs.join(kept, "doc_id", "left_semi").withColumn("__at", F.row_number().over(first)).filter("__at = 1").select(*docs.columns)
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    """One row of docs for each component: that of the least id. Unlike texts of one id, and texts without an id, are documents of their own; texts without words and id all stay."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    keyed = with_keys(docs)
+    made = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent)
+    kept = made.filter("kept").select(F.col("doc_id").alias("__key"), F.col("n_shingles").alias("__n")).distinct()
+    rows = persisted(keyed.join(kept, "__key"), "kept-rows")
+    free = F.col("doc_id").isNull() & (F.col("__n") == 0)
+    return rows.filter(~free).dropDuplicates(["__key"]).unionByName(rows.filter(free)).select(*docs.columns)
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Jobs done whole: results that a cut would lose."""
 
 import corpus_pipeline as P
-from quillstone.llm import langid
+from quillstone.llm import langid, neardup
 
 
 def made(i: int, words: str, lang: str):
@@ -30,3 +30,14 @@ def test_language_not_learned_is_kept(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda docs: whole(docs.filter("doc_id < 200")))
     kept = {r.doc_id for r in P.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
     assert 200 in kept and 201 not in kept
+
+
+def test_texts_of_one_id_and_of_none_are_documents(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (1, b), (1, a + " end"), (2, a), (3, b), (4, e), (4, e), (None, c), (None, c), (None, c + " end"), (None, d), (None, e), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at int").repartition(3)
+    kept = neardup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    groups = sorted(r.text.removesuffix(" end") for r in kept.collect())
+    assert groups == ["", "", a, b, c, d, e]
+    assert {r.doc_id for r in kept.collect() if r.text in (c, c + " end", d)} == {None}
