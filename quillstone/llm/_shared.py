@@ -5,19 +5,25 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only where one machine does everything (a local master) and the session names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints/quillstone"
 ROWS_AT_ONCE = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _give_memory_back() -> None:
-    """Freed arrays of 1 MB or more go back to the system at once, so that reused workers stay small. glibc only."""
+#: Folders written by this process, for ``clear_scratch``.
+_scratch: list[str] = []
+
+
+@lru_cache(1)
+def give_memory_back() -> None:
+    """In a Python worker: freed arrays of 1 MB or more go back to the system at once, so that reused workers stay small. glibc only."""
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
@@ -25,20 +31,33 @@ def _give_memory_back() -> None:
         pass
 
 
-_give_memory_back()
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         root = LOCAL_SHARED
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
+    """Delete the folders written since mark ``since`` (a length of the list so far), but for ``keep``. For results that are written already."""
+    for path in [p for p in _scratch[since:] if p not in keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scratch.remove(path)
+
+
+def scratch_mark() -> int:
+    return len(_scratch)
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
@@ -80,6 +99,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 
     Only ROWS_AT_ONCE texts of a batch are held as Python objects at a time.
     """
+    give_memory_back()
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS_AT_ONCE):
             batch = whole.slice(at, ROWS_AT_ONCE)

@@ -4,11 +4,11 @@ The codec is read from a ``tokenizers`` JSON file (its path is a parameter) and
 gives what that library gives with add_special_tokens=False. A text goes through
 three steps:
 
-1. Strings of added tokens are cut out, and long texts are cut where a pre-token
-   always ends whatever stands around it: before a single space that has no
-   white space beside it. These cuts need no repair.
-2. A piece that is still longer than ``leaf`` characters has no such place. It is
-   halved until its parts fit, and all parts are encoded together, in parallel.
+1. Strings of added tokens are cut out.
+2. What is longer than ``leaf`` characters is halved until its parts fit: at a single
+   space without white space beside it near the middle, where there is one (a pre-token
+   always ends there, so that join needs no repair), else right in the middle. The leaves
+   of all texts of a block are encoded together, in parallel.
 3. Neighbours are joined pairwise up the tree. Around a join, a window of whole
    tokens is encoded again and grows until its first tokens are the left side's
    and its last tokens are the right side's; then the window replaces what it
@@ -20,7 +20,8 @@ if each pair of neighbours is one; the left part, the window and the right part
 overlap by whole tokens, so each pair lies inside one of the three encodings.
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded
-each; extra columns stay where ``keep`` names them.
+each; extra columns stay where ``keep`` names them; an empty table gives no rows. A very
+long text is one tree like any other, whether it has spaces or not.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm._shared import blocks, selected, table
 
-LEAF = 1 << 16
+#: Characters of a leaf. Longer texts go through the tree.
+LEAF = 1 << 12
 AGREE = 2
 #: How the ByteLevel pre-tokenizer splits a text. Fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,27 +79,36 @@ class Codec:
     def _plain(self, text: str) -> list[int]:
         return self.bpe.encode_ordinary(text)
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at places that are safe, into pieces of about a leaf where it can be."""
-        out, start = [], 0
-        while len(text) - start > self.leaf:
-            at = _SAFE.search(text, start + self.leaf // 2)
-            if at is None:
-                break
-            out.append(text[start : at.start()])
-            start = at.start()
-        return [*out, text[start:]]
-
-    def encode_unsplit(self, text: str) -> list[int]:
-        """Tree concatenation over a text of any length."""
-        parts = [text]
-        while max(map(len, parts)) > self.leaf:
-            parts = [h for p in parts for h in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > self.leaf else (p,))]
-        ids = self.bpe.encode_ordinary_batch(parts, num_threads=self.threads)
+    def halves(self, text: str) -> int:
+        """Where to cut: the first safe place in the middle half of the text, from its third eighth on, else the middle."""
+        n = len(text)
+        at = _SAFE.search(text, n * 3 // 8, n * 3 // 4)
+        return at.start() if at else n // 2
+
+    def leaves(self, text: str) -> list[str]:
+        """The text in order, in parts of at most ``leaf`` characters."""
+        parts, todo = [], [text]
+        while todo:
+            p = todo.pop()
+            if len(p) > self.leaf:
+                at = self.halves(p)
+                todo += [p[at:], p[:at]]
+            else:
+                parts.append(p)
+        return parts
+
+    def joined_up(self, ids: list[list[int]]) -> list[int]:
+        """The encoding of a text from those of its leaves, pairwise up the tree."""
         while len(ids) > 1:
             ids = [self.join(ids[i], ids[i + 1]) if i + 1 < len(ids) else ids[i] for i in range(0, len(ids), 2)]
         return ids[0]
 
+    def encode_trees(self, texts: list[str]) -> list[tuple[list[int], int]]:
+        """Tree concatenation of each text: its ids, and how many joins it took. All leaves are encoded at once."""
+        parts = [self.leaves(t) if t else [] for t in texts]
+        flat = iter(self.bpe.encode_ordinary_batch([x for p in parts for x in p], num_threads=self.threads))
+        return [(self.joined_up([next(flat) for _ in p]) if p else [], max(0, len(p) - 1)) for p in parts]
+
     def _whole_chars(self, ids: list[int], n: int, last: bool) -> int:
         """The least count >= n of tokens at one end of ids that begins and ends between characters."""
         while n < len(ids):
@@ -119,19 +130,28 @@ class Codec:
             n *= 2
         return left or right
 
+    def encode_all(self, texts: list[str | None]) -> list[tuple[list[int], int]]:
+        """(ids, joins) of each text."""
+        plain, layout = [], []
+        for text in texts:
+            row, start = [], 0
+            for m in self.cut.finditer(text) if self.cut and text else ():
+                row += [len(plain), -self.added[m[0]] - 1]
+                plain.append(text[start : m.start()])
+                start = m.end()
+            layout.append([*row, len(plain)])
+            plain.append((text or "")[start:])
+        made = self.encode_trees(plain)
+        out = []
+        for row in layout:
+            if len(row) == 1:
+                out.append(made[row[0]])
+            else:
+                out.append(([i for x in row for i in (made[x][0] if x >= 0 else [-x - 1])], sum(made[x][1] for x in row if x >= 0)))
+        return out
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out, start = [], 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            out += self._ordinary(text[start : m.start()]) + [self.added[m[0]]]
-            start = m.end()
-        return out + self._ordinary(text[start:]) if start else self._ordinary(text)
-
-    def _ordinary(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self._plain(text) if text else []
-        return [i for p in self.pieces(text) for i in (self._plain(p) if len(p) <= self.leaf else self.encode_unsplit(p))]
+        return self.encode_all([text])[0][0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
@@ -146,24 +166,25 @@ def codec(path: str, leaf: int = LEAF) -> Codec:
     return Codec(path, leaf)
 
 
-KINDS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+KINDS = {"n_tokens": ("long", pa.int64()), "n_joins": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
 def transcode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), want: tuple[str, ...] = ("n_tokens", "ids"), text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """The ``keep`` columns and what ``want`` names: n_tokens, ids, decoded, ids_sha256, decoded_sha256."""
+    """The ``keep`` columns and what ``want`` names: n_tokens, n_joins (of the text's tree), ids, decoded, ids_sha256, decoded_sha256."""
 
     rows, column = selected(df, keep, text)
 
     def task(batches):
         c = codec(path, leaf)
-        for batch, texts in blocks(batches, column, 4 << 20):
+        for batch, texts in blocks(batches, column):
             made: dict[str, list] = {w: [] for w in want}
-            for x in texts:
-                ids = c.encode(x.decode("utf-8", "replace"))
+            for ids, joins in c.encode_all([x.decode("utf-8", "replace") for x in texts]):
                 decoded = c.decode(ids) if "decoded" in made or "decoded_sha256" in made else ""
                 for w, values in made.items():
                     if w == "n_tokens":
                         values.append(len(ids))
+                    elif w == "n_joins":
+                        values.append(joins)
                     elif w == "ids":
                         values.append(np.asarray(ids, np.int32))
                     elif w == "decoded":
@@ -186,5 +207,5 @@ def vocabulary() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode every whole text of ``documents``."""
-    return transcode(table(spark, sf_dir, "documents"), vocabulary(), want=("n_tokens", "ids_sha256", "decoded_sha256"))
+    """Encode and decode every whole text of ``documents``; ``n_joins`` counts the joins of its tree."""
+    return transcode(table(spark, sf_dir, "documents"), vocabulary(), want=("n_tokens", "ids_sha256", "decoded_sha256", "n_joins"))
