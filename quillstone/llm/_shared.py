@@ -77,6 +77,15 @@ def crc_mod(col: str, m: int):
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string")), F.lit(m)), F.lit(0))
 
 
+#: Hashes that choose samples lie below this.
+SPAN = 1 << 40
+
+
+def least_hash(wanted: int, distinct: int) -> int:
+    """A bound for hashes below SPAN that lets through a few times ``wanted`` of ``distinct`` values: none too few but with a chance below e**-40."""
+    return int(min(1.0, (4 * wanted + 40) / max(1, distinct)) * SPAN)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,14 +6,19 @@ more than two families) predicts the language family; inside a family, one machi
 for each pair of languages votes. Only whole texts are read, in training and in
 prediction; ``lang``, ``source`` and the id never enter a prediction.
 
-Training uses a bounded sample, ``per_lang`` documents a language (300 by default),
-drawn by the hash of the id from the rows that are allowed. Every language is learned:
-where there are many, ``most_rows`` rows are divided among them. The model is a matrix of
-(families + pairs) x (bins + 1) floats and goes out with the task.
+Training uses a bounded sample of the rows that are allowed: the ``per_lang`` documents
+of each language (300 by default) whose hash of id and text is least. Rows that repeat
+count once, so neither copies nor missing ids can fill it. Every language is learned: where
+there are many, ``most_rows`` rows (9,000 by default) are divided among them, one a language
+at least. The languages themselves are taken to be a list of codes (a row of each reaches the
+driver). The model is a matrix of (families + pairs) x (bins + 1) floats and goes out with the task.
 
 Defined results: null text, and text without a letter, gives ``und`` with score 0; so
-does every text when there is nothing to learn from. A language that is not in
-``FAMILIES`` is a family of its own. Repeated rows are predicted each.
+does every text when there is nothing to learn from (an empty table, or no ``lang``). A
+language that is not in ``FAMILIES`` is a family of its own. Ties go to the family, and to the
+language, that comes first by code point. Repeated rows are predicted each, and a null id is an id
+like others. A text of any length is read whole, in pieces of PIECE bytes. Extra columns stay
+where ``keep`` names them and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -22,18 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import LOWER
-from quillstone.llm._shared import blocks, crc_mod, selected, table
+from quillstone.llm._shared import SPAN, blocks, crc_mod, least_hash, selected, table
 
 UND = "und"
 BITS = 12
 BINS = 1 << BITS
 PIECE = 1 << 22
-#: Expected rows of a language with more: none is drawn with a chance of e**-20.
-LEAST_ROWS = 20
 #: Families of common ISO 639-1 codes. Fixed values.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
@@ -54,7 +57,7 @@ def family_of(lang: str) -> str:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the 2- and 3-grams that begin at each byte (BINS where a text ends), and where each text begins."""
+    """Bins of the 2- and 3-grams that begin at each byte of a text and the space after it (BINS where there is none), and where each text begins."""
     buf = LOWER[np.frombuffer(b" ".join(texts) + b"   ", np.uint8)].astype(np.uint32)
     sizes = np.fromiter((len(x) for x in texts), np.int64, len(texts))
     first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
@@ -74,8 +77,8 @@ def profile(text: bytes) -> np.ndarray:
     """Relative frequencies over BINS of one whole text."""
     total = np.zeros(BINS + 1)
     for i in range(0, max(1, len(text)), PIECE):
-        two, three, _ = grams([text[i : i + PIECE + 2]])
-        total += np.bincount(two, minlength=BINS + 1) + np.bincount(three, minlength=BINS + 1)
+        for bins in grams([text[i : i + PIECE + 2]])[:2]:
+            total += np.bincount(bins if i + PIECE >= len(text) else bins[:PIECE], minlength=BINS + 1)
     total[BINS] = 0
     return (total[:BINS] / max(1.0, total.sum())).astype(np.float32)
 
@@ -154,42 +157,61 @@ class Model:
         return [self.langs[p] if k else UND for p, k in zip(pick, known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit(docs: DataFrame, per_lang: int = 300, most_rows: int = 30_000) -> Model:
-    """Learn every language of (doc_id, text, lang): about ``per_lang`` rows of each, less where they would be over ``most_rows`` in all, but never under LEAST_ROWS."""
-    rows = docs.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
-        return Model()
-    each = min(per_lang, max(LEAST_ROWS, most_rows // len(counts)))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in counts], "lang string, share long")
+def sampled(docs: DataFrame, per_lang: int, most_rows: int) -> DataFrame:
+    """(lang, key, x): for each language the profiles of the rows with the least hashes of id and text, at most ``per_lang``, and about ``most_rows`` in all.
+
+    Keys are chosen before any text moves; equal rows share a key and give one profile.
+    """
+    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(SPAN))
+    rows = docs.filter("text is not null and lang is not null").filter(F.rlike("text", F.lit("\\p{L}"))).select("lang", "text", key.alias("key"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    each = max(1, min(per_lang, most_rows // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(lang, least_hash(each, n)) for lang, n in counts.items()], "lang string, share long")
+    near = rows.select("lang", "key").join(F.broadcast(shares), "lang").filter(F.col("key") < F.col("share")).select("lang", "key").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = near.withColumn("rn", first).filter(F.col("rn") <= each).drop("rn")
 
     def task(batches):
+        seen = set()
         for batch, texts in blocks(batches, "text"):
-            keep = [i for i, x in enumerate(texts) if has_letter(x)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([batch.column(2)[i].as_py() for i in keep], pa.int64()), "lang": pa.array([batch.column(1)[i].as_py() for i in keep], pa.string()), "x": pa.array([profile(texts[i]).tobytes() for i in keep], pa.binary())})
-
-    drawn = rows.join(F.broadcast(shares), "lang").filter(h < F.col("share"))
-    got = drawn.select("text", "lang", h.alias("key")).mapInArrow(task, "key long, lang string, x binary").collect()
-    got = sorted(got, key=lambda r: (r["lang"], r["key"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), BINS)
+            lang, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            use = [i for i in range(len(texts)) if (lang[i], keys[i]) not in seen and not seen.add((lang[i], keys[i]))]
+            made = [profile(texts[i]) for i in use]
+            at = [np.flatnonzero(x) for x in made]
+            packed = [i.astype(np.uint16).tobytes() + x[i].tobytes() for i, x in zip(at, made, strict=True)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang[i] for i in use], pa.string()), "key": pa.array([keys[i] for i in use], pa.int64()), "x": pa.array(packed, pa.binary())})
+
+    texts = rows.join(F.broadcast(chosen), ["lang", "key"]).select("lang", "key", "text")
+    return texts.mapInArrow(task, "lang string, key long, x binary").groupBy("lang", "key").agg(F.first("x").alias("x"))
+
+
+def fit(docs: DataFrame, per_lang: int = 300, most_rows: int = 9_000) -> Model:
+    """Learn every language of (doc_id, text, lang) from ``sampled`` rows."""
+    got = sorted(sampled(docs, per_lang, most_rows).collect(), key=lambda r: (r["lang"], r["key"]))
+    x = np.zeros((len(got), BINS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        n = len(r["x"]) // 6
+        row[np.frombuffer(r["x"], np.uint16, n)] = np.frombuffer(r["x"], np.float32, n, 2 * n)
     lang = np.array([r["lang"] for r in got])
+    del got
     langs = sorted(set(lang.tolist()))
     if not langs:
         return Model()
-    spread = 1 / np.maximum(x.std(0), 1e-4)
-    z = (x - x.mean(0)) * spread / np.sqrt(BINS)
+    mean = x.mean(0, dtype=np.float64)
+    x -= mean.astype(np.float32)  # in place: the sample is held once
+    spread = (1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)), 1e-4)).astype(np.float32)
+    x *= spread / np.float32(np.sqrt(BINS))
     families = sorted({family_of(a) for a in langs})
     member = np.array([families.index(family_of(a)) for a in lang])
     jobs = [("family", 0, 1)] if len(families) == 2 else [("family", i, -1) for i in range(len(families))] if len(families) > 2 else []
     jobs += [("pair", i, j) for i in range(len(langs)) for j in range(i + 1, len(langs)) if family_of(langs[i]) == family_of(langs[j])]
     out = Model(langs, families, jobs, np.zeros((len(jobs), BINS + 1), np.float32), np.zeros(len(jobs)), np.zeros(len(jobs)))
     for k, (kind, a, b) in enumerate(jobs):
-        use = np.ones(len(z), bool) if kind == "family" else (lang == langs[a]) | (lang == langs[b])
+        use = slice(None) if kind == "family" else (lang == langs[a]) | (lang == langs[b])
         y = np.where(member[use] == a if kind == "family" else lang[use] == langs[a], 1.0, -1.0).astype(np.float32)
-        w, bias, out.scale[k] = svm(z[use], y)
+        w, bias, out.scale[k] = svm(x[use], y)
         out.weights[k, :BINS] = w * spread / np.sqrt(BINS)
-        out.bias[k] = bias - float(x.mean(0) @ out.weights[k, :BINS])
+        out.bias[k] = bias - float(mean @ out.weights[k, :BINS])
     return out
 
 
