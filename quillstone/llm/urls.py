@@ -1,14 +1,17 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features.
 
-All of it is DataFrame expressions. The trees are fitted on the driver from a bounded
-sample of labelled URLs (``most``, 4,000 by default) whose features Spark computes, and
-become one nested CASE expression per tree, so scoring is a projection without Python.
+All of it is DataFrame expressions and joins. The trees are fitted on the driver from a bounded
+sample of labelled URLs (``most``, 4,000 by default: the distinct URLs of least hash) whose
+features Spark computes, and become one nested CASE expression per tree, so scoring is a projection
+without Python. Suffix statistics are counted over all labelled rows and joined.
 
-Rules are at most ``MOST_RULES`` and are one projection too.
+A few rules are one CASE; more, however many, are joined on the host's last labels.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no
 rule and is judged by the trees over its features; without labelled URLs the trees
-allow all; repeated rows are judged each; extra columns are ignored.
+allow all; repeated rows are judged each; extra columns are ignored; an empty table gives
+no rows. Of rules of equal length that fit, the one given first wins. A URL of any length is
+read whole.
 """
 
 from __future__ import annotations
@@ -20,9 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm._shared import table
+from quillstone.llm._shared import SPAN, least_hash, persisted, table
 
-MOST_RULES = 1_000
+#: Up to so many rules are written out as one expression.
+INLINE_RULES = 200
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
+RULE = "struct<verdict:string,rule:string>"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -42,14 +49,40 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(verdict, rule) of the longest rule that fits; null if none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
     out = None
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
         name, slash, rest = rule.partition("/")
         fits = (host == F.lit(name)) | F.endswith(host, F.lit(f".{name}"))
         out = (F if out is None else out).when(fits & F.startswith(path, F.lit(slash + rest)), F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule")))
-    return F.lit(None).cast("struct<verdict:string,rule:string>") if out is None else out
+    return F.lit(None).cast(RULE) if out is None else out
+
+
+def with_rule(rows: DataFrame, rules=RULES, inline: int = INLINE_RULES) -> DataFrame:
+    """Adds ``__rule``, struct(verdict, rule), to rows of (host, path).
+
+    Up to ``inline`` rules are one CASE. More are grouped by host and joined once for each
+    number of labels that a rule's host has, on the host's last so many labels; the longest
+    rule whose path fits is taken from the few that each join brings.
+    """
+    rules = list(rules)
+    if len(rules) <= inline:
+        return rows.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
+    by_host: dict[str, list[tuple[int, str, str, str]]] = {}
+    for no, (verdict, rule) in enumerate(sorted(rules, key=lambda r: -len(r[1]))):
+        name, slash, rest = rule.partition("/")
+        by_host.setdefault(name, []).append((no, slash + rest, verdict, rule))
+    kind = "array<struct<no:int,start:string,verdict:string,rule:string>>"
+    columns, found = rows.columns, []
+    for n in sorted({name.count(".") for name in by_host}):
+        some = [(name, kept) for name, kept in by_host.items() if name.count(".") == n]
+        held = rows.sparkSession.createDataFrame(some, f"__name{n} string, __rules{n} {kind}")
+        size = sum(len(r) for _, kept in some for *_, r in kept)
+        last = F.when(F.size(F.split("host", r"\.")) > n, F.substring_index(F.col("host"), ".", -n - 1))
+        rows = rows.join(F.broadcast(held) if size <= BROADCAST_BYTES else held, last == F.col(f"__name{n}"), "left")
+        found.append(F.filter(F.coalesce(f"__rules{n}", F.array().cast(kind)), lambda r: F.startswith(F.col("path"), r["start"])))
+    best = F.array_min(F.concat(*found))
+    rule = F.when(best.isNotNull(), F.struct(best["verdict"].alias("verdict"), best["rule"].alias("rule")))
+    return rows.withColumn("__rule", rule).select(*columns, "__rule")
 
 
 def suffix_of(host: Column) -> Column:
@@ -140,15 +173,16 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rat
 class UrlModel:
     start: float
     trees: list[Tree]
-    suffixes: dict[str, float]  # suffix -> smoothed share of blocked labelled URLs
+    #: (suffix, suffix_rate): smoothed share of blocked URLs over all labelled rows of each host suffix.
+    suffixes: DataFrame
+    n_suffixes: int
     prior: float
 
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        rate = F.lit(self.prior)
-        if self.suffixes:
-            known = F.create_map(*[F.lit(v) for kv in sorted(self.suffixes.items()) for v in kv])
-            rate = F.coalesce(F.try_element_at(known, suffix_of(host)), rate)
-        return {**lexical(url, host, path), "suffix_rate": rate}
+    def with_rates(self, rows: DataFrame) -> DataFrame:
+        """Adds suffix_rate by the host's suffix: a broadcast join while the suffixes are few, a shuffle join beyond."""
+        known = F.broadcast(self.suffixes) if self.n_suffixes <= BROADCAST_ROWS else self.suffixes
+        keyed = rows.withColumn("__suffix", suffix_of(F.col("host"))).join(known, F.col("__suffix") == F.col("suffix"), "left")
+        return keyed.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.prior))).drop("__suffix", "suffix")
 
     def margin(self, columns: list[Column]) -> Column:
         out = F.lit(self.start)
@@ -157,34 +191,39 @@ class UrlModel:
         return out
 
 
-def fit(labelled: DataFrame, most: int = 4_000, most_suffixes: int = 500) -> UrlModel:
-    """Learn from (url, host, path, blocked). The sample is drawn by the hash of the URL and holds about ``most`` rows."""
-    n = labelled.count()
-    if n > most:
-        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def fit(labelled: DataFrame, most: int = 4_000) -> UrlModel:
+    """Learn from (url, host, path, blocked).
+
+    Suffix statistics count all labelled rows. The trees are fitted on the ``most`` distinct
+    URLs of least hash, however often each occurs; a URL with both labels counts as blocked.
+    """
+    by_suffix = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"))
+    by_suffix = persisted(by_suffix, "suffixes")
+    n_suffixes, n, bad = by_suffix.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    prior = (bad + 1) / (n + 2) if n else 0.0
+    rates = by_suffix.select("suffix", ((F.col("bad") + F.lit(4 * prior)) / (F.col("n") + 4)).alias("suffix_rate"))
+    if not n:
+        return UrlModel(-1.0, [], rates, 0, 0.0)
+    key = F.pmod(F.xxhash64("url"), F.lit(SPAN))
+    distinct = labelled.agg(F.approx_count_distinct("url")).first()[0]
+    drawn = labelled.filter(key < least_hash(most, distinct)).groupBy("url").agg(F.max(F.col("blocked").cast("int")).alias("y"))
+    drawn = drawn.orderBy(key, "url").limit(most)
+    model = UrlModel(0.0, [], rates, n_suffixes, float(prior))
+    wide = model.with_rates(drawn.select("url", "y", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
     made = lexical(F.col("url"), F.col("host"), F.col("path"))
-    rows = labelled.select(*[e.alias(k) for k, e in made.items()], suffix_of(F.col("host")).alias("suffix"), F.col("blocked").cast("int").alias("y"), F.xxhash64("url").alias("key")).collect()
-    rows = sorted(rows, key=lambda r: (r["key"], r["y"]))
-    y = np.array([r["y"] for r in rows], float)
-    prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
-    seen: dict[str, list[float]] = {}
-    for r in rows:
-        seen.setdefault(r["suffix"], []).append(r["y"])
-    common = sorted(seen, key=lambda s: (-len(seen[s]), s))[:most_suffixes]
-    rates = {s: (sum(seen[s]) + 4 * prior) / (len(seen[s]) + 4) for s in common}
-    if not len(y):
-        return UrlModel(-1.0, [], {}, 0.0)
-    x = np.array([[r[k] for k in made] + [rates.get(r["suffix"], prior)] for r in rows], float)
-    start, trees = fit_trees(x, y)
-    return UrlModel(start, trees, rates, prior)
+    rows = wide.select(key.alias("key"), "url", "y", *[e.alias(k) for k, e in made.items()], "suffix_rate").collect()
+    rows = sorted(rows, key=lambda r: (r["key"], r["url"]))
+    x = np.array([[r[k] for k in (*made, "suffix_rate")] for r in rows], float)
+    model.start, model.trees = fit_trees(x, np.array([r["y"] for r in rows], float))
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """page_id, url, host, path, rule, block_margin and verdict."""
     split = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    made = model.features(F.col("url"), F.col("host"), F.col("path"))
-    wide = split.select("*", matching_rule(F.col("host"), F.col("path"), rules).alias("__rule"), *[e.alias(f"__f_{k}") for k, e in made.items()])
-    scored = wide.withColumn("block_margin", model.margin([F.col(f"__f_{k}") for k in made]))
+    made = lexical(F.col("url"), F.col("host"), F.col("path"))
+    wide = model.with_rates(with_rule(split, rules)).select("page_id", "url", "host", "path", "__rule", *[e.alias(f"__f_{k}") for k, e in made.items()], F.col("suffix_rate").alias("__f_suffix_rate"))
+    scored = wide.withColumn("block_margin", model.margin([F.col(f"__f_{k}") for k in (*made, "suffix_rate")]))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("block_margin") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "url", "host", "path", F.col("__rule.rule").alias("rule"), "block_margin", verdict.alias("verdict"))
 
@@ -192,7 +231,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
 def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
     """The URLs that a rule decides, as labelled rows."""
     split = pages.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = split.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
+    ruled = with_rule(split, rules)
     return ruled.filter("__rule is not null").select("url", "host", "path", (F.col("__rule.verdict") == "block").alias("blocked"))
 
 
