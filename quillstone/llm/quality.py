@@ -1,6 +1,6 @@
 """Quality rules: text statistics and a learned decision list.
 
-The list is learned by sequential covering from a bounded sample of labelled rows
+The list is learned by sequential covering from a bounded sample of labelled documents
 (``most``, 20,000 by default): a rule is grown on two thirds of them, one threshold
 condition at a time by FOIL gain, pruned on the other third, and kept while it is
 precise there; what it covers is set aside and the next rule is grown. The result
@@ -11,7 +11,10 @@ within one text.
 
 Defined results: a null or empty text has zeros everywhere and fails the base rule;
 no labels give an empty list, which keeps all; a null ``quality`` is no label;
-repeated rows are judged each; extra columns are ignored.
+repeated rows are judged each; extra columns are ignored; empty tables give no rows
+and no rules. Of conditions that gain equally the first feature by STATS order and its
+lowest threshold wins, and '<=' before '>'; of rules that hold together the first decides. A
+text of any length is read whole, in memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, by_text, mix, range_hashes, unique_pairs
-from quillstone.llm._shared import blocks, selected, table
+from quillstone.llm._shared import SPAN, blocks, least_hash, selected, table
 
 SYMBOLS = b"#*$%&|<>"
 _IS = {name: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for name, chars in {"symbol": SYMBOLS, "digit": b"0123456789", "upper": bytes(range(65, 91)), "stop": b".!?"}.items()}
@@ -174,12 +177,15 @@ def decision_expression(rules: list[Rule], columns: dict[str, Column]) -> Column
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
-    """Learn from at most about ``most`` labelled documents, drawn by the hash of their ids."""
+    """Learn from at most ``most`` labelled documents, those with the least hashes of their ids; an id counts once, by its least label and its least statistics."""
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(SPAN))
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("doc_id", "quality")).select("doc_id", "quality", *[e.alias(f"f_{f}") for f, e in features().items()]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+        known = known.filter(key < least_hash(most, n)).orderBy(key, "doc_id").limit(most)
+    stats = with_stats(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("doc_id", "quality"))
+    one = stats.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "quality", "s.*")
+    rows = one.select("doc_id", "quality", *[e.alias(f"f_{f}") for f, e in features().items()]).orderBy(key, "doc_id").collect()
     x = {f: np.array([r[f"f_{f}"] for r in rows], float) for f in features()}
     return learn_decision_list(x, np.array([r["quality"] == 0 for r in rows], bool))
 
