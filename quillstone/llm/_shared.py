@@ -72,6 +72,12 @@ def n_shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def n_ranges(docs: DataFrame, text: str = "text", tokens: int = 1 << 21) -> tuple[int, int]:
+    """(ranges, estimated words): as many hash ranges as the input's size asks for, about ``tokens`` words each, so that a range's task has the same work at any size."""
+    words = (docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0) // 6
+    return max(n_shards(docs.sparkSession), -(-words // tokens)), words
+
+
 def crc_mod(col: str, m: int):
     """crc32 of the id as text, modulo m; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string")), F.lit(m)), F.lit(0))

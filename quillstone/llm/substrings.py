@@ -8,8 +8,9 @@ A task sends, for each slice of the cells, the cells it met once and those it me
 often; slices are merged one at a time, and a bitmap of the cells that reached 2 is
 written to the shared folder, where workers map it into memory. A window whose cells are
 not all set occurs once: the sketch only overestimates, so no repeat is lost. Cells grow
-with the input up to ``most_cells`` a row (so the bitmaps have at most ROWS * most_cells /
-8 bytes, 128 MB); beyond that more windows pass on, and results stay the same.
+with the input, four a window, up to ``most_cells`` a row: 2**33 by default, bitmaps of 2 GB
+in all, mapped and not copied. Beyond about 10**10 windows more of them pass on to pass 2, up to
+all; results stay the same.
 
 Pass 2 takes only windows estimated repeated. Inside one flush of a task, equal windows
 of later documents are decided at once; the first one goes to the task of its hash range,
@@ -20,7 +21,9 @@ are removed.
 
 Defined results: null texts have no words; a null id is never earlier than another and
 loses nothing; rows of one id are not earlier than one another; equal rows get equal
-results; extra columns pass through ``remove_repeated``.
+results; extra columns pass through ``remove_repeated``; an empty table gives no rows. A
+very long text is one piece of work of its own, in memory of some times its size. The
+number of hash ranges follows the input's size, so that a range's task stays the same.
 """
 
 from __future__ import annotations
@@ -36,17 +39,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, mix
-from quillstone.llm._shared import blocks, n_shards, new_shared_path, table
+from quillstone.llm._shared import blocks, n_ranges, n_shards, new_shared_path, table
 from quillstone.llm.files import local_path
 
 ROWS = 2
 SLICE_BITS = 22
 FLUSH = 1 << 19
+MOST_CELLS = 1 << 33
 #: Odd multipliers that give each row its own cells. Fixed values.
 ROW_SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def cell_bits(windows: int, most_cells: int = 1 << 29) -> int:
+def cell_bits(windows: int, most_cells: int = MOST_CELLS) -> int:
     """Bits of a cell number: about four cells a window."""
     return max(SLICE_BITS, min(most_cells.bit_length() - 1, (4 * max(1, windows)).bit_length()))
 
@@ -291,13 +295,12 @@ def gather(decided: DataFrame, shards: int) -> DataFrame:
     return decided.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc_id long, text_key long, spans binary")
 
 
-def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = 1 << 29, most_held: int = FLUSH) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = MOST_CELLS, most_held: int = FLUSH) -> DataFrame:
     """All columns of docs, n_words, n_removed and kept_text (the words left, joined by one space)."""
     spark = docs.sparkSession
-    shards = n_shards(spark)
+    shards, words = n_ranges(docs)
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    windows = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = cell_bits(windows // 6, most_cells)
+    bits = cell_bits(words, most_cells)
     folder = local_path(new_shared_path(spark, "window-sketch"))
     merge_sketches(partial_sketches(docs, width, bits, most_held), folder)
     decided = decide(candidates(keyed, width, folder, bits, shards, most_held), shards)
