@@ -7,8 +7,13 @@ their context, each context once per flush. The task of a range adds up, writes
 sorted hash arrays to the shared folder (n-grams with counts, contexts with totals and
 numbers of successors seen once, twice, more) and passes the suffixes on, with the
 number of distinct left neighbours, to the level below; this repeats down to words.
-Everything gathered grows with the corpus and is spread over hash ranges; the driver
-sees one line of totals per range.
+Everything gathered grows with the corpus and is spread over hash ranges, whose number
+follows the input's size; the driver sees one line of totals per range.
+
+Contexts made of common words only (begin marks among them) would fill one range. They are
+split: each of their n-grams goes to one of ``splits`` ranges by its own hash, each range holds a
+part of the context's totals, and readers add the parts up. Which words are common is
+estimated from a 64th of the texts; it decides where things lie and never what is counted.
 
 Scoring. Workers map the arrays into memory and look up each block's distinct n-grams in
 sorted order, so a lookup walks an array instead of jumping about in it.
@@ -18,7 +23,7 @@ task leaves one file.
 
 Defined results: a null or empty text is its end token alone; with nothing to learn from,
 N and V are 0 and every token has probability 1; a null id is a training row; repeated
-rows count each; extra columns are ignored.
+rows count each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +38,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, mix
-from quillstone.llm._shared import blocks, crc_mod, n_shards, new_shared_path, selected, table
+from quillstone.llm._shared import blocks, crc_mod, n_ranges, new_shared_path, selected, table
 from quillstone.llm.files import local_path
 
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -78,12 +84,67 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], order[first], [np.add.reduceat(v[order], first) if len(k) else v for v in values]
 
 
+MOST_SPLITS = 64
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where n-grams lie: the number of hash ranges, the common words (sorted hashes) and over how many ranges their contexts are split."""
+
+    shards: int
+    common: tuple[int, ...] = ()
+    splits: int = 1
+
+    def is_common(self, word: np.ndarray) -> np.ndarray:
+        known = np.array(self.common, U)
+        if not len(known) or self.splits < 2:
+            return np.zeros(len(word), bool)
+        return known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word
+
+    def is_split(self, context: list[np.ndarray]) -> np.ndarray:
+        out = self.is_common(context[0])
+        for w in context[1:]:
+            out &= self.is_common(w)
+        return out
+
+    def range_of(self, context: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The range of a context's part: parts lie in ranges of their own, part 0 where a context that is not split lies."""
+        return (shard_of(context, self.shards) + part.astype(np.int64)) % self.shards
+
+    def of_gram(self, words: list[np.ndarray]) -> np.ndarray:
+        """The range of each n-gram."""
+        if len(words) == 1:
+            return shard_of(words[0], self.shards)
+        context = gram(words[:-1])
+        part = np.where(self.is_split(words[:-1]), mix(gram([context, words[-1]])) % U(self.splits), U(0))
+        return self.range_of(context, part)
+
+
+def layout(docs: DataFrame) -> Layout:
+    """Ranges by the size of docs; common are words that fill a quarter of a range or more, as a 64th of the texts tells."""
+    shards, _ = n_ranges(docs)
+
+    def task(batches):
+        for _, texts in blocks(batches, "text"):
+            word, n = np.unique(streams(texts, 1)[0], return_counts=True)
+            use = n > n.sum() // (16 * shards)
+            yield pa.RecordBatch.from_arrays([pa.array(word[use].view(np.int64)), pa.array(n[use])], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n.sum()], pa.int64())], ["word", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).select("text")
+    counted = some.mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.filter("word is null").agg(F.coalesce(F.max("n"), F.lit(0)).alias("total"))
+    found = counted.filter("word is not null").join(F.broadcast(total)).filter(F.col("n") * 4 * shards > F.col("total")).select("word").collect()
+    common = sorted({int(BEGIN), *(r["word"] % (1 << 64) for r in found)})
+    return Layout(shards, tuple(common), min(shards, MOST_SPLITS))
+
+
 PACKED = "shard int, firsts binary, repeats binary, rest binary, counts binary, raw binary"
 
 
-def packed(words: list[np.ndarray], count: np.ndarray, raw: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+def packed(words: list[np.ndarray], count: np.ndarray, raw: np.ndarray, lay: Layout) -> Iterator[pa.RecordBatch]:
     """PACKED rows by the hash range of the context (of the word itself, for single words)."""
-    shard = shard_of(gram(words[:-1]) if len(words) > 1 else words[0], shards)
+    shards, shard = lay.shards, lay.of_gram(words)
     order = np.lexsort((words[0], shard))
     words, count, raw, shard = [w[order] for w in words], count[order], raw[order], shard[order]
     cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -104,14 +165,14 @@ def unpacked(r: dict, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return [first, *rest], np.frombuffer(r["counts"], np.uint32).astype(np.int64), np.frombuffer(r["raw"], np.int64)
 
 
-def raw_counts(docs: DataFrame, order: int, shards: int) -> DataFrame:
+def raw_counts(docs: DataFrame, order: int, lay: Layout) -> DataFrame:
     """n-grams of the highest order with their counts, combined within each flush of a task."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words = [np.concatenate(x) for x in zip(*held, strict=True)]
         key = gram(words)
         _, row, (count,) = summed(key, np.ones(len(key), np.int64))
-        yield from packed([w[row] for w in words], count, count, shards)
+        yield from packed([w[row] for w in words], count, count, lay)
 
     def task(batches):
         held, n = [], 0
@@ -137,7 +198,7 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
         os.replace(own, f"{folder}/{name}.{k}.npy")
 
 
-def write_level(entries: DataFrame, order: int, shards: int, folder: str) -> DataFrame:
+def write_level(entries: DataFrame, order: int, lay: Layout, folder: str) -> DataFrame:
     """Add up n-grams of one order, write its arrays, and give the PACKED rows of the order below."""
 
     def write(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +220,7 @@ def write_level(entries: DataFrame, order: int, shards: int, folder: str) -> Dat
         os.replace(own, f"{folder}/{name}.json")
         if order > 1:
             _, row, (left, below) = summed(gram(words[1:]), np.ones(len(key), np.int64), raw)
-            yield from packed([w[row] for w in words[1:]], left, below, shards)
+            yield from packed([w[row] for w in words[1:]], left, below, lay)
 
     def task(batches):
         now, held = None, []
@@ -173,7 +234,7 @@ def write_level(entries: DataFrame, order: int, shards: int, folder: str) -> Dat
         if held:
             yield from write(now, held)
 
-    return entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, PACKED)
+    return entries.repartition(lay.shards, "shard").sortWithinPartitions("shard").mapInArrow(task, PACKED)
 
 
 def discounts(kinds: list[int]) -> list[float]:
@@ -188,7 +249,7 @@ def discounts(kinds: list[int]) -> list[float]:
 class NgramModel:
     folder: str
     order: int
-    shards: int
+    layout: Layout
     n_tokens: int
     n_words: int
     total: tuple[int, ...]  # sum of counts by order
@@ -199,11 +260,11 @@ class NgramModel:
 def fit(docs: DataFrame, order: int = 2, folder: str | None = None) -> NgramModel:
     """Count the whole of docs and write the model's arrays; ``folder`` is a new folder of the shared one by default."""
     spark = docs.sparkSession
-    shards = n_shards(spark)
+    lay = layout(docs)
     folder = folder or local_path(new_shared_path(spark, "ngrams"))
-    entries = raw_counts(docs, order, shards)
+    entries = raw_counts(docs, order, lay)
     for level in range(order, 0, -1):
-        entries = write_level(entries, level, shards, folder)
+        entries = write_level(entries, level, lay, folder)
     entries.count()
     totals = []
     for level in range(1, order + 1):
@@ -212,7 +273,7 @@ def fit(docs: DataFrame, order: int = 2, folder: str | None = None) -> NgramMode
     d = [discounts(t["kinds"]) for t in totals]
     words = totals[0]
     held_back = d[0][0] * words["kinds"][0] + d[0][1] * words["kinds"][1] + d[0][2] * words["more"]
-    return NgramModel(folder, order, shards, words["raw"], words["distinct"], tuple(t["total"] for t in totals), tuple(map(tuple, d)), held_back / words["total"] if words["total"] else 1.0)
+    return NgramModel(folder, order, lay, words["raw"], words["distinct"], tuple(t["total"] for t in totals), tuple(map(tuple, d)), held_back / words["total"] if words["total"] else 1.0)
 
 
 class Reader:
@@ -228,12 +289,11 @@ class Reader:
             self.arrays[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.arrays[key]
 
-    def find(self, name: str, route: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of each kind for each key, 0 where it is absent. Keys are sorted and distinct within a shard."""
+    def find(self, name: str, shard: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """Values of each kind for each key in its range, 0 where it is absent. Keys are sorted and distinct within a range."""
         out = [np.zeros(len(keys), np.int64) for _ in kinds]
-        shard = shard_of(route, self.model.shards)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+        cuts = np.searchsorted(shard[order], np.arange(self.model.layout.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             use = order[cuts[s] : cuts[s + 1]]
             held = self.array(name, int(s), "keys")
@@ -251,12 +311,23 @@ class Reader:
                     o[big] = self.array(name, int(s), "bigcounts")[np.searchsorted(self.array(name, int(s), "bigkeys"), keys[big])]
         return out
 
+    def context_totals(self, n: int, context: np.ndarray, split: np.ndarray) -> list[np.ndarray]:
+        """totals, one, two and more of distinct sorted contexts; those that are split are added up over their parts."""
+        kinds, lay = ("totals", "one", "two", "more"), self.model.layout
+        out = self.find(f"context-{n}", lay.range_of(context, np.zeros(len(context), U)), context, kinds)
+        at = np.flatnonzero(split)
+        for part in range(1, lay.splits) if len(at) else ():
+            more = self.find(f"context-{n}", lay.range_of(context[at], np.full(len(at), part, U)), context[at], kinds)
+            for o, m in zip(out, more, strict=True):
+                o[at] += m
+        return out
+
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each text."""
         m = self.model
         tokens, at, doc = streams(texts, m.order)
         word, inverse = np.unique(tokens[at], return_inverse=True)
-        left, raw = self.find("1", word, word, ("counts", "raw"))
+        left, raw = self.find("1", m.layout.of_gram([word]), word, ("counts", "raw"))
         base = np.log10((raw + 0.5) / (m.n_tokens + 0.5 * (m.n_words + 1)))[inverse]
         cut = np.array([0.0, *m.discount[0]])
         p = (np.maximum(left - cut[np.minimum(left, 3)], 0) / max(1, m.total[0]) + m.spread / (m.n_words + 1))[inverse]
@@ -264,9 +335,10 @@ class Reader:
             words = [tokens[at - n + 1 + j] for j in range(n)]
             context = gram(words[:-1])
             key, row, back = np.unique(gram([context, words[-1]]), return_index=True, return_inverse=True)
-            (count,) = self.find(str(n), context[row], key, ("counts",))
-            ckey, cback = np.unique(context[row], return_inverse=True)
-            total, *seen = self.find(f"context-{n}", ckey, ckey, ("totals", "one", "two", "more"))
+            mine = [w[row] for w in words]
+            (count,) = self.find(str(n), m.layout.of_gram(mine), key, ("counts",))
+            ckey, first, cback = np.unique(context[row], return_index=True, return_inverse=True)
+            total, *seen = self.context_totals(n, ckey, m.layout.is_split([w[first] for w in mine[:-1]]))
             spare = sum(d * s for d, s in zip(m.discount[n - 1], seen, strict=True))
             cut = np.array([0.0, *m.discount[n - 1]])
             own = np.maximum(count - cut[np.minimum(count, 3)], 0)
@@ -301,8 +373,6 @@ def score(docs: DataFrame, model: NgramModel, keep: tuple[str, ...] = ("doc_id",
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the documents that are not held out; score all ``documents``."""
-    from pyspark.sql import functions as F
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs.filter(crc_mod("doc_id", 5) != 1))
     made = score(docs, model)

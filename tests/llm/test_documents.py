@@ -112,6 +112,23 @@ def test_language_model(spark, tables, order):
         assert r.score == pytest.approx(score, rel=1e-9) and r.base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_split_contexts(spark, tables, monkeypatch):
+    """Contexts of common words, split over ranges, give the same scores as whole ones."""
+    docs = spark.read.parquet(f"{tables['folder']}/full/documents.parquet")
+    words = [f"w{i}" for i in range(300)]
+    common = sorted({int(lm.BEGIN), *map(int, lm.streams([" ".join(words).encode()], 1)[0])})
+    made = []
+    for lay in (lm.Layout(7), lm.Layout(7, tuple(common), 5)):
+        monkeypatch.setattr(lm, "layout", lambda _, lay=lay: lay)
+        made.append({r.doc_id: r.score for r in lm.score(docs, lm.fit(docs, 3)).collect()})
+    assert made[0] == pytest.approx(made[1], rel=1e-12)
+
+
+def test_common_words_are_found(spark):
+    lay = lm.layout(spark.range(20_000).selectExpr("concat('the word', id, ' the') as text"))
+    assert {int(lm.BEGIN), int(lm.streams([b"the"], 1)[0][0])} < set(lay.common) and len(lay.common) < 5
+
+
 def test_fingerprints(spark, tables):
     docs = sorted(((i, t or "") for i, t, _ in tables["full"]), reverse=True)
     five = lambda t: {tuple(x) for w in [brute.words(t)] for x in ([w[i : i + 5] for i in range(len(w) - 4)] if len(w) > 4 else [w] if w else [])}
