@@ -26,18 +26,44 @@ def purged(vectors: DataFrame, inactive: DataFrame, key: str = "chunk_id") -> Da
     return vectors.join(inactive.select(key), key, "left_anti")
 
 
-def with_next_ids(new: DataFrame, rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """New rows get consecutive ids after the largest one, in the given order.
+RANGES = 64
+SAMPLE = 100 * RANGES
 
-    Rows are numbered within hash buckets of their order key; the buckets' sizes, one row
-    each, give the offsets, so no task sees all rows. Ids are dense and repeatable.
+
+def with_range(rows: DataFrame, order: list[str], out: str = "__range") -> DataFrame:
+    """Adds the number of the range of ``order`` that a row lies in; ranges follow one another in that order (nulls first).
+
+    Their borders are RANGES - 1 of a bounded sample of keys, brought to the driver and written into the plan, so
+    that every use of the result cuts alike. Where they lie decides about balance and never about results.
     """
-    top = rows.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("top"))
-    cut = new.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
-    begins = sizes.select("__b", F.coalesce(F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    numbered = cut.withColumn("rn", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
-    return numbered.join(F.broadcast(begins), "__b").join(F.broadcast(top)).withColumn("chunk_id", F.col("top") + F.col("begin") + F.col("rn")).drop("__b", "rn", "begin", "top")
+    keys = rows.select(*order)
+    some = keys.orderBy(F.xxhash64(*order)).limit(SAMPLE).orderBy(*order).collect()
+    types = [f.dataType for f in keys.schema]
+    cuts = sorted({len(some) * i // RANGES for i in range(1, RANGES)}) if some else []
+    borders = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(some[i], types, order, strict=True)]) for i in cuts]
+    key = F.struct(*order)
+    number = F.size(F.filter(F.array(*borders), lambda b: b <= key)) if borders else F.lit(0)
+    return rows.withColumn(out, number)
+
+
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over all rows before, in the given order. No task sees all rows: ranges are summed by themselves and joined up over one row per range."""
+    cut = with_range(rows, order)
+    for name, c in sums.items():
+        cut = cut.withColumn(f"__of_{name}", c)
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    along = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    whole = cut.groupBy("__range").agg(*[F.sum(f"__of_{n}").alias(f"__of_{n}") for n in sums])
+    begins = whole.select("__range", *[F.coalesce(F.sum(f"__of_{n}").over(along), F.lit(0)).alias(f"__begin_{n}") for n in sums])
+    made = cut.select("*", *[F.coalesce(F.sum(f"__of_{n}").over(inside), F.lit(0)).alias(f"__in_{n}") for n in sums]).join(F.broadcast(begins), "__range")
+    return made.select(*rows.columns, *[(F.col(f"__in_{n}") + F.col(f"__begin_{n}")).alias(n) for n in sums])
+
+
+def with_next_ids(new: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """New rows get consecutive ids after the largest one, in the given order (nulls first)."""
+    top = rows.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
+    numbered = running_sums(new, order, {"__before": F.lit(1).cast("long")})
+    return numbered.withColumn("chunk_id", F.lit(top).cast("long") + F.col("__before") + 1).drop("__before")
 
 
 def stale(rows: DataFrame, versions: dict[str, int]) -> DataFrame:

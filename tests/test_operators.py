@@ -36,6 +36,9 @@ def test_manifest_and_ids(spark):
     for ids, first in (([], 1), ([1, 5], 6)):
         rows = spark.createDataFrame([(i,) for i in ids], "chunk_id long")
         assert sorted(r.chunk_id for r in maintenance.with_next_ids(new, rows, ["name"]).collect()) == list(range(first, first + 100))
+    odd = spark.createDataFrame([(f"d{i % 7}" if i % 11 else None, (i * 37) % 1000) for i in range(1000)], "doc string, page long").repartition(7)
+    got = sorted(maintenance.with_next_ids(odd, spark.createDataFrame([(41,)], "chunk_id long"), ["doc", "page"]).collect(), key=lambda r: r.chunk_id)
+    assert [r.chunk_id for r in got] == list(range(42, 1042)) and [(r.doc or "", r.page) for r in got] == sorted((r.doc or "", r.page) for r in got)
     builds = spark.createDataFrame([(f"b{i}", i == 1) for i in range(1, 6)], "build_id string, is_active boolean")
     assert [r.build_id for r in maintenance.to_delete(builds, 3).collect()] == ["b2"]
 
