@@ -6,7 +6,7 @@ along it, one random offset is added, and a document is emitted once for each in
 that its part of the sum crosses. Sums are integers (units of 2**-24), so they are the
 same however Spark adds them.
 
-The order is by size class, then by a salt from the id, then by size. A (source, size
+The order is by size class, then by a salt from id and text, then by size. A (source, size
 class, salt) group is the unit of distribution: sums of groups are added up in one row
 per group, and only rows of one group meet in one task, so a source that holds a third
 of all rows is spread over all tasks. Number of salts grows with the input.
@@ -14,10 +14,12 @@ of all rows is spread over all tasks. Number of salts grows with the input.
 Targets: sources in code-point order (null last) weigh 1, 2, 3 and so on, repeating;
 they share the total; a target stops at ``cap`` times its source's size and the excess
 is shared again by weight. With r = cap * size / weight in ascending order, that is one
-water level, found by a running sum over one row per source.
+water level, found by running sums over one row per source, which are added up range by range.
 
 Defined results: null text has size 0; a source without words has target 0; rows that
-repeat are rows of their own; a null id sorts first; extra columns pass through.
+repeat are rows of their own; a null id sorts first; extra columns pass through; an empty
+table gives no rows. Ties in the order are broken by size, id and the text's digest; what is
+equal in all of them is interchangeable. A text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm._shared import WORD, persisted, table
+from quillstone.operators.maintenance import running_sums
 
 UNIT_BITS = 24
 BROADCAST_ROWS = 50_000
@@ -48,18 +51,16 @@ def draw(text: Column, digits: int = 4) -> Column:
 
 
 def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
-    """From (__source, source, source_size): target and weight of each source. One row per source, in one task."""
-    everything = W.partitionBy()
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = everything.orderBy(F.col("__ratio"), F.col("source").asc_nulls_last())
-    t = sizes.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
-    t = t.withColumn("__ratio", F.lit(cap) * F.col("source_size") / F.col("weight"))
-    before = F.coalesce(F.sum(cap * F.col("source_size")).over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
-    t = t.withColumn("__level", (F.sum("source_size").over(everything) - before) / onward)
-    level = F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything)
+    """From (__source, source, source_size): target and weight of each source. Sources may be many: they are summed along their order range by range."""
+    named = running_sums(sizes.withColumn("__null", F.col("source").isNull()), ["__null", "source"], {"__at": F.lit(1).cast("long")})
+    t = named.withColumn("weight", F.col("__at") % 3 + 1).withColumn("__ratio", F.lit(cap) * F.col("source_size") / F.col("weight"))
+    t = running_sums(t, ["__ratio", "__null", "source"], {"__before": cap * F.col("source_size"), "__lighter": F.col("weight")})
+    words, weights = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], t.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    t = t.withColumn("__level", (F.lit(words) - F.col("__before")).cast("double") / (F.lit(weights) - F.col("__lighter")))
+    level = t.filter("__level <= __ratio").agg(F.max("__level")).first()[0]
     capped = (cap * F.col("source_size")).cast("double")
-    return t.withColumn("target", F.least(capped, F.coalesce(level * F.col("weight"), capped))).drop("__ratio", "__level")
+    target = capped if level is None else F.least(capped, F.lit(level) * F.col("weight"))
+    return t.withColumn("target", target).drop("__null", "__at", "__ratio", "__before", "__lighter", "__level")
 
 
 def systematic_copies(rows: DataFrame, units: str, group: tuple[str, ...], order: list[Column], offset: Column) -> DataFrame:
@@ -75,7 +76,7 @@ def systematic_copies(rows: DataFrame, units: str, group: tuple[str, ...], order
 
 def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     """docs with size, source_size, target and copies."""
-    sized = docs.withColumns({"size": word_count(), "__source": source_key()})
+    sized = docs.withColumns({"size": word_count(), "__source": source_key(), "__digest": F.md5(F.coalesce("text", F.lit("")))})
     known = persisted(sized.groupBy("__source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sizes")
     n_sources, n_rows = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     salts = max(16, -(-n_rows // 1_000_000))
@@ -85,11 +86,11 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     rows = sized.join(goal, "__source").withColumns(
         {
             "__class": F.floor(F.log2(F.col("size") + F.lit(1)) * 4).cast("int"),
-            "__salt": F.pmod(draw(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(salts)),
+            "__salt": F.pmod(draw(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__digest"))), F.lit(salts)),
             "__units": F.round(copies * F.lit(1 << UNIT_BITS)).cast("long"),
         }
     )
-    order = [F.col("size"), F.col("doc_id").asc_nulls_first(), F.md5(F.coalesce("text", F.lit("")))]
+    order = [F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("__digest")]
     out = systematic_copies(rows, "__units", KEYS, order, draw(F.col("__source"), 6))
     return out.select(*docs.columns, "size", "source_size", "target", "copies")
 
@@ -113,7 +114,7 @@ n as (select greatest(16, (count(*) + 999999) // 1000000) as salts from d),
 u as (select d.*, t.source_size, t.target,
   case when t.source_size > 0 then round(t.target / t.source_size * 16777216)::bigint else 0 end as units,
   floor(log2(size + 1) * 4)::int as class,
-  ('0x' || md5(coalesce(doc_id::varchar, ''))[1:4])::bigint % n.salts as salt,
+  ('0x' || md5(coalesce(doc_id::varchar, '') || md5(text))[1:4])::bigint % n.salts as salt,
   ('0x' || md5(case when d.source is null then 'n' else 's' || d.source end)[1:6])::bigint as start
   from d join t on d.source is not distinct from t.source, n),
 p as (select *, start + sum(units) over (partition by source order by class, salt, size, doc_id nulls first, md5(text) rows unbounded preceding) as upto from u)
