@@ -6,13 +6,15 @@
    Jaccard t or more shares at least ``floor`` of its k retained values, so a class is
    listed only under its ``size - floor + 1`` rarest values, values that nobody shares
    counting first. Most classes vanish here.
-3. Each class is compared exactly with the class that heads most of its lists, and with
-   the others in its block of about BLOCK followers. That is linear in the size of a
-   group and joins nearly all copies of one text.
-4. Classes that lists connect form groups. Where a group still holds several components,
-   blocks of classes of different components are compared: first their sketches, with the
-   estimate of the union sketch as a filter, then, within the finer groups that pass, the
-   full sets, exactly. The largest component's blocks never meet one another.
+3. Each class is compared with the class that heads most of its lists, and with the
+   others in its block of about BLOCK followers: first the sketches, with the estimate of the
+   union sketch as a filter, then the full sets of those that pass, exactly. That is linear in
+   the size of a group and joins nearly all copies of one text.
+4. What is left are classes of different components that share a list. Lists that
+   connect no more than BLOCK classes are compared together, in one block; beyond that each list is
+   compared by itself, so a long chain of lists costs what its lists cost, not the square of
+   its length. Again sketches come first, and full sets only within the finer groups that
+   pass. The largest component's blocks never meet one another.
 5. Comparisons are matrix products over a block pair. Only a forest of the links leaves a
    task; components follow from the forests.
 
@@ -23,7 +25,8 @@ below 2e-9 (Chernoff), less for likelier pairs; sets of up to k shingles are exa
 Defined results: texts without words have an empty set and link with nothing; a null id
 has a null component and is kept; rows that repeat an id and text share a class, and an
 id with several texts belongs to the components of them all (the least one is given).
-Extra columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
+Extra columns are ignored by ``near_duplicates`` and kept by ``deduplicate``. An empty table
+gives no rows. A text of any length is read whole; its set is held by the tasks that compare it.
 """
 
 from __future__ import annotations
@@ -164,26 +167,50 @@ def cross_blocks(state: DataFrame) -> DataFrame:
     return state.join(split, "grp").select("grp", own.alias("own"), F.lit(0).alias("lo"), hi.alias("hi"), "node", "comp")
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(grp, i, j, …): each row once for every pair of blocks (i, j) that its own block is in."""
+    spread = rows.withColumn("other", F.explode(F.sequence("lo", "hi")))
+    spread = spread.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *[c for c in rows.columns if c not in ("grp", "lo", "hi")])
+    return spread.repartition(n_shards(rows.sparkSession), "grp", "i", "j")  # else all blocks of a group would share a task
+
+
+def _opened(block: pa.Table, payload: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row numbers in the order of nodes, and the payloads in that order."""
+    order = np.argsort(block.column("node").to_numpy(), kind="stable")
+    column = block.column(payload).combine_chunks()
+    flat, offsets = column.values.to_numpy().view(U), column.offsets.to_numpy()
+    return order, [flat[offsets[r] : offsets[r + 1]] for r in order]
+
+
 def compared(rows: DataFrame, payload: str, test, name: str, cross: bool = True) -> DataFrame:
     """Links (a, b) that ``test`` finds between components, block by block; ``cross``: only between the two blocks of a pair."""
-    spread = rows.withColumn("other", F.explode(F.sequence("lo", "hi")))
-    spread = spread.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", payload)
-    spread = spread.repartition(n_shards(rows.sparkSession), "grp", "i", "j")  # else all blocks of a group would share a task
 
     def task(block: pa.Table) -> pa.Table:
-        ids = block.column("node").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        column = block.column(payload).combine_chunks()
-        flat, offsets = column.values.to_numpy().view(U), column.offsets.to_numpy()
-        sets = [flat[offsets[r] : offsets[r + 1]] for r in order]
+        order, sets = _opened(block, payload)
         comp, side = block.column("comp").to_numpy()[order], block.column("own").to_numpy()[order]
         found = test(sets) & (comp[:, None] != comp[None, :])
         if cross and (side != side[0]).any():
             found &= side[:, None] != side[None, :]
-        a, b = forest(ids[order], found)
+        a, b = forest(block.column("node").to_numpy()[order], found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return persisted(spread.groupBy("grp", "i", "j").applyInArrow(task, "a long, b long"), name)
+    return persisted(block_pairs(rows).groupBy("grp", "i", "j").applyInArrow(task, "a long, b long"), name)
+
+
+def promising(rows: DataFrame, test, name: str) -> DataFrame:
+    """(grp, own, lo, hi, node, comp) of the rows whose sketch ``test`` finds like another one in their block. Rows of no block partner go."""
+
+    def task(block: pa.Table) -> pa.Table:
+        order, sets = _opened(block, "sketch")
+        found = test(sets)
+        np.fill_diagonal(found, False)
+        kept = block.take(pa.array(order[found.any(1)]))
+        n, j = kept.num_rows, kept.column("j")
+        own = np.where(kept.column("own").to_numpy() < 0, -1, j.to_numpy()).astype(np.int32)
+        other = np.where(own < 0, j.to_numpy(), -1).astype(np.int32)
+        return pa.table({"grp": kept.column("grp"), "own": own, "lo": other, "hi": other, "node": kept.column("node"), "comp": kept.column("comp")}) if n else pa.table({k: pa.array([], t) for k, t in zip(("grp", "own", "lo", "hi", "node", "comp"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)})
+
+    return persisted(block_pairs(rows).groupBy("grp", "i", "j").applyInArrow(task, "grp long, own int, lo int, hi int, node long, comp long"), name)
 
 
 def with_full_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -223,12 +250,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     classes = persisted(filled.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = persisted(listed(classes, k, floor, percent / 100), "lists")
     stars = persisted(star_blocks(lists), "stars")
-    near = compared(with_full_sets(stars, docs, width), "shingles", linked, "star-links", cross=False)
+    own_sketch = classes.select("node", "sketch")
+    alike = promising(stars.join(own_sketch, "node"), likely, "star-alike")
+    near = compared(with_full_sets(alike, docs, width), "shingles", linked, "star-links", cross=False)
     first = components(near)
 
-    coarse = components(stars.filter("own >= 0").select(F.col("node").alias("a"), F.col("grp").alias("b")).unionByName(list_links(lists)))
-    state = in_components(coarse.withColumnRenamed("component", "grp"), first)
-    sketched = cross_blocks(state).join(classes.select("node", "sketch"), "node")
+    state = in_components(list_groups(lists), first)
+    sketched = cross_blocks(state).join(own_sketch, "node")
     maybe = compared(sketched, "sketch", likely, "likely")
     fine = components(maybe.unionByName(state.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b"))).withColumnRenamed("component", "grp")
     more = compared(with_full_sets(cross_blocks(in_components(fine, first)), docs, width), "shingles", linked, "links")
@@ -246,6 +274,16 @@ def list_links(lists: DataFrame) -> DataFrame:
     return lists.join(least, "value").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def list_groups(lists: DataFrame) -> DataFrame:
+    """(grp, node): groups within which classes share lists. What lists connect is one group of up to BLOCK classes, and beyond that a group for each list."""
+    chained = components(list_links(lists)).withColumnRenamed("component", "chain")
+    chained = persisted(chained.join(chained.groupBy("chain").agg(F.count(F.lit(1)).alias("n")), "chain"), "chains")
+    small = chained.filter(F.col("n") <= BLOCK).select(F.col("chain").alias("grp"), "node")
+    long = chained.filter(F.col("n") > BLOCK).select("node")
+    # values are hashes and small groups are named by ids: a clash only joins two groups, which is compared too
+    return small.unionByName(lists.join(long, "node").select(F.col("value").alias("grp"), "node"))
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """Adds __key, one for each id and text: the id for the text of least digest, a number beyond all ids for its other texts and for texts without an id."""
     named = F.col("doc_id").isNotNull()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import fingerprints, langid, lm, mixing, neardup, substrings
 from tests.llm import brute
@@ -75,6 +76,36 @@ def test_many_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.components(data, 4)
 
 
+def chain(n):
+    """Texts that each share one half with the text before and one with the text after: none alike, all connected by rare values."""
+    half = lambda i: " ".join(f"c{i}x{j}" for j in range(60))
+    return [(i, f"{half(i)} {half(i + 1)}") for i in range(n)]
+
+
+def test_unlike_texts_that_share_rare_values_cost_what_their_lists_cost(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    none = spark.createDataFrame([], "node long, component long")
+    sent = []
+    for n in (100, 400):
+        docs = spark.createDataFrame(chain(n), "doc_id long, text string")
+        made = neardup.sketches(docs, 5)
+        classes = made.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+        groups = neardup.list_groups(neardup.listed(classes, neardup.K, neardup.FLOOR, 0.8))
+        sent.append(neardup.block_pairs(neardup.cross_blocks(neardup.in_components(groups, none))).count())
+    assert sent[1] < 4.5 * sent[0] and sent[1] < 400 * 80
+    docs = [*chain(60), (500, chain(60)[7][1] + " end"), (501, chain(60)[7][1]), (502, chain(60)[30][1])]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.components(docs, 5)
+
+
+def test_long_texts_of_one_group(spark):
+    rng = random.Random(5)
+    base = sentence(rng, 20_000, 90_000)
+    docs = [(1, base), (2, base + " end"), (3, "start " + base), (4, sentence(rng, 20_000, 90_000)), (5, base), (6, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6}
+
+
 @pytest.mark.parametrize("held", [64, 1 << 20])
 def test_repeated_windows(spark, tables, held):
     docs = spark.read.parquet(f"{tables['folder']}/full/documents.parquet").select("doc_id", "text")
@@ -166,6 +197,29 @@ def test_mixing_rules(spark, tables):
         assert abs(sum(r.copies for r in rs) - rate * len(rs)) <= 1
 
 
+def test_targets_of_many_sources(spark):
+    """Against water filling by hand: shares by weight, what is over three times a size goes round again."""
+    rng = random.Random(3)
+    sizes = {f"host{i:04d}" if i else None: rng.choice([0, 3, 50, 1000, 200_000]) for i in range(700)}
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    want, free, left = {}, set(names), sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        for s in full:
+            want[s] = 3 * sizes[s]
+            left -= want[s]
+        free -= full
+        if not full or not free:
+            break
+    want |= {s: level * weight[s] for s in free}
+    rows = [("n" if s is None else f"s{s}", s, n) for s, n in sizes.items()]
+    got = mixing.targets(spark.createDataFrame(rows, "__source string, source string, source_size long")).collect()
+    assert {r.source: r.weight for r in got} == weight
+    assert {r.source: r.target for r in got} == pytest.approx(want)
+
+
 def test_language_of_odd_texts():
     model = langid.Model()
     assert model.predict([b"abc", b""])[0] == ["und", "und"]
