@@ -48,18 +48,19 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
-    """Delete the folders written since mark ``since`` (a length of the list so far), but for ``keep``. For results that are written already."""
-    for path in [p for p in _scratch[since:] if p not in keep]:
+def scratch_mark() -> int:
+    """How many folders have been written so far, for ``clear_scratch``."""
+    return len(_scratch)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep_last: bool = True) -> None:
+    """Delete the folders written after a mark, but for the last one. Only for results that are written already."""
+    for path in _scratch[since : len(_scratch) - keep_last]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _scratch.remove(path)
 
 
-def scratch_mark() -> int:
-    return len(_scratch)
-
-
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

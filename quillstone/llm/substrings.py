@@ -295,8 +295,24 @@ def gather(decided: DataFrame, shards: int) -> DataFrame:
     return decided.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc_id long, text_key long, spans binary")
 
 
-def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = MOST_CELLS, most_held: int = FLUSH) -> DataFrame:
-    """All columns of docs, n_words, n_removed and kept_text (the words left, joined by one space)."""
+def uncut(text: bytes, kept: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The runs of kept words as they are written, with one space, or a line break where the text between them has one, in between."""
+    first, n = _runs(kept)
+    parts: list[bytes] = []
+    for a, b in zip(first.tolist(), (first + n - 1).tolist(), strict=True):
+        if parts:
+            parts.append(b"\n" if b"\n" in text[last : start[a]] else b" ")
+        parts.append(text[start[a] : end[b]])
+        last = end[b]
+    return b"".join(parts)
+
+
+def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = MOST_CELLS, most_held: int = FLUSH, as_written: bool = False) -> DataFrame:
+    """All columns of docs, n_words, n_removed and kept_text: the words left, joined by one space.
+
+    ``as_written`` keeps the white space between words that stay together, and puts a line
+    break where one was cut out, else a space; texts that lose nothing stay as they are.
+    """
     spark = docs.sparkSession
     shards, words = n_ranges(docs)
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
@@ -324,7 +340,11 @@ def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = MOST_CEL
             for i, x in enumerate(texts):
                 lo, hi = w.low[i], w.low[i] + w.count[i]
                 base = w.first[i]
-                if dropped[i]:
+                if dropped[i] and as_written:
+                    kept.append(uncut(x, (np.flatnonzero(~gone[lo:hi]) + lo), w.start - base, w.end - base))
+                elif as_written:
+                    kept.append(x)
+                elif dropped[i]:
                     use = np.flatnonzero(~gone[lo:hi]) + lo
                     kept.append(b" ".join([x[a:b] for a, b in zip((w.start[use] - base).tolist(), (w.end[use] - base).tolist(), strict=True)]))
                 else:
