@@ -10,10 +10,9 @@
    others in its block of about BLOCK followers: first the sketches, with the estimate of the
    union sketch as a filter, then the full sets of those that pass, exactly. That is linear in
    the size of a group and joins nearly all copies of one text.
-4. What is left are classes of different components that share a list. Lists that
-   connect no more than BLOCK classes are compared together, in one block; beyond that each list is
-   compared by itself, so a long chain of lists costs what its lists cost, not the square of
-   its length. Again sketches come first, and full sets only within the finer groups that
+4. What is left are classes of different components that share a list. The classes that
+   lists connect are compared as one group where that sends fewer rows than comparing each list by
+   itself, so a long chain of lists costs what its lists cost, not the square of its length. Again sketches come first, and full sets only within the finer groups that
    pass. The largest component's blocks never meet one another.
 5. Comparisons are matrix products over a block pair. Only a forest of the links leaves a
    task; components follow from the forests.
@@ -275,13 +274,15 @@ def list_links(lists: DataFrame) -> DataFrame:
 
 
 def list_groups(lists: DataFrame) -> DataFrame:
-    """(grp, node): groups within which classes share lists. What lists connect is one group of up to BLOCK classes, and beyond that a group for each list."""
-    chained = components(list_links(lists)).withColumnRenamed("component", "chain")
-    chained = persisted(chained.join(chained.groupBy("chain").agg(F.count(F.lit(1)).alias("n")), "chain"), "chains")
-    small = chained.filter(F.col("n") <= BLOCK).select(F.col("chain").alias("grp"), "node")
-    long = chained.filter(F.col("n") > BLOCK).select("node")
-    # values are hashes and small groups are named by ids: a clash only joins two groups, which is compared too
-    return small.unionByName(lists.join(long, "node").select(F.col("value").alias("grp"), "node"))
+    """(grp, node): groups within which classes share lists. What lists connect is one group where that sends fewer rows, else each of its lists is a group."""
+    blocks_of = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK)
+    chained = persisted(components(list_links(lists)).withColumnRenamed("component", "chain"), "chains")
+    members = persisted(lists.join(chained, "node").select("chain", "value", "node"), "list-members")
+    by_list = members.groupBy("chain", "value").agg(F.count(F.lit(1)).alias("m")).groupBy("chain").agg(F.sum(blocks_of("m")).alias("by_list"))
+    whole = chained.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).join(by_list, "chain").filter(blocks_of("n") <= F.col("by_list")).select("chain")
+    together = chained.join(whole, "chain", "left_semi").select(F.col("chain").alias("grp"), "node")
+    # values are hashes and chains are named by ids: a clash only joins two groups, which is compared too
+    return together.unionByName(members.join(whole, "chain", "left_anti").select(F.col("value").alias("grp"), "node"))
 
 
 def with_keys(docs: DataFrame) -> DataFrame:

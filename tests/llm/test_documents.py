@@ -83,7 +83,7 @@ def chain(n):
 
 
 def test_unlike_texts_that_share_rare_values_cost_what_their_lists_cost(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
     none = spark.createDataFrame([], "node long, component long")
     sent = []
     for n in (100, 400):
