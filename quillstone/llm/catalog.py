@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from quillstone.llm import checked
 from quillstone.llm.bpe import op10_bpe
 from quillstone.llm.fingerprints import op2_fingerprints
 from quillstone.llm.langid import op3_langid
@@ -14,5 +15,5 @@ from quillstone.llm.substrings import op7_substrings
 from quillstone.llm.urls import op6_urls
 from quillstone.llm.warc import ORACLE_OP1, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op2_fingerprints": op2_fingerprints, "op3_langid": op3_langid, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_substrings": op7_substrings, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_bpe": op10_bpe, "pipeline": corpus_pipeline.run}
-ORACLES = {"op1_warc": ORACLE_OP1, "op4_mixing": ORACLE_OP4}
+QUERIES = {"op1_warc": op1_warc, "op2_fingerprints": op2_fingerprints, "op3_langid": op3_langid, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_substrings": op7_substrings, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_bpe": op10_bpe, "pipeline": corpus_pipeline.run, **checked.QUERIES}
+ORACLES = {"op1_warc": ORACLE_OP1, "op4_mixing": ORACLE_OP4, "op5_neardup": checked.ORACLE_OP5, "op7_substrings": checked.ORACLE_OP7, **checked.ORACLES}

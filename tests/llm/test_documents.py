@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillstone.llm import fingerprints, langid, lm, mixing, neardup, substrings
@@ -160,17 +161,44 @@ def test_common_words_are_found(spark):
     assert {int(lm.BEGIN), int(lm.streams([b"the"], 1)[0][0])} < set(lay.common) and len(lay.common) < 5
 
 
+def sketch(text, k=128, width=5):
+    """The k least distinct hashes of the text's shingles, with the hash computed by another library."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chained(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed=seed)
+        return signed(seed)
+
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), seed=42)) for x in brute.words(text)]
+    runs = [w[i : i + width] for i in range(len(w) - width + 1)] if len(w) >= width else [w] if w else []
+    return sorted({chained(r) for r in runs})[:k]
+
+
+def alike(a, b, k=128):
+    union = sorted({*a, *b})[:k]
+    return len({*union} & {*a} & {*b}) / len(union) if union else 1.0
+
+
 def test_fingerprints(spark, tables):
     docs = sorted(((i, t or "") for i, t, _ in tables["full"]), reverse=True)
-    five = lambda t: {tuple(x) for w in [brute.words(t)] for x in ([w[i : i + 5] for i in range(len(w) - 4)] if len(w) > 4 else [w] if w else [])}
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    shown = lambda s: ".".join(f"{v % (1 << 64):X}" for v in s)
     got = {r.doc_id: r for r in fingerprints.op2_fingerprints(spark, f"{tables['folder']}/full").collect()}
     for n, (i, t) in enumerate(docs):
         after = docs[(n + 1) % len(docs)][1]
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, new, next_ = sketch(t), sketch(edited), sketch(after)
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), brute.sha(edited))
-        assert abs(got[i].near_edited - like(five(t), five(edited))) < 0.2
-        assert abs(got[i].near_next - like(five(t), five(after))) < 0.2
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own), shown(new))
+        assert got[i].near_edited == pytest.approx(alike(own, new)) and got[i].near_next == pytest.approx(alike(own, next_))
+
+
+def test_odd_fingerprints(spark, tables):
+    """Repeated ids and texts, null ids and texts: one row each, and equal texts have equal fingerprints."""
+    got = fingerprints.op2_fingerprints(spark, f"{tables['folder']}/odd").collect()
+    odd = {"a b c d e f": 1, "": 1, "same text here it is": 3, "another text of one id": 1}
+    assert sorted(r.fingerprint for r in got) == sorted(f for t, n in odd.items() for f in [".".join(f"{v % (1 << 64):X}" for v in sketch(t))] * n)
 
 
 def test_sketches_merge(spark):
