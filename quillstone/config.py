@@ -11,6 +11,8 @@ class Config:
     chunk_max_chars: int = 4500
     chunk_overlap_chars: int = 350
     chunk_min_chars: int = 200
+    #: Most characters of a text that go to the embedder.
+    embed_chars: int = 12_000
     # live retrieval
     top_k: int = 30
     similarity: float = 0.14

@@ -120,6 +120,16 @@ def loc_label(kind: Column, start: Column, end: Column, anchor: Column) -> Colum
     return F.when((kind == "page") & start.isNotNull(), page).otherwise(F.coalesce(anchor, F.lit("")))
 
 
+def embed_text(doc: Column, loc: Column, tags: Column, text: Column) -> Column:
+    """What is embedded: a header that names the document, the place and the tags, then the whole text."""
+    return F.concat_ws("\n", F.concat(F.lit("DOCUMENT: "), doc), F.concat(F.lit("LOCATION: "), loc), F.concat(F.lit("TAGS: "), F.array_join(tags, ",")), text)
+
+
+def search_text(doc: Column, loc: Column, tags: Column, text: Column) -> Column:
+    """What is searched: the short header and the whole text."""
+    return F.concat_ws("\n", F.concat(F.lit("DOC: "), doc), F.concat(F.lit("LOC: "), loc), F.concat(F.lit("TAGS: "), F.array_join(tags, ",")), text)
+
+
 def words_of(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 

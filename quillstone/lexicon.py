@@ -9,32 +9,71 @@ from __future__ import annotations
 QUERY_STOP = "kya hai kon kaun ki ka ke se ko ne ye yeh what who is the a an of in for and how where when which does was are kia hain mein par say hota hoti hote karta karte karo bata batao wala wali".split()
 SUBJECT_STOP = "what which where when does that this with from about have been will shall their these salary scale detail full explain the for and how are is can may should".split()
 OVERLAP_STOP = "the a an is are was were to of and or in on at for from by with about tell me who what when where why how please".split()
-INTENT_STOP = "role roles duty duties function functions responsibility responsibilities tor tors term terms reference criteria criterion eligibility eligible qualification qualifications experience education minimum required requirement requirements position positions post posts job jobs main most".split()
 KEEP_SHORT = "ai ml it hr ipo cto tor tors dg eo io sso".split()
 
-ABBREVIATIONS = {"cto": "Chief Technology Officer", "dg": "Director General", "mgr": "Manager", "hr": "Human Resources", "it": "Information Technology", "eo": "Enforcement Officer", "io": "Investigation Officer", "sso": "System Support Officer", "tor": "Terms of Reference", "jd": "Job Description", "sr": "Service Rules", "lms": "Learning Management System", "faqs": "Frequently Asked Questions", "schedudle": "schedule", "scheduel": "schedule", "scedule": "schedule", "schdule": "schedule"}
+#: Abbreviations and misspellings of 'schedule'. Fixed values; the pay package of one organisation is left out.
+ABBREVIATIONS = {
+    "cto": "Chief Technology Officer", "dg": "Director General", "mgr": "Manager", "hr": "Human Resources", "it": "Information Technology",
+    "eo": "Enforcement Officer", "io": "Investigation Officer", "sso": "System Support Officer", "tor": "Terms of Reference",
+    "jd": "Job Description", "sr": "Service Rules", "lms": "Learning Management System", "faqs": "Frequently Asked Questions",
+    "schedudle": "schedule", "scheduel": "schedule", "scedule": "schedule", "sehdule": "schedule", "skedule": "schedule",
+    "schdule": "schedule", "shcedule": "schedule", "shadule": "schedule", "schedul": "schedule",
+}
 ROMAN = {"1": "I", "2": "II", "3": "III", "4": "IV", "5": "V", "6": "VI", "7": "VII", "8": "VIII", "9": "IX", "10": "X"}
-TYPOS = {"genral": "general", "directer": "director", "diretor": "director", "suport": "support", "salery": "salary", "salarey": "salary", "offcer": "officer", "oficer": "officer", "manger": "manager", "enforcment": "enforcement", "moniter": "monitor", "additonal": "additional", "asistant": "assistant", "benifit": "benefit", "allowence": "allowance", "compansation": "compensation", "responsibilties": "responsibilities", "qualificaton": "qualification", "experiance": "experience", "regulaton": "regulation", "notificaton": "notification"}
-EXPANSION_TRIGGERS = ["salary", "pay", "allowance", "benefit", "scale", "grade", "compensation", "detail", "full", "sab kuch", "batao", "explain", "structure", "tankhwah", "kitni", "payscale"]
-PAY_WORDS = ["salary", "pay", "allowance", "benefit", "tankhwah", "maash", "kitni", "compensation", "scale", "number", "amount"]
+#: Common misspellings. Fixed values.
+TYPOS = {
+    "genral": "general", "genreal": "general", "gneral": "general",
+    "directer": "director", "diretor": "director", "drector": "director",
+    "suppor": "support", "suport": "support", "suppert": "support",
+    "salarey": "salary", "salaray": "salary", "salery": "salary",
+    "offcer": "officer", "oficer": "officer", "offier": "officer",
+    "manger": "manager", "mangaer": "manager", "maneger": "manager",
+    "enforcment": "enforcement", "enforcemnt": "enforcement",
+    "moniter": "monitor", "monitering": "monitoring", "montioring": "monitoring",
+    "additonal": "additional", "aditional": "additional",
+    "asistant": "assistant", "assistent": "assistant",
+    "benifit": "benefit", "benfit": "benefit", "benifits": "benefits",
+    "allowence": "allowance", "alowance": "allowance",
+    "compansation": "compensation", "compenstion": "compensation",
+    "responsibilties": "responsibilities", "responsibiliy": "responsibility",
+    "qualificaton": "qualification", "qualifcation": "qualification",
+    "experiance": "experience", "experienc": "experience",
+    "regulaton": "regulation", "regulaion": "regulation",
+    "notificaton": "notification", "noification": "notification",
+    "suppo": "support",
+}
+#: Words of a question that call for neighbouring pages. Fixed values.
+EXPANSION_TRIGGERS = ["salary", "pay", "allowance", "benefit", "scale", "grade", "compensation", "detail", "full", "sab kuch", "batao", "explain", "structure", "salay", "tankhwah", "tankha", "kitni", "payscale", "pay scale", "maaash", "maash"]
 KEEP_MARKS = ["schedule", "annex", "appendix", "terms of reference", "chief technology officer"]
 REFUSALS = ["not available in the provided context", "not found in the provided", "i couldn't find", "i could not find", "no information available", "not mentioned in the context", "available nahi hai", "information is not available"]
 
-#: Pattern (between word boundaries) -> tag, in order.
+#: Pattern (from a word boundary to the next) -> tag, in order. Fixed values.
 TAGS = [
     ("schedule", "schedule"), ("scheduled", "scheduled"), ("annex(ure)?", "annexure"), ("appendix", "appendix"), ("table", "table"),
     ("shall\\s+consist", "composition"), ("consist\\s+of", "composition"), ("composition", "composition"), ("constitution", "constitution"), ("member(s)?", "members"),
-    ("chairperson", "chairperson"), ("secretary", "secretary"), ("director\\s+general", "director general"), ("complaint(s)?", "complaint"), ("hearing(s)?", "hearing"),
+    ("chairperson", "chairperson"), ("vice\\s+chairperson", "vice chairperson"), ("secretary", "secretary"), ("director\\s+general", "director general"),
+    ("complaint(s)?", "complaint"), ("public\\s+complaint(s)?", "public complaint"), ("hearing(s)?", "hearing"), ("hearing\\s+officer", "hearing officer"),
     ("grievance", "grievance"), ("appeal", "appeal"), ("procedure", "procedure"), ("process", "process"), ("how\\s+to", "how to"),
-    ("purpose", "purpose"), ("objective(s)?", "objectives"), ("function(s)?", "functions"), ("mandate", "mandate"), ("vision", "vision"),
-    ("mission", "mission"), ("recruitment", "recruitment"), ("qualification(s)?", "qualification"), ("experience", "experience"), ("contract(ual)?", "contract"),
-    ("probation", "probation"), ("termination", "termination"), ("misconduct", "misconduct"), ("faq", "faq"), ("question(s)?", "questions"), ("answer(s)?", "answers"),
+    ("purpose", "purpose"), ("objective(s)?", "objectives"), ("function(s)?", "functions"), ("mandate", "mandate"), ("established\\s+to", "established to"),
+    ("vision", "vision"), ("mission", "mission"), ("recruitment", "recruitment"), ("eligibil[\\p{L}\\p{N}_]*", "eligibility"), ("qualification(s)?", "qualification"),
+    ("experience", "experience"), ("contract(ual)?", "contract"), ("probation", "probation"), ("termination", "termination"),
+    ("disciplin[\\p{L}\\p{N}_]*", "discipline"), ("misconduct", "misconduct"), ("faq", "faq"), ("frequently\\s+asked", "faq"), ("question(s)?", "questions"), ("answer(s)?", "answers"),
 ]
+#: Intent, the words that show it, and the terms that it adds to a question. Fixed values, but for names of one organisation.
 INTENTS = [
-    ("composition", "composition|constitution|constitute|consist|comprise|members?|authority", "shall consist comprise constitution member chairperson vice secretary include following"),
-    ("criteria", "criteria|criterion|qualification|qualify|required|requirement|experience|education|minimum|degree|age|skills?", "eligibility criteria qualification experience education minimum required requirement age degree"),
-    ("complaint", "complaint|complain|grievance|petition|hearing|appeal", "complaint hearing file submit procedure process"),
-    ("vision", "vision|mission|objectives?|purpose|aims?|mandate", "purpose objectives functions mandate aim established"),
-    ("role", "roles?|tors?|terms of reference|duty|duties|function|job description", "terms reference duties responsibilities job description reports reporting manager"),
+    ("composition", "composition|constitut|constitution|constitute|consist|comprise|members?|authority", "shall consist comprise constitution member chairperson vice secretary include following"),
+    ("criteria", "criteria|criterion|eligib|qualification|qualify|required|requirement|experience|education|minimum|degree|age|skills?", "eligibility criteria qualification experience education minimum required requirement age degree"),
+    ("complaint", "complaint|complain|grievance|petition|hearing|hearing officer|appeal", "complaint complaints hearing hearing officer file submit procedure process"),
+    ("vision", "vision|mission|objective|objectives|purpose|aim|aims|mandate", "purpose objectives functions mandate aim established"),
+    ("role", "role|roles|tor|tors|terms of reference|duty|duties|responsibil|function|job description", "terms reference duties responsibilities job description reports reporting manager"),
+    ("schedule", "schedule|scheduled +laws|annex(ure)?|appendix", "schedule scheduled annex annexure appendix section"),
 ]
+#: Phrases that answer questions of an intent. Fixed values, but for names of one organisation.
+PHRASES = {
+    "composition": ["authority shall consist of", "constitution of the authority", "members of the authority", "the authority shall consist", "shall consist of the following members"],
+    "criteria": ["eligibility criteria", "minimum qualification", "qualification and experience", "required qualification", "experience required", "education", "age limit", "skills"],
+    "complaint": ["file a complaint", "how can i file a complaint", "public complaint", "complaints and hearings", "hearing officer", "what happens after i file a complaint"],
+    "vision": ["purpose of the authority", "objectives", "functions of the authority", "mandate", "established to", "for the purpose of"],
+    "role": ["terms of reference", "job description", "duties and responsibilities", "responsibilities include", "shall be responsible for"],
+}
 GREETINGS = "hi|hello|hey|aoa|salam|assalam o alaikum|good morning|good evening"

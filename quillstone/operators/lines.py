@@ -23,14 +23,17 @@ def repeated_lines(units: DataFrame, marks: list[str], depth: int = 2, share: fl
     return counted.filter((F.col("pages") >= least_pages) & (F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share)))).select("doc_name", "norm", "n")
 
 
-def without_repeated(units: DataFrame, repeated: DataFrame, share: float = 0.25, least: int = 3) -> DataFrame:
-    """(doc_name, page, n_lines, n_kept): repeated lines go, unless too little of the page would be left."""
-    lines = page_lines(units).withColumn("norm", T.normal_line(F.col("line")))
-    marked = lines.join(repeated.select("doc_name", "norm", F.lit(True).alias("hit")), ["doc_name", "norm"], "left")
-    gone = F.coalesce("hit", F.lit(False)) | F.rlike(F.lower("line"), F.lit(T.PAGE_NUMBER))
-    pages = marked.groupBy("doc_name", "page").agg(F.count(F.lit(1)).cast("long").alias("n_lines"), F.count_if(~gone).cast("long").alias("kept"))
-    enough = F.col("kept") >= F.greatest(F.lit(least), F.floor(F.col("n_lines") * share))
-    return pages.select("doc_name", "page", "n_lines", F.when(enough, F.col("kept")).otherwise(F.col("n_lines")).alias("n_kept"))
+def without_repeated(units: DataFrame, repeated: DataFrame, share: float = 0.25, least: int = 3, text: str = "text") -> DataFrame:
+    """units with n_lines and kept_lines: repeated lines and page numbers go, unless too little of the page would be left.
+
+    Each document's repeated lines are one short list, joined to its pages; lines are never exploded.
+    """
+    lists = repeated.groupBy("doc_name").agg(F.collect_set("norm").alias("__norms"))
+    joined = units.join(lists, "doc_name", "left").withColumn("__lines", T.line_list(F.col(text)))
+    gone = lambda x: F.rlike(F.lower(x), F.lit(T.PAGE_NUMBER)) | F.coalesce(F.array_contains("__norms", T.normal_line(x)), F.lit(False))
+    cut = joined.withColumn("__left", F.filter("__lines", lambda x: ~gone(x)))
+    enough = F.size("__left") >= F.greatest(F.lit(least), F.floor(F.size("__lines") * share))
+    return cut.select(*units.columns, F.size("__lines").cast("long").alias("n_lines"), F.when(enough, F.col("__left")).otherwise(F.col("__lines")).alias("kept_lines"))
 
 
 def joined_lines(lines: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,20 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
+
 
 def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000, least: int | None = None) -> DataFrame:
     """(query_id, chunk_id, n_found, score) over (chunk_id, text) and (query_id, toks array).
 
     Substring matches: full phrase of two or more tokens .75, all tokens .65, three
     quarters of three or more .60, half of two or more .55. With ``least``, so many found
-    tokens make a hit whatever their share (score 0 below one half). One automaton holds the
-    distinct tokens and phrases of up to ``block`` queries, so a text is read once for
-    all of them, and found tokens become scores by one matrix product per batch.
+    tokens make a hit whatever their share (score 0 below one half). Queries are a stated set,
+    taken in blocks: one automaton holds the distinct tokens and phrases of up to ``block``
+    queries, so a text is read once for all of them, and each found token adds to the counts of
+    the queries that have it.
     """
-    rows = [r for r in queries.select("query_id", "toks").collect() if r[1]]
+    asked = queries.select("query_id", "toks").filter(F.size("toks") > 0).toLocalIterator()
     out = None
-    for start in range(0, len(rows), block):
-        some = rows[start : start + block]
+    while some := [(r[0], r[1]) for r in islice(asked, block)]:
         tokens = sorted({t for _, toks in some for t in toks})
         phrases = sorted({" ".join(toks) for _, toks in some if len(toks) > 1})
 
@@ -36,34 +39,43 @@ def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000, least
             for s, i in number.items():
                 machine.add_word(s, i)
             machine.make_automaton()
-            need = np.zeros((len(number), len(some)), np.float32)
+            lists: list[list[int]] = [[] for _ in number]
+            whole: dict[int, list[int]] = {}
             for q, (_, toks) in enumerate(some):
                 for t in toks:
-                    need[number[t], q] += 1
-            n = np.array([len(toks) for _, toks in some], np.float32)
-            phrase = np.array([number[" ".join(toks)] if len(toks) > 1 else -1 for _, toks in some])
+                    lists[number[t]].append(q)
+                if len(toks) > 1:
+                    whole.setdefault(number[" ".join(toks)], []).append(q)
+            having = [np.array(x, np.int64) for x in lists]
+            n = np.array([len(toks) for _, toks in some])
             ids = np.array([q for q, _ in some])
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    hit = np.zeros((b.num_rows, len(number)), np.float32)
-                    for i, text in enumerate(b.column(1).to_pylist()):
-                        found = {v for _, v in machine.iter(text)} if text else ()
-                        hit[i, list(found)] = 1
-                    count = hit @ need
-                    ratio = count / n
-                    score = np.select([ratio == 1, (ratio >= 0.75) & (n >= 3), (ratio >= 0.5) & (n >= 2)], [0.65, 0.60, 0.55], 0.0)
-                    full = (phrase >= 0) & (hit[:, np.maximum(phrase, 0)] > 0)
-                    score = np.where(full, 0.75, score)
-                    r, q = np.nonzero(score if least is None else (score > 0) | (count >= least))
-                    chunk = b.column(0).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[r], pa.int64()), pa.array(count[r, q].astype(np.int64)), pa.array(score[r, q])], ["query_id", "chunk_id", "n_found", "score"])
+            for b in batches:
+                chunk, parts = b.column(0).to_numpy(zero_copy_only=False), []
+                for i, text in enumerate(b.column(1)):
+                    found = {v for _, v in machine.iter(text.as_py())} if text.is_valid else ()
+                    if not found:
+                        continue
+                    q, count = np.unique(np.concatenate([having[v] for v in found]), return_counts=True)
+                    ratio, size = count / n[q], n[q]
+                    score = np.select([ratio == 1, (ratio >= 0.75) & (size >= 3), (ratio >= 0.5) & (size >= 2)], [0.65, 0.60, 0.55], 0.0)
+                    full = [x for v in found if v in whole for x in whole[v]]
+                    score[np.isin(q, full)] = 0.75
+                    use = score > 0 if least is None else (score > 0) | (count >= least)
+                    parts.append((ids[q[use]], np.full(use.sum(), chunk[i]), count[use], score[use]))
+                if parts:
+                    made = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2].astype(np.int64)), pa.array(made[3])], ["query_id", "chunk_id", "n_found", "score"])
 
         made = units.select("chunk_id", F.lower("text").alias("t")).mapInArrow(task, "query_id long, chunk_id long, n_found long, score double")
         out = made if out is None else out.unionByName(made)
     return units.sparkSession.createDataFrame([], "query_id long, chunk_id long, n_found long, score double") if out is None else out
 
 
+def if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, which are counted."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ranked(hits: DataFrame, per: tuple[str, ...], *order) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(W.partitionBy(*per).orderBy(*order)))
 
@@ -99,15 +111,55 @@ def by_document(hits: DataFrame) -> DataFrame:
     return ranked(g, ("query_id",), F.desc("max_score"), "first").select("query_id", "doc_name", "n_hits", "max_score", F.array_join(F.transform("chunks", lambda c: c.cast("string")), ",").alias("chunks"), F.col("rn").cast("long").alias("doc_rank"))
 
 
-def injected(hits: DataFrame, asks: DataFrame, units: DataFrame, marks: list[str], score: float) -> DataFrame:
-    """(query_id, chunk_id, score): for queries that ask and have no hit with all marks, every chunk that has them."""
+def injected(hits: DataFrame, asks: DataFrame, units: DataFrame, marks: list[str], score: float, most: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): for queries that ask and have no hit with all marks, the chunks that have them.
+
+    ``most`` keeps the first ones by id, where only so many are wanted.
+    """
     marked = units.select("chunk_id", "text")
     for m in marks:
         marked = marked.filter(F.contains("text", F.lit(m)))
-    marked = marked.select("chunk_id")
+    return given(hits, asks, marked.select("chunk_id"), score, most)
+
+
+def given(hits: DataFrame, asks: DataFrame, marked: DataFrame, score: float, most: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the ``marked`` chunks for the queries of ``asks`` that have none of them among their hits."""
     has = hits.join(marked, "chunk_id", "left_semi").select("query_id").distinct()
     need = asks.select("query_id").join(has, "query_id", "left_anti")
-    return marked.join(F.broadcast(need)).select("query_id", "chunk_id", F.lit(score).alias("score"))
+    chosen = marked if most is None else marked.orderBy("chunk_id").limit(most)
+    # every query takes every marked chunk: the result has that many rows by definition
+    return chosen.join(if_small(need)).select("query_id", "chunk_id", F.lit(score).alias("score"))
+
+
+def with_overlap(hits: DataFrame, keys: DataFrame, units: DataFrame, stop: list[str], short: list[str]) -> DataFrame:
+    """Hits with what else ``units`` holds and ``overlap``: how many of the question's keywords are tokens of the text. Only texts of hits are tokenised."""
+    wanted = hits.select("chunk_id").distinct()
+    texts = units.join(wanted, "chunk_id", "left_semi").withColumn("__toks", T.overlap_tokens(F.col("text"), stop, short)).drop("text")
+    near = hits.join(if_small(keys), "query_id").join(texts, "chunk_id")
+    return near.withColumn("overlap", F.size(F.array_intersect("keys", "__toks")).cast("long")).drop("keys", "__toks")
+
+
+def criteria_first(hits: DataFrame, lead: int = 2) -> DataFrame:
+    """(query_id, doc_name, doc_rank): the ``lead`` documents with most phrases and overlap come first, the others stay in the order of their best score."""
+    g = hits.groupBy("query_id", "doc_name").agg(F.max("blend").alias("score"), F.sum("overlap").alias("overlap"), F.sum("phrases").alias("phrases"))
+    every = W.partitionBy("query_id")
+    s = g.withColumn("signal", F.round(10 * F.col("phrases") + 1.5 * F.col("overlap") + F.col("score"), 6)).withColumn("base", F.row_number().over(every.orderBy(F.desc("score"), "doc_name")))
+    led = s.withColumn("lead", F.row_number().over(every.orderBy(F.desc("signal"), "doc_name")) <= lead)
+    key = F.when(F.col("lead"), -F.col("signal")).otherwise(F.col("base").cast("double"))
+    return ranked(led, ("query_id",), F.desc("lead"), key, "doc_name").select("query_id", "doc_name", F.col("rn").cast("long").alias("doc_rank"))
+
+
+def spelling(vocabulary: DataFrame, queries: DataFrame, distance: int = 2, most: int = 3) -> DataFrame:
+    """(tok, word, dist): the nearest known words of each question token of letters.
+
+    Words meet tokens of their first letter and of each length within ``distance``, so blocks stay small; texts
+    never take part.
+    """
+    v = vocabulary.filter("word rlike '^[a-z]+$'").select("word", F.left("word", F.lit(1)).alias("k"), F.length("word").alias("n"))
+    t = queries.select(F.explode("toks").alias("tok")).distinct().filter("tok rlike '^[a-z]+$'")
+    t = t.select("tok", F.left("tok", F.lit(1)).alias("k"), F.explode(F.sequence(F.length("tok") - distance, F.length("tok") + distance)).alias("n"))
+    near = v.join(if_small(t), ["k", "n"]).filter("tok <> word").withColumn("dist", F.levenshtein("tok", "word", distance)).filter("dist >= 0")
+    return ranked(near, ("tok",), "dist", "word").filter(F.col("rn") <= most).select("tok", "word", "dist")
 
 
 def blended(hits: DataFrame, weight: float, cap: int) -> DataFrame:

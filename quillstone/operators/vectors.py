@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -2.0, b
     Queries are a stated set: they are brought to the driver in blocks of ``block`` and go
     out with the tasks as one matrix, so a batch of vectors is one matrix product. A task
     returns its own k best per query, and a window over these picks the k best of all.
+    Vectors that are null or of another width than the queries take no part; queries of
+    several widths are refused.
     """
-    rows = queries.orderBy("query_id").collect()
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    asked = queries.filter("embedding is not null").orderBy("query_id").toLocalIterator()
     parts = None
-    for start in range(0, len(rows), block):
-        some = rows[start : start + block]
+    while some := list(islice(asked, block)):
+        if len({len(r[1]) for r in some}) > 1:
+            raise ValueError("query vectors of several widths")
         ids, matrix = np.array([r[0] for r in some]), np.array([r[1] for r in some], np.float64)
 
         def task(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
@@ -53,8 +55,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -2.0, b
                 all_ = pd.concat(held).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
                 yield pa.RecordBatch.from_pandas(all_, preserve_index=False)
 
-        made = vectors.select("vec_id", "embedding").mapInArrow(task, "query_id long, vec_id long, score double")
+        made = vectors.filter(F.size("embedding") == matrix.shape[1]).select("vec_id", "embedding").mapInArrow(task, "query_id long, vec_id long, score double")
         parts = made if parts is None else parts.unionByName(made)
+    if parts is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
 

@@ -69,11 +69,11 @@ ROWISH = rf"(length(line) >= 20 and regexp_matches(line, '\t|  ') and {n_of('lin
 STRUCT = rf"((length(line) >= 18 and (regexp_matches(line, '\t') or {n_of('line', ' ' + chr(92) + '| ')} >= 2)) or regexp_matches(line, '{T.BULLET}'))"
 HEAD = f"(regexp_matches(lower(line), '{T.HEADING}') or (line = upper(line) and line <> lower(line) and {n_of('line', '[A-Za-z]')} between 4 and 40))"
 CAND = lambda x: f"({x} <> '' and length({x}) <= 120 and (regexp_matches(lower({x}), '{PAGE_NO}') or {n_of(x, LETTER)} <= 6 or " + " or ".join(f"contains(lower({x}), '{m}')" for m in MARKS) + "))"
-PAIRS = "pairs as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q join embeddings e on q.vec_id < 20 and q.vec_id <> e.vec_id)"
+PAIRS = "pairs as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q join embeddings e on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)"
 TOPK = lambda k: f"{PAIRS}, hits as (select * from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k})"
 NOT_WORD, NOT_PLAIN = r"[^\p{L}\p{N}_\x09-\x0D -]", r"[^a-z0-9\x{0600}-\x{06FF}\x09-\x0D ]"
 PLAIN = f"regexp_replace(lower(question), '{NOT_WORD}', '', 'g')"
-QTOKS = f"{ASKED}, qt as (select query_id, question, list_filter({word_list(PLAIN)}, lambda w: w not in {in_list(STOP)} and length(w) > 1)[1:4] as toks from asked)"
+QTOKS = f"{ASKED}, qt as (select query_id, question, list_filter({word_list(PLAIN)}, lambda w: w not in {in_list(STOP)} and length(w) > 1) as toks from asked)"
 SCAN = f"""{UNITS}, {QTOKS}, low as (select chunk_id, lower(text) as t from units),
 sc as (select query_id, chunk_id, len(list_filter(toks, lambda w: contains(t, w))) as n_found, len(toks) as n, len(toks) > 1 and contains(t, array_to_string(toks, ' ')) as phrase from qt, low where len(toks) > 0),
 kw as (select query_id, chunk_id, n_found::bigint as n_found, case when phrase then 0.75 when n_found = n then 0.65 when n_found >= 0.75 * n and n >= 3 then 0.6 when n_found >= 0.5 * n and n >= 2 then 0.55 end::double as score from sc where phrase or n_found = n or (n_found >= 0.75 * n and n >= 3) or (n_found >= 0.5 * n and n >= 2))"""
@@ -102,12 +102,21 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d).select("query_id", "question", F.slice(T.query_words(F.col("question"), STOP), 1, 4).alias("toks"))
+    return asked(spark, d).select("query_id", "question", T.query_words(F.col("question"), STOP).alias("toks"))
 
 
 def hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k best of every vector whose id is divisible by 50, among all vectors."""
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
-    return vectors.top_k(e, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), k, block=C.query_block)
+    return vectors.top_k(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, block=C.query_block)
+
+
+def question_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) for every question: those vectors in turn stand for the questions' own."""
+    top = read(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / 50).cast("long").alias("last"))
+    mine = asked(spark, d).join(F.broadcast(top)).select("query_id", (50 * (F.col("query_id") % (F.col("last") + 1))).alias("vec"))
+    found = hits(spark, d, k).withColumnRenamed("query_id", "vec")
+    return found.join(retrieval.if_small(mine), "vec").select("query_id", F.col("vec_id").alias("chunk_id"), "score")
 
 
 def unit_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -139,20 +148,21 @@ def header_footer_candidates(spark, d):
 
 REPEATED = f"""{LINES}, pages as (select doc_name, count(*) as pages from ls where len(a) > 0 group by all),
 edge as (select doc_name, chunk_id, unnest(list_distinct(list_transform(list_filter(list_concat(a[1:2], list_reverse(a)[1:2]), lambda x: {CAND('x')}), lambda x: {norm('x')}))) as norm from ls where len(a) > 0),
-rep as (select doc_name, norm, count(*) as n from edge join pages using (doc_name) group by doc_name, norm, pages having pages >= 3 and count(*) >= greatest(2, floor(pages * 0.01)))"""
+rep as (select doc_name, norm, count(*) as n from edge join pages using (doc_name) group by doc_name, norm, pages having pages >= 3 and count(*) >= greatest(2, floor(pages * 0.6)))"""
 
 
 @query(f"with {REPEATED} select * from rep")
 def header_footer_repeated(spark, d):
-    return lines.repeated_lines(units(spark, d), MARKS, share=0.01)
+    return lines.repeated_lines(units(spark, d), MARKS)
 
 
-@query(f"""with {REPEATED}, g as (select li.doc_name, li.page, rep.n is not null or regexp_matches(lower(line), '{PAGE_NO}') as gone from li left join rep on li.doc_name = rep.doc_name and {norm('line')} = rep.norm),
-p as (select doc_name, page, count(*) as n_lines, count(*) filter (not gone) as kept from g group by all)
-select doc_name, page, n_lines, case when kept >= greatest(3, floor(n_lines * 0.25)) then kept else n_lines end as n_kept from p""")
+@query(f"""with {REPEATED}, g as (select li.chunk_id, line_no, line, rep.n is not null or regexp_matches(lower(line), '{PAGE_NO}') as gone from li left join rep on li.doc_name = rep.doc_name and {norm('line')} = rep.norm),
+p as (select chunk_id, count(*) as n_lines, count(*) filter (not gone) as kept, string_agg(line, chr(10) order by line_no) as every, string_agg(line, chr(10) order by line_no) filter (not gone) as left_ from g group by all)
+select chunk_id, n_lines, case when kept >= greatest(3, floor(n_lines * 0.25)) then kept else n_lines end as n_kept, md5(case when kept >= greatest(3, floor(n_lines * 0.25)) then left_ else every end) as digest from p""")
 def strip_repeated_lines(spark, d):
     u = units(spark, d)
-    return lines.without_repeated(u, lines.repeated_lines(u, MARKS, share=0.01))
+    made = lines.without_repeated(u, lines.repeated_lines(u, MARKS)).filter("n_lines > 0")
+    return made.select("chunk_id", "n_lines", F.size("kept_lines").cast("long").alias("n_kept"), F.md5(F.array_join("kept_lines", "\n")).alias("digest"))
 
 
 @query(rf"""with {LINES}, t as (select chunk_id, line_no::int as line_no, regexp_replace(line, ' (of|de|der) ', '   ', 'g') as line from li)
@@ -223,9 +233,9 @@ def kept_chunks(spark, d):
     return chunking.kept_chunks(pieces, "chunk_id", "slice_no", "piece", 200, KEEP).select("chunk_id", "slice_no")
 
 
-@query(f"with {UNITS} select chunk_id, case when not contains(lower(text), 'the of') then '[Role: the of]' || chr(10) || left(text, 50) else left(text, 50) end as shown from (select chunk_id, left(text, 50) as text from units)")
+@query(f"with {UNITS} select chunk_id, md5(case when not contains(lower(text), 'the of') then '[Role: the of]' || chr(10) || text else text end) as digest from units")
 def role_context(spark, d):
-    return units(spark, d).select("chunk_id", chunking.with_context(F.left("text", F.lit(50)), F.lit("the of")).alias("shown"))
+    return units(spark, d).select("chunk_id", F.md5(chunking.with_context(F.col("text"), F.lit("the of"))).alias("digest"))
 
 
 @query(rf"""with n as (select doc_id, case doc_id % 4 when 0 then 'book ' || doc_id || ' notes.pdf' when 1 then 'My Book' || doc_id || '.pdf' when 2 then 'notebook' || doc_id || '.pdf' else 'annex.pdf' end as name from documents)
@@ -255,12 +265,12 @@ def tag_multi_label(spark, d):
     return units(spark, d).select("chunk_id", F.array_join(T.tags(F.col("text"), TAGS), ",").alias("tags"))
 
 
-@query(f"with {UNITS} select chunk_id, 'DOCUMENT: ' || doc_name || chr(10) || 'LOCATION: Page ' || page || chr(10) || 'TAGS: ' || {tag_sql('text')} || chr(10) || left(text, 300) as embed_text, sha256('DOC: ' || doc_name || chr(10) || text) as search_sha from units")
+@query(f"with {UNITS} select chunk_id, sha256('DOCUMENT: ' || doc_name || chr(10) || 'LOCATION: Page ' || page || chr(10) || 'TAGS: ' || {tag_sql('text')} || chr(10) || text) as embed_sha, sha256('DOC: ' || doc_name || chr(10) || 'LOC: Page ' || page || chr(10) || 'TAGS: ' || {tag_sql('text')} || chr(10) || text) as search_sha from units")
 def embed_text_header(spark, d):
-    u = units(spark, d)
     loc = T.loc_label(F.lit("page"), F.col("page"), F.lit(None).cast("long"), F.lit(None).cast("string"))
-    head = F.concat_ws("\n", F.concat(F.lit("DOCUMENT: "), "doc_name"), F.concat(F.lit("LOCATION: "), loc), F.concat(F.lit("TAGS: "), F.array_join(T.tags(F.col("text"), TAGS), ",")), F.left("text", F.lit(300)))
-    return u.select("chunk_id", head.alias("embed_text"), F.sha2(F.concat_ws("\n", F.concat(F.lit("DOC: "), "doc_name"), "text"), 256).alias("search_sha"))
+    tags = T.tags(F.col("text"), TAGS)
+    made = [F.sha2(f(F.col("doc_name"), loc, tags, F.col("text")), 256) for f in (T.embed_text, T.search_text)]
+    return units(spark, d).select("chunk_id", made[0].alias("embed_sha"), made[1].alias("search_sha"))
 
 
 @query("select doc_id, case when doc_id % 5 = 4 then case when doc_id % 2 = 0 then 'Section ' || source else '' end when doc_id % 3 = 0 then 'Page ' || doc_id else 'Pages ' || doc_id || '-' || doc_id + 2 end as label from documents")
@@ -305,14 +315,11 @@ def vocab(spark, d):
     return units(spark, d).select(F.explode(T.words_of(F.lower("text"))).alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {UNITS}, v as (select w as word, count(*) as n from (select unnest({word_list('lower(text)')}) as w from units) where length(w) between 4 and 12 group by w having count(*) >= 5 and regexp_full_match(w, '[a-z]+')),
+@query(f"""with {UNITS}, v as (select w as word, count(*) as n from (select unnest({word_list('lower(text)')}) as w from units) where length(w) >= 3 group by w having regexp_full_match(w, '[a-z]+')),
 {QTOKS}, t as (select tok from (select distinct unnest(toks) as tok from qt) where regexp_full_match(tok, '[a-z]+')), c as (select tok, word, levenshtein(tok, word) as dist from t join v on left(tok, 1) = left(word, 1) and abs(length(tok) - length(word)) <= 2 where tok <> word)
 select tok, word, dist::int as dist from c where dist <= 2 qualify row_number() over (partition by tok order by dist, word) <= 3""")
 def spell_candidates(spark, d):
-    v = vocab(spark, d).filter("length(word) between 4 and 12 and n >= 5 and word rlike '^[a-z]+$'").select("word", F.left("word", F.lit(1)).alias("k"))
-    t = tokens(spark, d).select(F.explode("toks").alias("tok")).distinct().filter("tok rlike '^[a-z]+$'").withColumn("k", F.left("tok", F.lit(1)))
-    near = v.join(t, "k").filter("abs(length(tok) - length(word)) <= 2 and tok <> word").withColumn("dist", F.levenshtein("tok", "word", 2)).filter("dist >= 0")
-    return retrieval.ranked(near, ("tok",), "dist", "word").filter("rn <= 3").select("tok", "word", "dist")
+    return retrieval.spelling(vocab(spark, d), tokens(spark, d))
 
 
 # ---- vectors ---------------------------------------------------------------------------
@@ -355,12 +362,13 @@ def keyword_scan(spark, d):
     return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block)
 
 
-SEM = f"{PAIRS}, sem as (select query_id, vec_id as chunk_id, score from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= 30)"
+ASKED_HITS = lambda k: f"{PAIRS}, mine as (select query_id, 50 * (query_id % (select max(vec_id) // 50 + 1 from embeddings)) as vec from asked), best as (select * from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}), qhits as (select m.query_id, b.vec_id as chunk_id, b.score from mine m join best b on b.query_id = m.vec)"
+SEM = f"{ASKED_HITS(30)}, sem as (select * from qhits)"
 FUSED = "fu as (select k.query_id, k.chunk_id, round(k.score + coalesce(0.1::double * s.score, 0), 6) as score from kw k left join sem s using (query_id, chunk_id) qualify row_number() over (partition by k.query_id order by round(k.score + coalesce(0.1::double * s.score, 0), 6) desc, k.chunk_id) <= 10)"
 
 
 def semantic(spark, d):
-    return hits(spark, d, 30).withColumnRenamed("vec_id", "chunk_id")
+    return question_hits(spark, d, 30)
 
 
 def fused(spark, d):
@@ -380,7 +388,7 @@ def page_window_expand(spark, d):
     u = units(spark, d)
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
     stored = e.join(u.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
-    first = vectors.top_k(stored, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), C.expanded_hits).withColumnRenamed("vec_id", "chunk_id")
+    first = vectors.top_k(stored, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), C.expanded_hits).withColumnRenamed("vec_id", "chunk_id")
     return retrieval.page_window(first, u, C.page_radius, C.similarity)
 
 
@@ -388,7 +396,7 @@ GROUPED = f"{SCAN}, {SEM}, {FUSED}, {WINDOW.format('fu')}, ev as (select query_i
 
 
 def evidence(spark, d):
-    first = fused(spark, d).persist()  # ten rows a question, used three times
+    first = fused(spark, d)
     u = units(spark, d)
     return first.withColumn("is_context", F.lit(False)).unionByName(retrieval.page_window(first, u, C.page_radius, C.similarity).withColumn("is_context", F.lit(True)))
 
@@ -412,32 +420,46 @@ def merged_routes(spark, d):
     return retrieval.merged(keyword_scan(spark, d), semantic(spark, d))
 
 
-BLEND = "bl2 as (select query_id, vec_id as chunk_id, score, (vec_id % 15) as overlap, label, round(0.75::double * score + 0.25::double * least(vec_id % 15, 12) / 12, 8) as blend from hits join embeddings using (vec_id))"
+PLAIN_TEXT = lambda x: strip(f"regexp_replace(regexp_replace(lower({x}), '{NOT_PLAIN}', ' ', 'g'), '{WS}+', ' ', 'g')")
+STEM = "case when length(t) <= 3 then t when suffix(t, 'ies') and length(t) > 4 then left(t, length(t) - 3) || 'y' when suffix(t, 'es') and length(t) > 4 then left(t, length(t) - 2) when suffix(t, 's') and not suffix(t, 'ss') and length(t) > 4 then left(t, length(t) - 1) else t end"
+
+
+def stems(x: str) -> str:
+    return f"list_transform(list_filter({word_list(x)}, lambda w: w not in {in_list(lexicon.OVERLAP_STOP)} and (length(w) >= 3 or w in {in_list(lexicon.KEEP_SHORT)})), lambda t: {STEM})"
+
+
+PHRASES = ["the of", "of the", "in der"]
+#: The 40 best hits of each question that have a text, with the overlap of the question's keywords and the text's tokens.
+BLEND = f"""{UNITS}, {ASKED}, {ASKED_HITS(40)}, st as (select query_id, {stems(PLAIN_TEXT('question'))} as s from asked), ks as (select query_id, (list_filter(s, lambda v, i: list_position(s, v) = i))[1:12] as keys from st),
+toks as (select chunk_id, doc_name, {stems(PLAIN_TEXT('text'))} as toks, {" + ".join(f"contains(lower(text), '{x}')::int" for x in PHRASES)} as phrases from units where chunk_id in (select chunk_id from qhits)),
+ov as (select h.query_id, h.chunk_id, h.score, doc_name, phrases, len(list_intersect(keys, toks)) as overlap from qhits h join ks using (query_id) join toks using (chunk_id)),
+bl2 as (select *, round(0.75::double * score + 0.25::double * least(overlap, 12) / 12, 8) as blend from ov)"""
 
 
 def blended(spark, d):
-    labels = read(spark, d, "embeddings").select("vec_id", "label")
-    h = hits(spark, d, 40).join(labels, "vec_id").withColumnRenamed("vec_id", "chunk_id").withColumn("overlap", F.col("chunk_id") % 15)
-    return retrieval.blended(h, C.semantic_weight, C.overlap_cap).withColumn("doc_name", F.concat(F.lit("d"), F.col("label").cast("string")))
+    keys = asked(spark, d).select("query_id", T.keywords(F.col("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys"))
+    low = F.lower("text")
+    has = sum((F.contains(low, F.lit(p)).cast("int") for p in PHRASES), F.lit(0)).alias("phrases")
+    h = retrieval.with_overlap(question_hits(spark, d, 40), keys, units(spark, d).select("chunk_id", "doc_name", "text", has), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)
+    return retrieval.blended(h, C.semantic_weight, C.overlap_cap)
 
 
-@query(f"with {TOPK(40)}, {BLEND} select query_id, chunk_id, blend, row_number() over (partition by query_id order by blend desc, score desc, chunk_id) as rank from bl2")
+@query(f"with {BLEND} select query_id, chunk_id, blend, overlap, row_number() over (partition by query_id order by blend desc, score desc, chunk_id) as rank from bl2")
 def blend_rerank(spark, d):
-    return retrieval.ranked(blended(spark, d), ("query_id",), F.desc("blend"), F.desc("score"), "chunk_id").select("query_id", "chunk_id", "blend", F.col("rn").cast("long").alias("rank"))
+    return retrieval.ranked(blended(spark, d), ("query_id",), F.desc("blend"), F.desc("score"), "chunk_id").select("query_id", "chunk_id", "blend", "overlap", F.col("rn").cast("long").alias("rank"))
 
 
-@query(f"with {TOPK(40)}, {BLEND}, z as (select *, case when chunk_id % 2 = 0 then 0 else overlap end as o from bl2) select query_id, chunk_id from z qualify row_number() over (partition by query_id, label order by blend desc, chunk_id) <= 2 or score >= 0.26 or score >= 0.22 or o >= 1")
+@query(f"with {BLEND} select query_id, chunk_id from bl2 qualify row_number() over (partition by query_id, doc_name order by blend desc, chunk_id) <= 2 or score >= 0.26 or score >= 0.22 or overlap >= 1")
 def soft_gate(spark, d):
-    h = blended(spark, d).withColumn("overlap", F.when(F.col("chunk_id") % 2 == 0, 0).otherwise(F.col("overlap")))
-    return retrieval.soft_gate(h, C.gate_per_doc, C.gate_score, C.gate_soft).select("query_id", "chunk_id")
+    return retrieval.soft_gate(blended(spark, d), C.gate_per_doc, C.gate_score, C.gate_soft).select("query_id", "chunk_id")
 
 
-@query(f"with {TOPK(40)}, {BLEND} select query_id, 'd' || label as doc_name, chunk_id from bl2 qualify row_number() over (partition by query_id, label order by blend desc, chunk_id) <= 3")
+@query(f"with {BLEND} select query_id, doc_name, chunk_id from bl2 qualify row_number() over (partition by query_id, doc_name order by blend desc, chunk_id) <= 15")
 def per_doc_cap(spark, d):
-    return retrieval.ranked(blended(spark, d), ("query_id", "doc_name"), F.desc("blend"), "chunk_id").filter("rn <= 3").select("query_id", "doc_name", "chunk_id")
+    return retrieval.ranked(blended(spark, d), ("query_id", "doc_name"), F.desc("blend"), "chunk_id").filter(F.col("rn") <= C.hits_per_doc).select("query_id", "doc_name", "chunk_id")
 
 
-@query(f"""with {TOPK(40)}, {BLEND}, g as (select query_id, 'd' || label as doc_name, max(blend) as score from bl2 group by all),
+@query(f"""with {BLEND}, g as (select query_id, doc_name, max(blend) as score from bl2 group by all),
 r as (select *, row_number() over w as doc_rank, max(score) over (partition by query_id) as top, first(doc_name) over w as primary_doc from g window w as (partition by query_id order by score desc, doc_name))
 select query_id, doc_name, score, primary_doc, doc_rank from r where score >= 0.8::double * top and doc_rank <= 8""")
 def relative_keep(spark, d):
@@ -483,7 +505,7 @@ def query_variants(spark, d):
 @query(f"""with {SCAN}, {SEM}, {FUSED}, s as (select f.query_id, f.chunk_id, f.score, len(list_filter(q.toks, lambda w: contains(lower(u.text), w))) as subject from fu f join units u using (chunk_id) join qt q using (query_id))
 select query_id, chunk_id, subject, row_number() over (partition by query_id order by subject desc, score desc, chunk_id) as rank from s""")
 def subject_boost_rank(spark, d):
-    j = fused(spark, d).join(units(spark, d).select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(F.broadcast(tokens(spark, d)), "query_id")
+    j = fused(spark, d).join(units(spark, d).select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(retrieval.if_small(tokens(spark, d)), "query_id")
     s = j.withColumn("subject", answers.subject_matches(F.col("low"), F.col("toks")))
     return retrieval.ranked(s, ("query_id",), F.desc("subject"), F.desc("score"), "chunk_id").select("query_id", "chunk_id", "subject", F.col("rn").cast("long").alias("rank"))
 
@@ -503,7 +525,7 @@ CITED = "cited as (select * from refs where (query_id % 3 <> 0 and ref_id in (2,
 def references(spark, d):
     j = fused(spark, d).join(units(spark, d), "chunk_id")
     refs = retrieval.ranked(j, ("query_id",), F.desc("score"), "chunk_id").select("query_id", F.col("rn").alias("ref_id"), "doc_name", "page", F.left("text", F.lit(C.snippet_chars)).alias("snippet"))
-    return refs.persist()  # ten rows a question, used for cited and for uncited answers
+    return refs
 
 
 def said(spark, d):
@@ -570,19 +592,18 @@ def language_route(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", answers.language(F.col("text")).alias("language"))
 
 
-@query(f"""with g as (select conv_id, turn, case turn % 3 when 0 then 'Hello, ' || left(text, 40) when 1 then 'hi!' else left(text, 40) end as text from conversations),
+@query(f"""with g as (select conv_id, turn, 0 as variant, text from conversations union all select conv_id, turn, 1, 'Hello, ' || text from conversations union all select conv_id, turn, 2, 'hi!' from conversations),
 h as (select *, regexp_matches(lower(trim(text)), '^({lexicon.GREETINGS})([^a-z]|$)') as has, trim(regexp_replace(trim(text), '(?i)^({lexicon.GREETINGS})[ ,.!-]*', '')) as r from g)
-select conv_id, turn, case when trim(text) = '' or (has and r = '') then 'A' when has then 'B' else 'C' end as decision, case when trim(text) = '' or (has and r = '') then '' when has then r else trim(text) end as rest from h""")
+select conv_id, turn, variant, case when trim(text) = '' or (has and r = '') then 'A' when has then 'B' else 'C' end as decision, case when trim(text) = '' or (has and r = '') then '' when has then r else trim(text) end as rest from h""")
 def smalltalk_route(spark, d):
-    t = F.left("text", F.lit(40))
-    said_ = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Hello, "), t)).when(F.col("turn") % 3 == 1, "hi!").otherwise(t)
-    return read(spark, d, "conversations").select("conv_id", "turn", answers.greeting_split(said_, lexicon.GREETINGS).alias("x")).select("conv_id", "turn", "x.decision", "x.rest")
+    said_ = F.posexplode(F.array(F.col("text"), F.concat(F.lit("Hello, "), "text"), F.lit("hi!"))).alias("variant", "said")
+    return read(spark, d, "conversations").select("conv_id", "turn", said_).select("conv_id", "turn", "variant", answers.greeting_split(F.col("said"), lexicon.GREETINGS).alias("x")).select("conv_id", "turn", "variant", "x.decision", "x.rest")
 
 
 @query(f"with {QTOKS}, c as (select q.query_id as case_id, q.toks, d.text as answer from qt q join documents d on d.doc_id = q.query_id) select case_id, len(list_filter(toks, lambda k: not contains(lower(answer), lower(k)))) = 0 as passed, array_to_string(list_filter(toks, lambda k: not contains(lower(answer), lower(k))), '|') as missing from c")
 def eval_cases(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
-    return answers.checked(docs.join(F.broadcast(tokens(spark, d)), "query_id").select(F.col("query_id").alias("case_id"), F.col("toks").alias("keywords"), "answer"))
+    return answers.checked(docs.join(retrieval.if_small(tokens(spark, d)), "query_id").select(F.col("query_id").alias("case_id"), F.col("toks").alias("keywords"), "answer"))
 
 
 @query("select source, count(*) as n, count(*) filter (quality = 1) as passed, round(avg(quality::double), 6) as pass_rate from documents join labels using (doc_id) group by source")

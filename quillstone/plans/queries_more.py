@@ -9,16 +9,9 @@ from quillstone import lexicon
 from quillstone.config import CONFIG as C
 from quillstone.functions import text as T
 from quillstone.operators import answers, replies, retrieval
-from quillstone.plans.queries import ASKED, BLEND, FUSED, NOT_PLAIN, PAIRS, REFS, SCAN, SEM, STOP, TOPK, UNITS, WS, asked, blended, fused, hits, in_list, query, read, references, strip, units, word_list
+from quillstone.plans.queries import ASKED, ASKED_HITS, BLEND, FUSED, NOT_PLAIN, REFS, SCAN, SEM, STOP, UNITS, WS, asked, blended, fused, in_list, query, question_hits, read, references, stems, strip, units
 
 PLAIN = strip(f"regexp_replace(regexp_replace(lower(question), '{NOT_PLAIN}', ' ', 'g'), '{WS}+', ' ', 'g')")
-STEM = "case when length(t) <= 3 then t when suffix(t, 'ies') and length(t) > 4 then left(t, length(t) - 3) || 'y' when suffix(t, 'es') and length(t) > 4 then left(t, length(t) - 2) when suffix(t, 's') and not suffix(t, 'ss') and length(t) > 4 then left(t, length(t) - 1) else t end"
-
-
-def stems(x: str) -> str:
-    return f"list_transform(list_filter({word_list(x)}, lambda w: w not in {in_list(lexicon.OVERLAP_STOP)} and (length(w) >= 3 or w in {in_list(lexicon.KEEP_SHORT)})), lambda t: {STEM})"
-
-
 def plain(x: str) -> str:
     return PLAIN.replace("question", x)
 
@@ -36,21 +29,21 @@ def keyword_sets(spark, d):
     return asked(spark, d).select("query_id", F.array_join(k, " ").alias("keywords"), F.array_join(F.slice(F.filter(k, lambda w: ~w.isin(STOP)), 1, 10), " ").alias("entities"))
 
 
-@query(f"with {KEYS}, h as (select query_id, vec_id as chunk_id from ({PAIRS.removeprefix('pairs as (').removesuffix(')')}) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20), {UNITS} select h.query_id, h.chunk_id, len(list_intersect(keys, {stems(plain('u.text'))})) as overlap from h join keys using (query_id) join units u using (chunk_id)")
+@query(f"with {KEYS}, {UNITS}, {ASKED_HITS(20)} select h.query_id, h.chunk_id, h.score, len(list_intersect(keys, {stems(plain('u.text'))})) as overlap from qhits h join keys using (query_id) join units u using (chunk_id)")
 def token_overlap(spark, d):
     k = asked(spark, d).select("query_id", T.keywords(F.col("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys"))
-    near = hits(spark, d, 20).select("query_id", F.col("vec_id").alias("chunk_id")).join(F.broadcast(k), "query_id")
-    toks = units(spark, d).select("chunk_id", T.overlap_tokens(F.col("text"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT).alias("toks"))
-    return near.join(toks, "chunk_id").select("query_id", "chunk_id", F.size(F.array_intersect("keys", "toks")).cast("long").alias("overlap"))
+    return retrieval.with_overlap(question_hits(spark, d, 20), k, units(spark, d).select("chunk_id", "text"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)
 
 
-WRAP = "w as (select query_id, case query_id % 5 when 0 then 'Is ' || left(question, 30) when 1 then 'what is ' || left(question, 30) when 2 then 'Annexure of ' || left(question, 80) when 3 then left(question, 12) else 'tell me the salary detail ' || left(question, 60) end as question from asked)"
+WRAP = "w as (select query_id, case query_id % 5 when 0 then 'Is ' when 1 then 'what is ' when 2 then 'Annexure of ' when 3 then '' else 'tell me the salary detail ' end || question as question from asked union all select query_id, 'define pay' from asked)"
 
 
 def wrapped(spark, d):
-    q, i = F.col("question"), F.col("query_id") % 5
-    made = F.when(i == 0, F.concat(F.lit("Is "), F.left(q, F.lit(30)))).when(i == 1, F.concat(F.lit("what is "), F.left(q, F.lit(30)))).when(i == 2, F.concat(F.lit("Annexure of "), F.left(q, F.lit(80)))).when(i == 3, F.left(q, F.lit(12))).otherwise(F.concat(F.lit("tell me the salary detail "), F.left(q, F.lit(60))))
-    return asked(spark, d).select("query_id", made.alias("question"))
+    """Whole questions of several kinds, and a short one for each."""
+    i = F.col("query_id") % 5
+    before = F.when(i == 0, "Is ").when(i == 1, "what is ").when(i == 2, "Annexure of ").when(i == 3, "").otherwise("tell me the salary detail ")
+    q = asked(spark, d)
+    return q.select("query_id", F.explode(F.array(F.concat(before, "question"), F.lit("define pay"))).alias("question"))
 
 
 @query(f"""with {ASKED}, {WRAP} select query_id, len({stems(plain('question'))}) <= 4 as short, regexp_matches(lower(question), '(^|[^a-z0-9_])(schedule|scheduled +laws|annex(ure)?|appendix)($|[^a-z0-9_])') as schedule,
@@ -91,16 +84,11 @@ def page_expand_sorted(spark, d):
     return retrieval.ranked(every, ("query_id",), "page", "chunk_id").select("query_id", "chunk_id", "score", F.col("rn").cast("long").alias("page_order"))
 
 
-@query(f"""with {TOPK(40)}, {BLEND}, g as (select query_id, label, max(blend) as score, sum(overlap) as overlap, count(*) filter (chunk_id % 7 = 0) as phrases from bl2 group by all),
-s as (select *, round(10 * phrases + 1.5::double * overlap + score, 6) as signal, row_number() over (partition by query_id order by score desc, label) as base from g),
-t as (select *, row_number() over (partition by query_id order by signal desc, label) <= 2 as lead from s) select query_id, 'd' || label as doc_name, row_number() over (partition by query_id order by lead desc, case when lead then -signal else base end, label) as doc_rank from t""")
+@query(f"""with {BLEND}, g as (select query_id, doc_name, max(blend) as score, sum(overlap) as overlap, sum(phrases) as phrases from bl2 group by all),
+s as (select *, round(10 * phrases + 1.5::double * overlap + score, 6) as signal, row_number() over (partition by query_id order by score desc, doc_name) as base from g),
+t as (select *, row_number() over (partition by query_id order by signal desc, doc_name) <= 2 as lead from s) select query_id, doc_name, row_number() over (partition by query_id order by lead desc, case when lead then -signal else base end, doc_name) as doc_rank from t""")
 def criteria_priority(spark, d):
-    g = blended(spark, d).groupBy("query_id", "doc_name").agg(F.max("blend").alias("score"), F.sum("overlap").alias("overlap"), F.count_if(F.col("chunk_id") % 7 == 0).alias("phrases"))
-    every = W.partitionBy("query_id")
-    s = g.withColumn("signal", F.round(10 * F.col("phrases") + 1.5 * F.col("overlap") + F.col("score"), 6)).withColumn("base", F.row_number().over(every.orderBy(F.desc("score"), "doc_name")))
-    lead = s.withColumn("lead", F.row_number().over(every.orderBy(F.desc("signal"), "doc_name")) <= 2)
-    key = F.when(F.col("lead"), -F.col("signal")).otherwise(F.col("base").cast("double"))
-    return retrieval.ranked(lead, ("query_id",), F.desc("lead"), key, "doc_name").select("query_id", "doc_name", F.col("rn").cast("long").alias("doc_rank"))
+    return retrieval.criteria_first(blended(spark, d))
 
 
 @query(f"with {SCAN}, {SEM}, {FUSED} select query_id, chunk_id, score from fu join units using (chunk_id) where doc_name in (select source from documents where doc_id % 13 = 0)")
@@ -119,16 +107,15 @@ def name_injection(spark, d):
     person = F.rlike("text", F.lit(PERSON))
     named = u.filter(person & (F.length("text") > 50)).select("chunk_id").orderBy("chunk_id").limit(3)
     has = first.join(u.filter(person).select("chunk_id"), "chunk_id", "left_semi").select("query_id").distinct()
-    need = asked(spark, d).filter(F.contains(F.lower("question"), F.lit("the"))).select("query_id").join(has, "query_id", "left_anti")
-    return need.join(F.broadcast(named)).select("query_id", "chunk_id", F.lit(0.6).alias("score"))
+    wants = asked(spark, d).filter(F.contains(F.lower("question"), F.lit("the"))).select("query_id").join(has, "query_id", "left_anti")
+    return named.join(retrieval.if_small(wants)).select("query_id", "chunk_id", F.lit(0.6).alias("score"))
 
 
-@query("""with a as (select conv_id, turn, case turn % 4 when 0 then 'It is Not Mentioned in the context.' when 1 then '' else left(text, 60) end as answer from conversations)
-select conv_id, turn, case when answer = '' then 'error' when """ + " or ".join(f"contains(lower(answer), '{p.replace(chr(39), chr(39) * 2)}')" for p in lexicon.REFUSALS) + """ then 'refuse' else 'answer' end as decision from a""")
+@query("""with a as (select conv_id, turn, 0 as variant, text as answer from conversations union all select conv_id, turn, 1, 'It is Not Mentioned in the context.' from conversations union all select conv_id, turn, 2, '' from conversations)
+select conv_id, turn, variant, case when answer = '' then 'error' when """ + " or ".join(f"contains(lower(answer), '{p.replace(chr(39), chr(39) * 2)}')" for p in lexicon.REFUSALS) + """ then 'refuse' else 'answer' end as decision from a""")
 def decision_class(spark, d):
-    t = F.col("turn") % 4
-    said = F.when(t == 0, "It is Not Mentioned in the context.").when(t == 1, "").otherwise(F.left("text", F.lit(60)))
-    return read(spark, d, "conversations").select("conv_id", "turn", replies.decision(said, lexicon.REFUSALS).alias("decision"))
+    said = F.posexplode(F.array(F.col("text"), F.lit("It is Not Mentioned in the context."), F.lit(""))).alias("variant", "answer")
+    return read(spark, d, "conversations").select("conv_id", "turn", said).select("conv_id", "turn", "variant", replies.decision(F.col("answer"), lexicon.REFUSALS).alias("decision"))
 
 
 @query(f"with {SCAN}, {SEM}, {FUSED}, g as (select query_id, doc_name, max(score) as top from fu join units using (chunk_id) group by all) select f.query_id, f.chunk_id, f.score from fu f join units u using (chunk_id) join g on g.query_id = f.query_id and g.doc_name = u.doc_name where g.top >= 0.66 and f.score >= 0.26")
@@ -150,9 +137,9 @@ def eval_report(spark, d):
     return replies.report(m.select(F.col("source").alias("id"), "passed", F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("note")))
 
 
-@query(r"select doc_id, length(left(regexp_replace(text, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), 2000)) as n, md5(left(regexp_replace(text, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), 2000)) as digest from documents")
+@query(r"select doc_id, length(left(regexp_replace(text, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), 12000)) as n, md5(left(regexp_replace(text, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), 12000)) as digest from documents")
 def embed_truncate(spark, d):
-    cut = F.left(T.stripped(F.col("text")), F.lit(2000))
+    cut = F.left(T.stripped(F.col("text")), F.lit(C.embed_chars))
     return read(spark, d, "documents").select("doc_id", F.length(cut).cast("long").alias("n"), F.md5(cut).alias("digest"))
 
 
