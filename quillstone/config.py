@@ -42,6 +42,7 @@ class Config:
     evidence_chars: int = 28_000
     evidence_parts: int = 30
     snippet_chars: int = 200
+    preview_chars: int = 300
     history_turns: int = 4
     # versions
     embed_version: int = 2

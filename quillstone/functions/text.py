@@ -17,7 +17,10 @@ LETTER = "[A-Za-z\\x{0600}-\\x{06FF}]"
 PAGE_NUMBER = "^((page|p\\.?)?[ ]*[0-9]+([ ]*(of|/|-)[ ]*[0-9]+)?)$"
 BULLET = "^[\\x09-\\x0D ]*(•|-|[0-9]+[).]|[a-zA-Z][).])[\\x09-\\x0D ]+"
 HEADING = "^[\\x09-\\x0D ]*(schedule|annex|annexure|appendix|chapter|section)($|[^a-z0-9_])"
-ROLE = "^[\\x09-\\x0D ]*([A-Za-z][A-Za-z &]* (officer|developer|manager|director|engineer|specialist|administrator|coordinator)|manager *\\([^)]+\\))[\\x09-\\x0D ]*$"
+#: Lines that are the title of a role. Fixed values.
+ROLE = "^[\\x09-\\x0D ]*(chief +technology +officer|chief +executive +officer|director +general|deputy +director|assistant +director|sub[- ]?divisional +enforcement +officer|enforcement +officer|android +developer|software +developer|database +administrator|system +administrator|network +administrator|manager *\\([^)]+\\)|[a-z]+ +manager|[a-z][a-z\\x09-\\x0D &]+[\\x09-\\x0D ]+(officer|developer|manager|director|engineer|specialist|administrator|coordinator))[\\x09-\\x0D ]*$"
+REPORTS = "^[\\x09-\\x0D ]*(report *to|reporting *to|reports *to)($|[^a-z0-9_])"
+TITLE_MARK = "(?i)^[\\x09-\\x0D ]*(position *title|job *title|role)[\\x09-\\x0D ]*[:-]+[\\x09-\\x0D ]*"
 
 
 def replaced(c: Column, pattern: str, by: str = "") -> Column:
@@ -39,6 +42,11 @@ def clean_chunk(c: Column) -> Column:
     return stripped(replaced(clean_general(c), "[ \\t]+", " "))
 
 
+def normal_space(c: Column) -> Column:
+    """Runs of white space as one space: what content digests are taken of."""
+    return stripped(replaced(c, f"{WS}+", " "))
+
+
 def line_list(c: Column) -> Column:
     """Stripped lines that are not empty."""
     return F.filter(F.transform(F.split(c, "\n"), stripped), lambda x: x != "")
@@ -89,9 +97,10 @@ def is_heading(c: Column) -> Column:
 
 def role_heading(c: Column) -> Column:
     """The cleaned title where the line is one, else null."""
-    title = stripped(replaced(c, "^[\\x09-\\x0D ]*[Pp]osition [Tt]itle:[\\x09-\\x0D -]*"))
-    fits = (F.length(title) <= 80) & F.rlike(F.lower(title), F.lit(ROLE)) & ~F.contains(F.lower(c), F.lit("report to"))
-    return F.when(fits, title)
+    marked = F.rlike(c, F.lit(TITLE_MARK))
+    title = F.when(marked, replaced(replaced(c, TITLE_MARK), "^[\\x09-\\x0D •:-]+")).otherwise(stripped(c))
+    fits = (F.length(title) <= 80) & F.rlike(F.lower(title), F.lit(ROLE)) & ~F.rlike(F.lower(c), F.lit(REPORTS))
+    return F.when(fits, stripped(title))
 
 
 def has_word(c: Column, pattern: str) -> Column:

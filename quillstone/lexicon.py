@@ -44,6 +44,8 @@ TYPOS = {
 }
 #: Words of a question that call for neighbouring pages. Fixed values.
 EXPANSION_TRIGGERS = ["salary", "pay", "allowance", "benefit", "scale", "grade", "compensation", "detail", "full", "sab kuch", "batao", "explain", "structure", "salay", "tankhwah", "tankha", "kitni", "payscale", "pay scale", "maaash", "maash"]
+#: Words of lines that may repeat on every page; names of organisations are yours to add.
+HEADER_MARKS = ["government", "authority", "confidential", "all rights reserved"]
 KEEP_MARKS = ["schedule", "annex", "appendix", "terms of reference", "chief technology officer"]
 REFUSALS = ["not available in the provided context", "not found in the provided", "i couldn't find", "i could not find", "no information available", "not mentioned in the context", "available nahi hai", "information is not available"]
 

@@ -48,13 +48,3 @@ def joined_lines(lines: DataFrame, key: str) -> DataFrame:
     parts = seg.groupBy(key, "seg").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     glued = F.replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("-\n"), F.lit(""))
     return parts.select(key, "seg", F.replace(glued, F.lit("\n"), F.lit(" ")).alias("content"))
-
-
-def block_segments(lines: DataFrame, key: str) -> DataFrame:
-    """(key, block, role, structured, n_lines, n_chars): blocks end at headings, role titles and switches between prose and structure."""
-    by = W.partitionBy(key).orderBy("line_no")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    f = lines.withColumns({"structured": T.is_structured(F.col("line")), "heading": T.is_heading(F.col("line")), "title": T.role_heading(F.col("line"))})
-    new = F.coalesce(F.lag("structured").over(by) != F.col("structured"), F.lit(True)) | F.col("heading") | F.col("title").isNotNull()
-    f = f.withColumns({"role": F.last("title", True).over(upto), "brk": new}).withColumn("block", F.sum(F.col("brk").cast("long")).over(upto))
-    return f.groupBy(key, "block").agg(F.max("role").alias("role"), F.bool_or("structured").alias("structured"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
-from quillstone.lexicon import KEEP_MARKS, TAGS
-from quillstone.operators import chunking, maintenance
+from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
+from quillstone.operators import chunking, lines, maintenance
+
+
+def with_stripped_text(units: DataFrame) -> DataFrame:
+    """Units whose text has lost the headers and footers that repeat on a document's pages, and page numbers."""
+    kept = lines.without_repeated(units, lines.repeated_lines(units, HEADER_MARKS))
+    return kept.withColumn("text", F.array_join("kept_lines", "\n")).drop("kept_lines", "n_lines")
 
 
 def chunk_units(units: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Units (doc_name, page, text) to chunks with tags and digests; ids are left to the caller."""
-    cleaned = units.select("doc_name", "page", T.clean_chunk(F.col("text")).alias("text"))
-    cut = chunking.window_slices(cleaned, "text", config.chunk_max_chars, config.chunk_overlap_chars).select("doc_name", "page", "slice_no", F.col("piece").alias("text"))
+    """Units (doc_name, page, text) to chunks with tags and digests; ids are left to the caller.
+
+    Units never mix. Null and empty units give no chunk; equal units give equal chunks.
+    """
+    parts = chunking.chunked(F.col("text"), config.chunk_max_chars, config.chunk_overlap_chars, config.chunk_min_chars, KEEP_MARKS)
+    cut = units.select("doc_name", "page", F.posexplode(parts).alias("slice_no", "text"))
     good = cut.filter(~T.is_low_signal(F.col("text"), KEEP_MARKS))
     label = T.loc_label(F.lit("page"), F.col("page"), F.lit(None).cast("long"), F.lit(None).cast("string"))
-    tagged = good.withColumns({"tags": T.tags(F.col("text"), TAGS), "loc_label": label, "text_sha256": F.sha2("text", 256)})
-    head = F.concat_ws("\n", F.concat(F.lit("DOC: "), "doc_name"), F.concat(F.lit("LOC: "), "loc_label"), F.concat(F.lit("TAGS: "), F.array_join("tags", ", ")), "text")
-    return tagged.withColumns({"search_text": head, "embed_version": F.lit(config.embed_version), "search_version": F.lit(config.search_version), "active": F.lit(True), "deactivated_at": F.lit(None).cast("long")})
+    tagged = good.withColumns({"tags": T.tags(F.col("text"), TAGS), "loc_label": label, "text_sha256": F.sha2(T.normal_space(F.col("text")), 256)})
+    made = tagged.withColumns({"embed_text": T.embed_text(F.col("doc_name"), F.col("loc_label"), F.col("tags"), F.col("text")), "search_text": T.search_text(F.col("doc_name"), F.col("loc_label"), F.col("tags"), F.col("text"))})
+    return made.withColumns({"embed_sha256": F.sha2("embed_text", 256), "preview": F.left("text", F.lit(config.preview_chars)), "embed_version": F.lit(config.embed_version), "search_version": F.lit(config.search_version), "active": F.lit(True), "deactivated_at": F.lit(None).cast("long")})
 
 
 def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest: DataFrame | None, at: int, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:

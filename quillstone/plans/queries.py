@@ -194,7 +194,8 @@ blocks as (select chunk_id, block::bigint as block, bool_or(structured) as struc
 
 @query(f"with {LINES}, {BLOCKS} select * from blocks")
 def block_segments(spark, d):
-    return lines.block_segments(unit_lines(spark, d), "chunk_id").drop("role")
+    found = units(spark, d).select("chunk_id", F.posexplode(chunking.block_segments(F.col("text"))).alias("at", "b"))
+    return found.select("chunk_id", (F.col("at") + 1).cast("long").alias("block"), "b.structured", "b.n_lines", "b.n_chars")
 
 
 @query(f"""with {LINES}, {BLOCKS}, o as (select chunk_id, line_no as block, length(line) as n_chars from li)

@@ -100,3 +100,99 @@ def test_history_and_ranges(spark):
 def test_evaluation(spark):
     cases = spark.createDataFrame([(1, ["whole of the town"], "Extends to the whole of Town"), (2, ["WHOLE"], "the whole")], "case_id long, keywords array<string>, answer string")
     assert {r.case_id: (r.passed, r.missing) for r in answers.checked(cases).collect()} == {1: (False, "whole of the town"), 2: (True, "")}
+
+
+def test_chunks_of_a_unit(spark):
+    """Blocks under role titles, packing, stitching, short chunks and context, against a plain version."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillstone import lexicon
+    from quillstone.plans.ingest import chunk_units
+
+    bullet, heading = re.compile(r"^\s*([•-]|\d+[).]|[a-zA-Z][).])\s+"), re.compile(r"^\s*(schedule|annex|annexure|appendix|chapter|section)\b", re.I)
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice(["rule", "office", "public", "order", "of", "a", "year", "within"]) for _ in range(n))
+    kinds = [lambda: prose(rng.randrange(5, 40)), lambda: "• " + prose(6), lambda: "", lambda: "Chapter " + prose(2), lambda: rng.choice(["Project Manager", "Position Title: - Network Administrator", "Chief Technology Officer", "Reports to: Manager"]), lambda: prose(300)]
+    texts = [(f"d{i % 3}", i, "\n".join(rng.choice(kinds)() for _ in range(rng.randrange(1, 40)))) for i in range(40)] + [("e", 1, None), ("e", 2, ""), ("e", 3, "short text stays"), ("e", 4, "word " * 3000)]
+
+    def structured(x):
+        return bool(bullet.match(x)) or (len(x) >= 18 and ("\t" in x or x.count(" | ") >= 2))
+
+    def title(x):
+        if re.match(r"\s*(reports? *to|reporting *to)\b", x, re.I):
+            return None
+        name = re.sub(r"^[-•:\s]+", "", re.sub(r"^\s*(position *title|job *title|role)\s*[:-]+\s*", "", x, flags=re.I)) if re.match(r"\s*(position *title|job *title|role)\s*[:-]+", x, re.I) else x
+        return name if len(name) <= 80 and re.match(r"^(chief technology officer|[a-z]+ manager|[a-z][a-z &]+ (officer|manager|administrator))$", name, re.I) else None
+
+    def clean(t):
+        t = "\n".join(x.strip() for x in re.sub(r"\n{4,}", "\n\n\n", t).split("\n")).strip()
+        return re.sub(r"[ \t]+", " ", t).strip()
+
+    def tail_of(t):
+        t = t[-80:].strip()
+        if t and re.match(r"\w", t) and (m := re.search(r"\W", t)) and 0 < m.start() < 20:
+            t = t[m.start() :].lstrip()
+        return t.strip()
+
+    def plain(text, most=500, overlap=80, least=200):
+        t = clean(text or "")
+        if len(t) < least:
+            return [t] if t else []
+        groups, role, buf = [], None, []
+
+        def flush():
+            if buf:
+                if not groups or groups[-1][0] != role:
+                    groups.append((role, []))
+                groups[-1][1].append("\n".join(buf))
+                buf.clear()
+
+        for x in t.split("\n"):
+            if not x:
+                flush()
+            elif title(x):
+                flush()
+                role = title(x)
+                buf.append(x)
+            elif heading.match(x):
+                flush()
+                buf.append(x)
+            else:
+                if buf and structured(buf[-1]) != structured(x):
+                    flush()
+                buf.append(x)
+        flush()
+        out = []
+        for role, blocks in groups:
+            cs, held, size = [], [], 0
+            for b in [*blocks, None]:
+                if held and (b is None or len(b) > most or size + len(b) + 2 > most):
+                    cs.append("\n\n".join(held))
+                    held, size = [], 0
+                if b and len(b) > most:
+                    at = 0
+                    while at + most < len(b):
+                        cs.append(b[at : at + most])
+                        at += most - overlap
+                    cs += [b[at : at + most], b[-most:]]
+                elif b:
+                    held.append(b)
+                    size += len(b) + 2
+            cs = [c for c in map(clean, cs) if c]
+            st = [c if not i or not tail_of(cs[i - 1]) else clean(tail_of(cs[i - 1]) + "\n\n" + c) for i, c in enumerate(cs)]
+            for i, c in enumerate(st):
+                if len(c) >= least or len(st) == 1 or any(k in c.lower() for k in lexicon.KEEP_MARKS) or (i == len(st) - 1 and len(re.findall(r"[A-Za-z]{3,}", c)) >= 10):
+                    out.append(f"[Role: {role}]\n{c}" if role and role.lower() not in c.lower() else c)
+        return out
+
+    df = spark.createDataFrame(texts, "doc_name string, page long, text string")
+    got = df.select("doc_name", "page", F.explode_outer(chunking.chunked(F.col("text"), 500, 80, 200, lexicon.KEEP_MARKS)).alias("c")).groupBy("doc_name", "page").agg(F.collect_list("c").alias("cs")).collect()
+    by_key = {(r.doc_name, r.page): r.cs for r in got}
+    for d, p, t in texts:
+        assert sorted(by_key[d, p]) == sorted(plain(t)), (d, p)
+    made = chunk_units(df)
+    assert made.filter("text like '%short text stays%' or length(text) > 5100").count() == 0 and made.filter("doc_name = 'e' and page = 4").count() == 5
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
