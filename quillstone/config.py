@@ -44,6 +44,9 @@ class Config:
     snippet_chars: int = 200
     preview_chars: int = 300
     history_turns: int = 4
+    rewrite_chars: int = 300
+    name_score: float = 0.6
+    named_chunks: int = 3
     # versions
     embed_version: int = 2
     search_version: int = 2

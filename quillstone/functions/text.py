@@ -6,6 +6,7 @@ Character classes are spelled out, so that other engines agree: white space is
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -107,11 +108,29 @@ def has_word(c: Column, pattern: str) -> Column:
     return F.rlike(F.lower(c), F.lit(f"{EDGE_L}({pattern}){EDGE_R}"))
 
 
+def literal_starts(pattern: str) -> list[str]:
+    """For each alternative of a pattern the letters it surely begins with; none where that is unknown."""
+    out = []
+    for part in pattern.split("|") if "(" not in pattern.replace("(s)?", "").replace("(ure)?", "").replace("(ual)?", "") else [pattern]:
+        found = re.match(r"[a-z0-9]+(?![a-z0-9?*{])", part) or re.match(r"[a-z0-9]+(?=[a-z0-9][?*{])", part)
+        if not found:
+            return []
+        out.append(found[0])
+    return out
+
+
 def tags(c: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Distinct tags in the order of the patterns. One projection; the text is lower-cased once."""
-    low = F.lower(c)
-    hits = [F.when(F.rlike(low, F.lit(f"{EDGE_L}({p}){EDGE_R}")), F.lit(t)) for p, t in patterns]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    """Distinct tags in the order of the patterns. One projection; the text is lower-cased once, and a pattern is tried only where the letters it begins with occur."""
+
+    def found(low: Column) -> Column:
+        def hit(p: str) -> Column:
+            exact = F.rlike(low, F.lit(f"{EDGE_L}({p}){EDGE_R}"))
+            starts = literal_starts(p)
+            return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in starts]) & exact if starts else exact
+
+        return F.array_distinct(F.array_compact(F.array(*[F.when(hit(p), F.lit(t)) for p, t in patterns])))
+
+    return F.transform(F.array(F.lower(c)), found)[0]
 
 
 def is_low_signal(c: Column, keep: list[str]) -> Column:

@@ -79,3 +79,8 @@ PHRASES = {
     "role": ["terms of reference", "job description", "duties and responsibilities", "responsibilities include", "shall be responsible for"],
 }
 GREETINGS = "hi|hello|hey|aoa|salam|assalam o alaikum|good morning|good evening"
+#: (words of a question, marks of the chunks that it must see). Rules name one organisation's papers: add your own.
+RULES: list[tuple[list[str], list[str]]] = []
+#: Questions that want a name, and texts that have one. Fixed values.
+NAME_WORDS = "(^|[^a-z])(name|nam|naam|kon|kaun|who)($|[^a-z])"
+PERSON = "(Capt|Mr|Dr|Mrs|Ms|Col|Brig|Gen)\\.? +[A-Z][a-z]"

@@ -17,6 +17,7 @@ from quillstone import lexicon
 from quillstone.config import CONFIG as C
 from quillstone.functions import text as T
 from quillstone.operators import answers, chunking, lines, maintenance, retrieval, vectors
+from quillstone.plans import variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -484,12 +485,15 @@ def keyword_all(spark, d):
     return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block, least=2).filter("n_found >= 2")
 
 
-@query(f"""with {ASKED}, k as (select 'a' as intent, 'the|of' as pattern, 'definite genitive' as extra union all select 'b', 'und|der', 'german' union all select 'c', 'que|de', 'romance')
-select query_id, string_agg(extra, ' ' order by intent) as extra from asked join k on regexp_matches(lower(question), '(^|[^\\p{{L}}\\p{{N}}_])(' || pattern || ')($|[^\\p{{L}}\\p{{N}}_])') group by query_id""")
+INTENT_SQL = " union all ".join(f"select {i} as no, '{p}' as pattern, '{e}' as extra" for i, (_, p, e) in enumerate(lexicon.INTENTS))
+
+
+@query(f"""with {ASKED}, w as (select query_id, 0 as variant, question as q from asked union all select query_id, 1, question || ' members of the schedule and required experience' from asked union all select query_id, 2, 'how to file a complaint' from asked), k as ({INTENT_SQL})
+select query_id, variant, string_agg(extra, ' ' order by no) as extra from w join k on regexp_matches(lower(q), '(^|[^\\p{{L}}\\p{{N}}_])(' || pattern || ')($|[^\\p{{L}}\\p{{N}}_])') group by query_id, variant""")
 def intent_terms(spark, d):
-    rules = [("a", "the|of", "definite genitive"), ("b", "und|der", "german"), ("c", "que|de", "romance")]
-    found = F.array_join(F.array_compact(F.array(*[F.when(T.has_word(F.col("question"), p), F.lit(e)) for _, p, e in rules])), " ")
-    return asked(spark, d).select("query_id", found.alias("extra")).filter("extra <> ''")
+    q = F.col("question")
+    kinds = F.posexplode(F.array(q, F.concat(q, F.lit(" members of the schedule and required experience")), F.lit("how to file a complaint"))).alias("variant", "q")
+    return asked(spark, d).select("query_id", kinds).select("query_id", "variant", variants.intent_terms(F.col("q")).alias("extra")).filter("extra <> ''")
 
 
 @query(f"with {ASKED}, v as (select query_id, 0 as pos, question as variant from asked union all select query_id, 1, lower(question) from asked union all select query_id, 2, upper(left(question, 1)) || substr(question, 2) from asked union all select query_id, 3, question || ' in context' from asked), u as (select query_id, min(pos) as pos, lower(trim(variant)) as k from v group by query_id, k) select u.query_id, v.variant, row_number() over (partition by u.query_id order by u.pos) as no from u join v on v.query_id = u.query_id and v.pos = u.pos qualify no <= 3")

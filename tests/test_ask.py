@@ -8,6 +8,7 @@ from quillstone.functions.embed import char_batches, embedded, hashed_ngrams
 from quillstone.operators import replies
 from quillstone.plans.ask import ask
 from quillstone.plans.ingest import ingest
+from quillstone.sources.scratch import kept
 
 PAGES = [
     ("rules.pdf", 1, "The Director General heads the office and signs every contract of the authority. " * 3),
@@ -20,7 +21,7 @@ PAGES = [
 def index(spark):
     units = spark.createDataFrame(PAGES, "doc_name string, page long, text string")
     files = spark.createDataFrame([("rules.pdf", "1"), ("acts.pdf", "2")], "filename string, sha256 string")
-    chunks, _ = ingest(units, files, None, None, 0)
+    chunks = kept(ingest(units, files, None, None, 0)[0])
     return chunks, chunks.select("chunk_id", embedded(F.col("text")).alias("embedding"))
 
 
@@ -37,6 +38,43 @@ def test_answers(spark):
     assert reply["references"][0]["doc_name"] == "acts.pdf"
 
 
+def test_follow_ups_names_and_citations(spark):
+    from quillstone.plans.ask import prepared
+
+    pages = [*PAGES, ("staff.pdf", 1, "The office is headed by Dr. Amina Khan since the spring of last year, and reports yearly. " * 2)]
+    files = spark.createDataFrame([("rules.pdf", "1"), ("acts.pdf", "2"), ("staff.pdf", "3")], "filename string, sha256 string")
+    chunks = kept(ingest(spark.createDataFrame(pages, "doc_name string, page long, text string"), files, None, None, 0)[0])
+    v = chunks.select("chunk_id", embedded(F.col("text")).alias("embedding"))
+    asks = spark.createDataFrame([(1, "what is its salary"), (2, "ok"), (3, "what is its salary"), (4, "leave granted by the manager"), (5, "naam batao zzz")], "query_id long, question string")
+    turns = [(1, 1, "user", "enforcement officer"), (1, 2, "assistant", "**The officer** [1] works"), (2, 1, "user", "x"), (2, 2, "assistant", "fine"), (3, 1, "user", "enforcement officer"), (3, 2, "assistant", "not mentioned in the context")]
+    history = spark.createDataFrame(turns, "query_id long, turn long, role string, text string")
+    got = {r.query_id: r.asked for r in prepared(asks, None, history).collect()}
+    assert got[1] == "what is its salary enforcement officer pay schedule" and got[2] == "ok" and got[3] == "what is its salary"
+    failing = {r.query_id: r.asked for r in prepared(asks, lambda q, a, b: F.lit(None).cast("string"), history).collect()}
+    assert failing[1] == "what is its salary pay schedule"
+    said = lambda refs: refs.select("query_id").distinct().select("query_id", F.lit("as [1] says").alias("answer"))
+    out, refs = ask(asks, chunks, v, answerer=said, history=history)
+    found = {(r.query_id, r.display_id): r.doc_name for r in refs.collect()}
+    assert {i for _, i in found} == {1} and found[1, 1] == "rules.pdf" and out.count() == 5
+    from quillstone.plans.ask import evidence
+
+    hits = evidence(prepared(asks), chunks, v).filter("query_id = 5").join(chunks.select("chunk_id", "doc_name"), "chunk_id")
+    assert hits.filter("doc_name = 'staff.pdf'").first().score >= 0.6
+
+
+def test_several_wordings(spark):
+    from quillstone.plans.variants import retrieve, wordings
+
+    chunks, v = index(spark)
+    asks = spark.createDataFrame([(1, "who is the dg"), (2, "Enforcement Officer"), (3, "hearing after a complaint"), (4, "zzz qqq xxx")], "query_id long, question string")
+    w = {(r.query_id, r.no): r.wording for r in wordings(asks, 3).collect()}
+    assert w[1, 1] == "who is the dg" and w[1, 2] == "who is the Director General" and w[2, 2] == "officer enforcement" and w[3, 2].startswith("hearing after a complaint complaint complaints")
+    got = retrieve(asks, chunks, v).collect()
+    top = {r.query_id: (r.doc_name, r.page) for r in sorted(got, key=lambda r: r.blend) if r.doc_rank == 1 and not r.is_context}
+    assert top[2] == ("rules.pdf", 2) and top[3] == ("acts.pdf", 1)
+    assert len({(r.query_id, r.chunk_id) for r in got}) == len(got) and any(r.is_context for r in got)
+
+
 def test_embedder(spark):
     v = hashed_ngrams(["abc abc", "abc abd", "zzzz"])
     assert abs(float(v[0] @ v[0]) - 1) < 1e-5 and v[0] @ v[1] > v[0] @ v[2]
