@@ -158,6 +158,12 @@ def search_text(doc: Column, loc: Column, tags: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("DOC: "), doc), F.concat(F.lit("LOC: "), loc), F.concat(F.lit("TAGS: "), F.array_join(tags, ",")), text)
 
 
+def matching_text(text: Column, search: Column) -> Column:
+    """What fallbacks look through: the text, and the search text below it unless the text holds it already. Nulls are blank."""
+    a, b = F.coalesce(text, F.lit("")), F.coalesce(search, F.lit(""))
+    return F.when((b == "") | F.contains(a, b), a).otherwise(F.concat(a, F.lit("\n"), b))
+
+
 def words_of(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 

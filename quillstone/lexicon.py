@@ -84,3 +84,29 @@ RULES: list[tuple[list[str], list[str]]] = []
 #: Questions that want a name, and texts that have one. Fixed values.
 NAME_WORDS = "(^|[^a-z])(name|nam|naam|kon|kaun|who)($|[^a-z])"
 PERSON = "(Capt|Mr|Dr|Mrs|Ms|Col|Brig|Gen)\\.? +[A-Z][a-z]"
+
+#: Greetings at the start of a turn, as patterns, and the replies to them. Fixed values.
+GREETINGS_LATIN = "hi|hello|hey|hy|aoa|a\\.o\\.a|slm|salam|salaam|assalam|assalamu|asalam|good\\s+morning|good\\s+afternoon|good\\s+evening"
+GREETINGS_URDU = "السلام\\s*علیکم|اسلام\\s*علیکم|سلام"
+SALAM = "aoa|a\\.o\\.a|slm|salam|salaam|asalam"
+ACK = "Hello! "
+ACK_SALAM = "Wa Alaikum Assalam! "
+ACK_URDU = "وعلیکم السلام! "
+#: Turns that are a greeting as a whole. Fixed values.
+GREETED = ["hi", "hello", "hey", "salam", "assalam o alaikum", "aoa", "greetings", "slam", "slm", "ssa"]
+#: Questions about the assistant itself, anywhere and in short turns; words of roles, whose names are another matter. Fixed values.
+IDENTITY = ["tera naam", "tumhara naam", "ap ka naam", "aap ka naam", "tum kon", "aap kon", "tera nam", "tumhara nam", "your name", "who are you"]
+IDENTITY_SHORT = ["nam kia hai", "naam kya hai", "name kia hai", "nam kya hai"]
+ROLE_WORDS = "cto dg director manager sdeo head officer chairman chairperson secretary deputy assistant monitoring legal finance admin hr procurement".split()
+#: Questions about who made the assistant. Fixed values.
+MAKERS = [
+    "kisne banaya", "kis ne banaya", "kisnyu bnaya", "kisny bnaya", "who made", "who created", "who developed", "who built",
+    "tumhe banaya", "tumhe bnaya", "aapko banaya", "aapko bnaya", "ye banaya", "yeh banaya", "is ko banaya",
+    "developed by whom", "created by whom", "made by whom",
+]
+#: Names of the organisation that the collection is about, in lower case (a question about who made it is no question about the assistant): add your own.
+OWN_NAMES: list[str] = []
+BOT_WORDS = ["ai", "bot", "chatbot", "assistant"]
+#: Marks of a refusal where one is due, and where none is. Fixed values, but for names of one organisation.
+REFUSED = ["available nahi hai", "not available", "not found", "not contain", "nahi hai", "not specified", "unfortunately", "i could not find"]
+REFUSED_PLAINLY = ["available nahi hai"]

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone import lexicon
+from quillstone.functions import text as T
+
 
 def any_of(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, w: a | F.contains(c, F.lit(w)), words, F.lit(False))
@@ -90,3 +93,45 @@ def checked(cases: DataFrame) -> DataFrame:
     """(case_id, passed, missing): every keyword must occur in the answer, without regard to case."""
     missing = F.filter("keywords", lambda k: ~F.contains(F.lower("answer"), F.lower(k)))
     return cases.select("case_id", (F.size(missing) == 0).alias("passed"), F.array_join(missing, "|").alias("missing"))
+
+
+def passed(answer: Column, keywords: Column, is_refusal: Column, decision: Column) -> Column:
+    """struct(passed, missing): a refusal case must be refused; any other must not be, and must hold every keyword."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    missing = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: ~F.contains(low, F.lower(k)))
+    refused = F.coalesce(decision == "refuse", F.lit(False)) | any_of(low, lexicon.REFUSED)
+    ok = F.when(is_refusal, refused).otherwise(~any_of(low, lexicon.REFUSED_PLAINLY) & (F.size(missing) == 0))
+    return F.struct(ok.alias("passed"), F.when(is_refusal, "").otherwise(F.array_join(missing, "|")).alias("missing"))
+
+
+def acknowledged(c: Column) -> Column:
+    """struct(ack, rest): the reply to a greeting at the start, and what follows it; without one, no reply and the whole."""
+    raw = T.stripped(F.coalesce(c, F.lit("")))
+    arabic = F.rlike(raw, F.lit("[\\x{0600}-\\x{06FF}]"))
+    urdu = F.regexp_extract(raw, f"^({lexicon.GREETINGS_URDU})(?![\\p{{L}}\\p{{N}}_])", 1)
+    latin = F.regexp_extract(raw, f"(?i)^({lexicon.GREETINGS_LATIN})(?![\\p{{L}}\\p{{N}}_])", 1)
+    hello = F.when(arabic, urdu).otherwise(latin)
+    ack = F.when(hello == "", "").when(arabic, lexicon.ACK_URDU).when(F.rlike(F.lower(hello), F.lit(lexicon.SALAM)), lexicon.ACK_SALAM).otherwise(lexicon.ACK)
+    rest = F.regexp_replace(F.substr(raw, F.length(hello) + 1), F.lit("^[ ,:\\-—–\\n\\t]+"), F.lit(""))
+    return F.struct(ack.alias("ack"), F.when(hello == "", raw).otherwise(rest).alias("rest"))
+
+
+def canned_intent(question: Column, has_history: Column) -> Column:
+    """greeting, identity or creator where a fixed reply is due, else null; the first two only without history.
+
+    A question that names a role is about that role; the own organisation's words are the lexicon's.
+    """
+    q = T.stripped(F.lower(F.coalesce(question, F.lit(""))))
+    ws = T.words_of(q)
+    short = F.size(ws) <= 4
+    greeting = q.isin(lexicon.GREETED) | (short & any_start(q, [g + " " for g in lexicon.GREETED]))
+    about_role = F.arrays_overlap(ws, F.array(*[F.lit(w) for w in lexicon.ROLE_WORDS]))
+    identity = ~about_role & (any_of(q, lexicon.IDENTITY) | (short & any_of(q, lexicon.IDENTITY_SHORT)))
+    creator = any_of(q, lexicon.MAKERS)
+    if lexicon.OWN_NAMES:
+        creator = creator & (~any_of(q, lexicon.OWN_NAMES) | any_of(q, [f"{n} {b}" for n in lexicon.OWN_NAMES for b in lexicon.BOT_WORDS]))
+    return F.when(~has_history & greeting, "greeting").when(~has_history & identity, "identity").when(creator, "creator")
+
+
+def any_start(c: Column, starts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(s)) for s in starts])

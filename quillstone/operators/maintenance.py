@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.config import CONFIG, Config
+from quillstone.functions import text as T
+from quillstone.operators.references import DATA_PATH
+
 
 def manifest_diff(scanned: DataFrame, manifest: DataFrame, key: str = "filename", digest: str = "sha256") -> DataFrame:
     """(key, status): new, changed, unchanged or removed. The content digest decides; times are only recorded."""
@@ -71,6 +77,36 @@ def stale(rows: DataFrame, versions: dict[str, int]) -> DataFrame:
     return rows.filter("active").agg(*[F.coalesce(F.bool_or(~F.col(c).eqNullSafe(F.lit(v))), F.lit(False)).alias(f"stale_{c}") for c, v in versions.items()])
 
 
+def refreshed(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Active rows (chunk_id, doc_name, loc_label, tags, text, ... versions and digests as stored) brought up to date.
+
+    Versions, texts, digests and the public path are made anew; ``refreshed`` tells whether a stored one differed
+    (null differs). Other columns stay. Vectors come from ``embed_text``: see ``plans.ingest.reindexed``.
+    """
+    parts = [F.col(c) for c in ("doc_name", "loc_label", "tags", "text")]
+    texts = {"embed_text": T.embed_text(*parts), "search_text": T.search_text(*parts)}
+    made = {
+        "embed_version": F.lit(config.embed_version),
+        "search_version": F.lit(config.search_version),
+        "embed_sha256": F.sha2(texts["embed_text"], 256),
+        "search_sha256": F.sha2(texts["search_text"], 256),
+        "public_path": F.concat(F.lit(DATA_PATH), T.url_quoted(F.col("doc_name"))),
+    }
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in made.items()])
+    return rows.filter("active").withColumn("refreshed", ~same).withColumns(made | texts)
+
+
+MANIFEST_VERSION = 2
+
+
+def manifest(files: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """One row per scanned file (filename, path, ext, mtime, size, rank, sha256) with the version and settings of its build; missing figures are 0, missing digests blank."""
+    build = F.struct(F.lit(config.embed_version).alias("embed_text_version"), F.lit(config.search_version).alias("search_text_version"), F.lit(config.chunk_max_chars).alias("chunk_max_chars"), F.lit(config.chunk_overlap_chars).alias("chunk_overlap_chars"))
+    figures = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("mtime", "size", "rank")]
+    blank = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("ext", "sha256")]
+    return files.select("filename", "path", *figures, *blank, F.lit(MANIFEST_VERSION).alias("version"), build.alias("build"))
+
+
 def to_delete(builds: DataFrame, keep: int) -> DataFrame:
     """Builds beyond the newest ``keep`` that are not active."""
     r = builds.withColumn("rn", F.row_number().over(W.orderBy(F.desc("build_id"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -63,8 +64,6 @@ def as_json(answers: DataFrame, refs: DataFrame) -> DataFrame:
 
 def report(cases: DataFrame) -> DataFrame:
     """(line_no, line): a report over one row per case, failures first. Cases are a stated set, so one order over all is meant."""
-    from pyspark.sql import Window as W
-
     line = F.concat(F.when(F.col("passed"), "PASS ").otherwise("FAIL "), "id", F.lit(" "), "note")
     return cases.select(F.row_number().over(W.orderBy("passed", "id")).cast("long").alias("line_no"), line.alias("line"))
 
@@ -72,3 +71,31 @@ def report(cases: DataFrame) -> DataFrame:
 def time_ago(seconds: Column) -> Column:
     unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(f" {name} ago"))
     return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "m")).when(seconds < 86_400, unit(3600, "h")).otherwise(unit(86_400, "d"))
+
+
+#: Characters of a session's title. Fixed value.
+TITLE_CHARS = 38
+
+
+def session_title(first: Column) -> Column:
+    """The first words of a session, marked where they were cut."""
+    cut = F.left(first, F.lit(TITLE_CHARS))
+    return F.when(F.length(cut) >= TITLE_CHARS, F.concat(cut, F.lit("..."))).otherwise(cut)
+
+
+def sessions(turns: DataFrame) -> DataFrame:
+    """(conv_id, title, n_turns) of (conv_id, turn, text): one session per conversation, titled by its first turn."""
+    return turns.groupBy("conv_id").agg(session_title(F.min_by("text", "turn")).alias("title"), F.count(F.lit(1)).alias("n_turns"))
+
+
+def upserted(history: DataFrame, saved: DataFrame) -> DataFrame:
+    """(owner, conv_id, title, n_turns, place): saved sessions take the place of their old selves; new ones go before all others, latest first.
+
+    ``history`` has (owner, conv_id, title, n_turns, place), ``saved`` (owner, conv_id, title, n_turns, saved_at). Places count from 0 for each owner.
+    """
+    old = history.select("owner", "conv_id", F.col("title").alias("o_title"), F.col("n_turns").alias("o_n"), "place")
+    both = old.join(saved, ["owner", "conv_id"], "full")
+    order = W.partitionBy("owner").orderBy(F.col("place").isNotNull(), F.when(F.col("place").isNull(), -F.col("saved_at")), "place", "conv_id")
+    now = F.col("saved_at").isNotNull()
+    kept = [F.when(now, F.col(new)).otherwise(F.col(was)).alias(new) for new, was in (("title", "o_title"), ("n_turns", "o_n"))]
+    return both.select("owner", "conv_id", *kept, (F.row_number().over(order) - 1).cast("long").alias("place"))

@@ -162,6 +162,26 @@ def spelling(vocabulary: DataFrame, queries: DataFrame, distance: int = 2, most:
     return ranked(near, ("tok",), "dist", "word").filter(F.col("rn") <= most).select("tok", "word", "dist")
 
 
+def corrected(questions: DataFrame, vocabulary: DataFrame, stop: list[str], short: list[str], distance: int = 2, most_fixes: int = 2, most_words: int = 24) -> DataFrame:
+    """(query_id, corrected) of the questions that spelling changes: unknown words become the nearest known one.
+
+    Words of fewer than four letters, numbers and stop words stay; so do words known as they are or by their stem. Nearest
+    is least distance, then first by letters. The first ``most_fixes`` words that can be fixed are; questions of more than
+    ``most_words`` words are left alone, as are null and empty ones.
+    """
+    ws = questions.select("query_id", T.words_of(T.normal_text(F.col("question"))).alias("ws")).filter(F.size("ws") <= most_words)
+    each = ws.select("query_id", F.posexplode("ws").alias("pos", "tok"))
+    open_ = (F.length("tok") >= 4) & ~F.rlike("tok", F.lit("^[0-9]+$")) & ~F.col("tok").isin(stop) & ~F.col("tok").isin(short)
+    toks = each.filter(open_).select("tok").distinct()
+    known = vocabulary.select("word").distinct()
+    strange = toks.join(known, F.col("tok") == F.col("word"), "left_anti").join(known, T.stem(F.col("tok")) == F.col("word"), "left_anti")
+    best = spelling(vocabulary, strange.select(F.array("tok").alias("toks")), distance, 1).select("tok", F.col("word").alias("fix"))
+    fixable = each.join(best, "tok", "left").withColumn("n_fix", F.count("fix").over(W.partitionBy("query_id").orderBy("pos")))
+    word = F.when(F.col("n_fix") <= most_fixes, F.coalesce("fix", "tok")).otherwise(F.col("tok"))
+    made = fixable.groupBy("query_id").agg(F.max("n_fix").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), " ").alias("corrected"))
+    return made.filter("n > 0").select("query_id", "corrected")
+
+
 def blended(hits: DataFrame, weight: float, cap: int) -> DataFrame:
     """Adds blend: semantic score and capped overlap."""
     return hits.withColumn("blend", F.round(weight * F.col("score") + (1 - weight) * F.least(F.col("overlap"), F.lit(cap)) / F.lit(cap), 8))

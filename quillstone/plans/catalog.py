@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from quillstone.plans import queries_more
+from quillstone.plans import queries_extra, queries_more
 from quillstone.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_more"]
+__all__ = ["ORACLES", "QUERIES", "queries_extra", "queries_more"]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
+from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
 from quillstone.operators import chunking, lines, maintenance
+from quillstone.sources.snapshots import Builds
 
 
 def with_stripped_text(units: DataFrame) -> DataFrame:
@@ -45,3 +49,23 @@ def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest:
     gone = status.filter("status in ('changed', 'removed')").select(F.col("filename").alias("doc_name"))
     kept = maintenance.soft_deleted(rows, gone, "doc_name", F.lit(at).cast("long"))
     return kept.unionByName(maintenance.with_next_ids(made, rows, order)), status
+
+
+def reindexed(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
+    """(chunk table, vectors) made anew from the active rows: versions, digests and paths as ``maintenance.refreshed`` sets them, one vector per row. Inactive rows stay in the table as they are."""
+    fresh = maintenance.refreshed(rows, config)
+    vectors = fresh.select("chunk_id", embedded(F.col("embed_text"), embedder, config.embed_chars).alias("embedding"))
+    return rows.filter("not active").unionByName(fresh.drop("refreshed"), allowMissingColumns=True), vectors
+
+
+def vocabulary(builds: Builds, chunks: DataFrame) -> DataFrame:
+    """(word, n) of the chunks that belong to the active build: counted once, kept beside the build's tables and read from then on. Without an active build it is counted each time."""
+    spark, build = chunks.sparkSession, builds.active()
+    counted = chunks.select(F.explode(T.words_of(F.lower("text"))).alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if not build:
+        return counted
+    kept = builds.read(spark, "vocabulary")
+    if kept is None or not os.path.exists(builds.path(build, "vocabulary/_SUCCESS")):
+        counted.write.mode("overwrite").parquet(builds.path(build, "vocabulary"))
+        kept = builds.read(spark, "vocabulary")
+    return kept
