@@ -1,9 +1,10 @@
 """WARC archives: a writer and a sequential reader, one gzip member per record.
 
 Reader: members are inflated incrementally with zlib from a bounded read buffer;
-the header block is parsed line by line, the block is framed by Content-Length,
-and the payload's SHA-1 is checked against WARC-Payload-Digest. Memory holds one
-record and one read buffer, however long the archive.
+the header block is read up to its empty line, Content-Length then says how many
+bytes the block takes, and the payload's SHA-1 is checked against
+WARC-Payload-Digest as it passes. Memory holds the headers and one read buffer,
+and the payload of one record where the caller asks for payloads.
 
 Files are opened through ``pyarrow.fs`` by URI, so the shared folder may be a
 mounted path or a store that pyarrow knows. A writer task writes to a name of
@@ -71,44 +72,87 @@ def encode_record(headers: dict[str, str], block: bytes, level: int = 6) -> byte
     return z.compress(head.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def _members(stream: BinaryIO) -> Iterator[bytearray]:
-    """The inflated bytes of each gzip member, in order."""
+class _Member:
+    """One gzip member, inflated as far as its reader asks."""
+
+    def __init__(self, stream: BinaryIO, rest: bytes):
+        self.stream, self.rest = stream, rest
+        self.z, self.held = zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Inflate another piece; False once the member has ended."""
+        if self.z.eof:
+            return False
+        self.rest = self.rest or self.stream.read(READ_BYTES)
+        if not self.rest:
+            raise WarcError("archive ends inside a gzip member")
+        try:
+            self.held += self.z.decompress(self.rest, READ_BYTES * 4)
+        except zlib.error as e:
+            raise WarcError(f"bad gzip member: {e}") from e
+        self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        return True
+
+    def headers(self) -> dict[str, str]:
+        """The header block, up to its empty line."""
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.held) - 3)
+            if not b"WARC/".startswith(self.held[:5]) or not self.more():
+                raise WarcError("no WARC header block")
+        lines = self.held[:end].decode("utf-8").split("\r\n")
+        del self.held[: end + 4]
+        if not lines[0].startswith("WARC/"):
+            raise WarcError("no WARC header block")
+        return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+    def block(self, size: int) -> Iterator[bytes]:
+        """``size`` bytes in pieces of at most what one step inflates, then the end of the record and of the member."""
+        left = size
+        while left:
+            if not self.held and not self.more():
+                raise WarcError(f"Content-Length is {size}, the block has {size - left} bytes")
+            piece = bytes(self.held[:left])
+            del self.held[: len(piece)]
+            left -= len(piece)
+            if piece:
+                yield piece
+        while len(self.held) <= 4 and self.more():
+            pass
+        if self.held != b"\r\n\r\n":
+            raise WarcError(f"Content-Length is {size}, the record does not end there")
+
+
+def streamed_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """(headers, pieces of the block) of each record. Content-Length says how much is read; no record is held whole. Pieces that the caller leaves are read over."""
     rest = b""
-    while True:
-        rest = rest or stream.read(READ_BYTES)
-        if not rest:
-            return
-        z, out = zlib.decompressobj(31), bytearray()
-        while not z.eof:
-            if not rest and not (rest := stream.read(READ_BYTES)):
-                raise WarcError("archive ends inside a gzip member")
-            try:
-                out += z.decompress(rest, READ_BYTES * 4)
-            except zlib.error as e:
-                raise WarcError(f"bad gzip member: {e}") from e
-            rest = z.unused_data if z.eof else z.unconsumed_tail
-        yield out
+    while rest := rest or stream.read(READ_BYTES):
+        member = _Member(stream, rest)
+        headers = member.headers()
+        length = headers.get("Content-Length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise WarcError("no valid Content-Length")
+        pieces = member.block(int(length))
+        yield headers, pieces
+        for _ in pieces:
+            pass
+        rest = member.rest
+
+
+def verified(headers: dict[str, str], pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces as they are; after the last one an error if their SHA-1 is not the payload digest. Revisits carry another record's digest."""
+    label, sha1 = headers.get("WARC-Payload-Digest"), hashlib.sha1()
+    for piece in pieces:
+        sha1.update(piece)
+        yield piece
+    if label and headers.get("WARC-Type") != "revisit" and digest_hex(label) != sha1.hexdigest():
+        raise WarcError(f"digest differs in {headers.get('WARC-Record-ID')}")
 
 
 def read_records(stream: BinaryIO, verify: bool = True) -> Iterator[Record]:
-    """Records of an archive. Checks framing and, if verify, each payload digest."""
-    for member in _members(stream):
-        head, sep, body = bytes(member).partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
-        if not sep or not lines[0].startswith("WARC/"):
-            raise WarcError("no WARC header block")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        try:
-            size = int(headers["Content-Length"])
-        except (KeyError, ValueError) as e:
-            raise WarcError("no valid Content-Length") from e
-        if len(body) != size + 4 or body[size:] != b"\r\n\r\n":
-            raise WarcError(f"Content-Length is {size}, the block has {len(body) - 4} bytes")
-        block = body[:size]
-        label = headers.get("WARC-Payload-Digest")
-        if verify and label and headers.get("WARC-Type") != "revisit" and digest_hex(label) != hashlib.sha1(block).hexdigest():
-            raise WarcError(f"digest differs in {headers.get('WARC-Record-ID')}")
-        yield Record(headers, block)
+    """Whole records of an archive. Checks framing and, if verify, each payload digest."""
+    for headers, pieces in streamed_records(stream):
+        yield Record(headers, b"".join(verified(headers, pieces) if verify else pieces))
 
 
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -152,8 +196,11 @@ def write_archives(plan: DataFrame, folder: str, level: int = 6) -> list[str]:
     return sorted(r["archive"] for r in plan.mapInArrow(task, "archive string, records long").collect())
 
 
-def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
-    """Every record of the archives; one task reads an archive from start to end."""
+def read_archives(spark: SparkSession, archives: list[str], payload: bool = True) -> DataFrame:
+    """Every record of the archives, each digest verified; one task reads an archive from start to end.
+
+    Without ``payload`` that column is null and blocks pass through a task piece by piece, however long they are.
+    """
 
     def page(urn: str | None) -> int | None:
         number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
@@ -165,12 +212,16 @@ def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
             for uri in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with _open(uri, "r")[2] as stream:
-                    for headers, block in read_records(stream):
-                        size = int(headers["X-Payload-Bytes"])
-                        if headers["WARC-Type"] == "response" and size != len(block):
-                            raise WarcError(f"payload of {headers['WARC-Record-ID']} has {len(block)} bytes")
-                        rows.append({"record_id": headers["WARC-Record-ID"], "page_id": page(headers["WARC-Record-ID"]), "url": headers.get("WARC-Target-URI"), "record_type": headers["WARC-Type"], "refers_to": page(headers.get("WARC-Refers-To")), "payload_digest": digest_hex(headers["WARC-Payload-Digest"]), "payload_bytes": size, "payload": block, "archive": uri})
-                        held += len(block)
+                    for headers, pieces in streamed_records(stream):
+                        size, n, block = int(headers["X-Payload-Bytes"]), 0, []
+                        for piece in verified(headers, pieces):
+                            n += len(piece)
+                            if payload:
+                                block.append(piece)
+                        if headers["WARC-Type"] == "response" and size != n:
+                            raise WarcError(f"payload of {headers['WARC-Record-ID']} has {n} bytes")
+                        rows.append({"record_id": headers["WARC-Record-ID"], "page_id": page(headers["WARC-Record-ID"]), "url": headers.get("WARC-Target-URI"), "record_type": headers["WARC-Type"], "refers_to": page(headers.get("WARC-Refers-To")), "payload_digest": digest_hex(headers["WARC-Payload-Digest"]), "payload_bytes": size, "payload": b"".join(block) if payload else None, "archive": uri})
+                        held += n if payload else 0
                         if held > ROWS_BYTES or len(rows) >= 10_000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -182,9 +233,9 @@ def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write ``pages`` as WARC archives in the shared folder and read them back."""
+    """Write ``pages`` as WARC archives in the shared folder and read them back; the result needs digests and sizes, so payloads are verified and not held."""
     archives = write_archives(plan_records(table(spark, sf_dir, "pages")), new_shared_path(spark, "warc"))
-    return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB: SHA-1 over the UTF-8 payload; the response is the largest page_id of equal payloads of 1000 bytes or more.

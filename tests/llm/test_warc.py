@@ -41,6 +41,35 @@ def test_broken_archives(data):
         list(warc.read_records(io.BytesIO(data)))
 
 
+@pytest.mark.parametrize("data", [gzip.compress(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nContent-Length: -1\r\n\r\n\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nx"), gzip.compress(b"x" * (1 << 20))])
+def test_broken_framing(data):
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(data)))
+
+
+def test_long_record_passes_in_pieces():
+    block, after = b"0123456789abcdef" * (1 << 20), b"next"
+    data = io.BytesIO(record(block) + record(after))
+    got, longest = [], 0
+    for headers, pieces in warc.streamed_records(data):
+        n = 0
+        for piece in warc.verified(headers, pieces):
+            n, longest = n + len(piece), max(longest, len(piece))
+        got.append(n)
+    assert got == [len(block), len(after)] and longest <= 4 * warc.READ_BYTES
+    data.seek(0)
+    assert [h["Content-Length"] for h, _ in warc.streamed_records(data)] == [str(len(block)), "4"]  # blocks left unread
+
+
+def test_payloads_on_request(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a" * 2000), (2, "a" * 2000), (3, None)], "page_id long, html string").withColumn("url", warc.F.lit(None).cast("string"))
+    archives = warc.write_archives(warc.plan_records(pages), f"{tmp_path}/w")
+    whole = {r.page_id: (r.payload, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, archives).collect()}
+    bare = {r.page_id: (r.payload, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, archives, payload=False).collect()}
+    assert {k: bytes(v[0]) for k, v in whole.items()} == {1: b"", 2: b"a" * 2000, 3: b""}
+    assert {k: v[1:] for k, v in whole.items()} == {k: v[1:] for k, v in bare.items()} and all(v[0] is None for v in bare.values())
+
+
 def brute(rows, least=1000):
     out = []
     for page, html in rows:
