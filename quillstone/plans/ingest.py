@@ -12,13 +12,14 @@ from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
 from quillstone.operators import chunking, lines, maintenance
+from quillstone.sources.scratch import kept
 from quillstone.sources.snapshots import Builds
 
 
 def with_stripped_text(units: DataFrame) -> DataFrame:
     """Units whose text has lost the headers and footers that repeat on a document's pages, and page numbers."""
-    kept = lines.without_repeated(units, lines.repeated_lines(units, HEADER_MARKS))
-    return kept.withColumn("text", F.array_join("kept_lines", "\n")).drop("kept_lines", "n_lines")
+    left = lines.without_repeated(units, lines.repeated_lines(units, HEADER_MARKS))
+    return left.withColumn("text", F.array_join("kept_lines", "\n")).drop("kept_lines", "n_lines")
 
 
 def chunk_units(units: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -36,19 +37,25 @@ def chunk_units(units: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 
 def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest: DataFrame | None, at: int, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
-    """(chunk table, file status). Unchanged documents keep their rows and ids; changed and removed ones are deactivated."""
+    """(chunk table, file status). Unchanged documents keep their rows and ids; changed and removed ones are deactivated.
+
+    Chunking is work for the processors, not the disks, so changed units are dealt over all tasks first, however
+    few bytes they have; chunks are made once and kept while they are numbered.
+    """
     spark = units.sparkSession
     if manifest is None:
         manifest = spark.createDataFrame([], "filename string, sha256 string")
     status = maintenance.manifest_diff(files, manifest)
     fresh = status.filter("status in ('new', 'changed')").select(F.col("filename").alias("doc_name"))
-    made = chunk_units(units.join(fresh, "doc_name", "left_semi"), config)
+    changed = units.join(fresh, "doc_name", "left_semi").select("doc_name", "page", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = kept(chunk_units(changed.repartition(tasks, "doc_name", "page", "text"), config))
     order = ["doc_name", "page", "slice_no"]
     if rows is None:
         return maintenance.with_next_ids(made, spark.createDataFrame([], "chunk_id long"), order), status
     gone = status.filter("status in ('changed', 'removed')").select(F.col("filename").alias("doc_name"))
-    kept = maintenance.soft_deleted(rows, gone, "doc_name", F.lit(at).cast("long"))
-    return kept.unionByName(maintenance.with_next_ids(made, rows, order)), status
+    known = maintenance.soft_deleted(rows, gone, "doc_name", F.lit(at).cast("long"))
+    return known.unionByName(maintenance.with_next_ids(made, rows, order)), status
 
 
 def reindexed(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +71,8 @@ def vocabulary(builds: Builds, chunks: DataFrame) -> DataFrame:
     counted = chunks.select(F.explode(T.words_of(F.lower("text"))).alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if not build:
         return counted
-    kept = builds.read(spark, "vocabulary")
-    if kept is None or not os.path.exists(builds.path(build, "vocabulary/_SUCCESS")):
+    known = builds.read(spark, "vocabulary")
+    if known is None or not os.path.exists(builds.path(build, "vocabulary/_SUCCESS")):
         counted.write.mode("overwrite").parquet(builds.path(build, "vocabulary"))
-        kept = builds.read(spark, "vocabulary")
-    return kept
+        known = builds.read(spark, "vocabulary")
+    return known
