@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -55,4 +57,11 @@ class Config:
     query_block: int = 5_000
 
 
-CONFIG = Config()
+def from_environment(env: Mapping[str, str] = os.environ, prefix: str = "QUILLSTONE_") -> Config:
+    """The defaults, but for variables such as QUILLSTONE_TOP_K. Blank ones count as unset; one that is no number of its field's kind is an error."""
+    kinds = {f.name: type(f.default) for f in fields(Config)}
+    given = {name: env.get(prefix + name.upper(), "").strip() for name in kinds}
+    return Config(**{name: kinds[name](value) for name, value in given.items() if value})
+
+
+CONFIG = from_environment()

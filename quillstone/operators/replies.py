@@ -68,6 +68,12 @@ def report(cases: DataFrame) -> DataFrame:
     return cases.select(F.row_number().over(W.orderBy("passed", "id")).cast("long").alias("line_no"), line.alias("line"))
 
 
+def write_report(cases: DataFrame, path: str) -> None:
+    """The report as one text file in a folder."""
+    lines = report(cases).repartition(1).sortWithinPartitions("line_no")
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def time_ago(seconds: Column) -> Column:
     unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(f" {name} ago"))
     return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "m")).when(seconds < 86_400, unit(3600, "h")).otherwise(unit(86_400, "d"))

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,6 +27,28 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     return made.orderBy(F.desc("rank"), F.lower("filename"), "filename")
 
 
+def discovered(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:
+    """(path) of the folder's files of these kinds, whatever the case of their endings, in order. Contents are not read."""
+    found = spark.read.format("binaryFile").load(folder).select("path")
+    return found.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*kinds)).orderBy("path")
+
+
+MANIFEST_FIELDS = ["filename string", "path string", "ext string", "mtime long", "size long", "rank int", "sha256 string"]
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """MANIFEST_FIELDS rows of a JSON manifest ({"version": …, "files": {filename: {…}}}). A missing or broken file has no rows."""
+    entry = ", ".join(f.replace(" ", ": ") for f in MANIFEST_FIELDS)
+    reader = spark.read.schema(f"version long, files map<string, struct<{entry}>>").option("multiLine", True)
+    try:
+        whole = reader.json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(MANIFEST_FIELDS))
+    return whole.select(F.explode(F.map_values("files")).alias("f")).select("f.*")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -42,8 +42,12 @@ class Builds:
     def path(self, build_id: str, table: str) -> str:
         return f"{self.root}/builds/{build_id}/{table}"
 
-    def read(self, spark: SparkSession, table: str) -> DataFrame | None:
-        build = self.active()
+    def resolve(self, wanted: str | None = None, default: str | None = None, table: str = "chunks") -> str | None:
+        """The first build that has the table: the wanted one, the active one, the default."""
+        return next((b for b in (wanted, self.active(), default) if b and os.path.isdir(self.path(b, table))), None)
+
+    def read(self, spark: SparkSession, table: str, wanted: str | None = None, default: str | None = None) -> DataFrame | None:
+        build = self.resolve(wanted, default, table) if wanted or default else self.active()
         return spark.read.parquet(self.path(build, table)) if build and os.path.isdir(self.path(build, table)) else None
 
     def publish(self, spark: SparkSession, build_id: str, tables: dict[str, DataFrame], keep: int = 3) -> bool:

@@ -3,6 +3,12 @@
 import json
 import zipfile
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.config import Config, from_environment
+from quillstone.functions import audio
+from quillstone.operators import replies
 from quillstone.sources import readers
 from quillstone.sources.snapshots import Builds
 from quillstone.streaming import indexer
@@ -31,6 +37,59 @@ def test_scan_and_jsonl(spark, tmp_path):
     assert sorted(r.id for r in readers.read_jsonl(spark, str(tmp_path / "rows.jsonl"), "id long").collect()) == [1, 2]
 
 
+def test_discovery_and_json_manifest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in ("b.PDF", "a.docx", "c.txt"):
+        (tmp_path / "in" / n).write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in readers.discovered(spark, str(tmp_path / "in")).collect()] == ["a.docx", "b.PDF"]
+    entry = {"filename": "b.pdf", "path": "in/b.pdf", "ext": ".pdf", "mtime": 5, "size": 1, "rank": 2, "sha256": "ab"}
+    (tmp_path / "m.json").write_text(json.dumps({"version": 1, "files": {"b.pdf": entry}}, indent=2))
+    (tmp_path / "broken.json").write_text('{"version": 1, "files": {')
+    assert [r.asDict() for r in readers.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [entry]
+    for name in ("broken.json", "missing.json"):
+        got = readers.read_manifest(spark, str(tmp_path / name))
+        assert got.collect() == [] and got.columns == list(entry)
+
+
+def test_which_build_is_read(spark, tmp_path):
+    b = Builds(str(tmp_path))
+    rows = lambda n: spark.createDataFrame([(True, n)], "active boolean, text string")
+    assert b.resolve() is None and b.read(spark, "chunks") is None
+    assert b.publish(spark, "one", {"chunks": rows("1")}) and b.publish(spark, "two", {"chunks": rows("2")})
+    assert (b.resolve(), b.resolve("one"), b.resolve("none"), b.resolve("none", "one")) == ("two", "one", "two", "two")
+    assert b.read(spark, "chunks", wanted="one").first().text == "1"
+    b.activate("gone")
+    assert b.resolve(default="one") == "one" and b.resolve() is None
+
+
+def test_settings_from_the_environment():
+    got = from_environment({"QUILLSTONE_TOP_K": "7", "QUILLSTONE_SIMILARITY": "0.5", "QUILLSTONE_MAX_DOCS": " ", "TOP_K": "9"})
+    assert (got.top_k, got.similarity, got.max_docs) == (7, 0.5, Config().max_docs)
+    with pytest.raises(ValueError):
+        from_environment({"QUILLSTONE_TOP_K": "many"})
+
+
+def test_written_report(spark, tmp_path):
+    cases = spark.createDataFrame([("b", True, ""), ("c", False, "x"), ("a", True, "y")], "id string, passed boolean, note string")
+    replies.write_report(cases, str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*.txt")
+    assert part.read_text().splitlines() == ["FAIL c x", "PASS a y", "PASS b "]
+
+
+def test_transcriber(spark):
+    wav = b"RIFF0000WAVE" + b"\0" * 800
+    rows = spark.createDataFrame([(1, wav), (2, b"RIFF"), (3, None), (4, b"x" * 900)], "id long, content binary").coalesce(1)
+    heard = lambda contents, kinds: [f"{k} {len(c)}" for c, k in zip(contents, kinds, strict=True)]
+    got = {r.id: r.t for r in rows.select("id", audio.transcribed(F.col("content"), heard).alias("t")).collect()}
+    assert got == {1: "wav 812", 2: audio.TOO_SHORT, 3: audio.TOO_SHORT, 4: "bin 900"}
+
+    def broken(contents, kinds):
+        raise RuntimeError("no model")
+
+    got = {r.id: r.t for r in rows.select("id", audio.transcribed(F.col("content"), broken).alias("t")).collect()}
+    assert got[1] == got[4] == audio.FAILED and got[2] == audio.TOO_SHORT
+
+
 def content(builds, spark):
     return sorted((r.doc_name, r.page, r.slice_no, r.text) for r in builds.read(spark, "chunks").filter("active").collect())
 
