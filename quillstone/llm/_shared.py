@@ -97,6 +97,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(df: DataFrame, *made: str) -> DataFrame:
+    """Columns that are named like those an operator makes, as ``<name>_given``, so that both are in the result."""
+    for c in [c for c in df.columns if c in made]:
+        name = f"{c}_given"
+        while name in df.columns or name in made:
+            name += "_given"
+        df = df.withColumnRenamed(c, name)
+    return df
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without making Python strings."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -13,6 +13,7 @@ from quillstone.llm.fingerprints import op2_fingerprints
 from quillstone.llm.lm import op9_lm
 from quillstone.llm.quality import op8_quality
 from quillstone.llm.urls import RULES, op6_urls
+from quillstone.llm.whitening import op13_whitening
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,3 +98,11 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 @view("select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+@view("""with e as (select vec_id, list_transform(embedding, lambda v: floor(v::double * 256)::bigint) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+f as (select distinct x from e), n as (select count(*)::bigint as n from f), s as (select i, sum(x[i])::bigint as s from (select x, unnest(range(1, len(x) + 1)) as i from f) group by i),
+d as (select vec_id, x, sum((n * x[i] - s) * (n * x[i] - s))::bigint as deviation from (select vec_id, x, unnest(range(1, len(x) + 1)) as i from e) join s using (i), n group by vec_id, x)
+select vec_id, unnest([1, 2, 3, 4]) as component, n, deviation, true as is_white from d, n""")
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation", (F.col("identity_error") <= 1e-4).alias("is_white"))

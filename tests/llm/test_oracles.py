@@ -16,7 +16,7 @@ def rows(names, found):
 @pytest.mark.parametrize("name", ORACLES)
 def test_same_rows(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     q = c.execute(ORACLES[name])
     df = QUERIES[name](spark, D)
