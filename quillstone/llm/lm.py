@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm._kernels import U, Words, mix
 from quillstone.llm._shared import blocks, crc_mod, n_ranges, new_shared_path, selected, table
-from quillstone.llm.files import local_path
+from quillstone.llm.files import Maps, local_path, save_arrays
 
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 FLUSH = 1 << 20
@@ -87,6 +87,11 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 MOST_SPLITS = 64
 
 
+@lru_cache(4)
+def _hashes(words: tuple[int, ...]) -> np.ndarray:
+    return np.array(words, U)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where n-grams lie: the number of hash ranges, the common words (sorted hashes) and over how many ranges their contexts are split."""
@@ -96,7 +101,7 @@ class Layout:
     splits: int = 1
 
     def is_common(self, word: np.ndarray) -> np.ndarray:
-        known = np.array(self.common, U)
+        known = _hashes(self.common)
         if not len(known) or self.splits < 2:
             return np.zeros(len(word), bool)
         return known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word
@@ -189,13 +194,13 @@ def raw_counts(docs: DataFrame, order: int, lay: Layout) -> DataFrame:
     return docs.select("text").mapInArrow(task, PACKED)
 
 
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    for k, v in arrays.items():
-        own = f"{folder}/{name}.{k}.{uuid.uuid4().hex}"
-        with open(own, "wb") as f:
-            np.save(f, v)
-        os.replace(own, f"{folder}/{name}.{k}.npy")
+def _note(folder: str, level: int, name: str, totals: dict) -> None:
+    """Totals of a range as one line of JSON, which Spark adds up."""
+    os.makedirs(f"{folder}/totals-{level}", exist_ok=True)
+    own = f"{folder}/{name}.{uuid.uuid4().hex}"
+    with open(own, "w") as f:
+        json.dump(totals, f)
+    os.replace(own, f"{folder}/totals-{level}/{name}.json")
 
 
 def write_level(entries: DataFrame, order: int, lay: Layout, folder: str) -> DataFrame:
@@ -206,18 +211,13 @@ def write_level(entries: DataFrame, order: int, lay: Layout, folder: str) -> Dat
         key, row, (count, raw) = summed(gram(words), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
         words = [w[row] for w in words]
         name, big = f"{order}-{number:06d}", np.flatnonzero(count >= BIG)
-        _save(folder, name, keys=key, counts=np.minimum(count, BIG).astype(np.uint8), bigkeys=key[big], bigcounts=count[big])
-        totals = {"kinds": [int((count == c).sum()) for c in (1, 2, 3, 4)], "more": int((count > 2).sum()), "total": int(count.sum()), "distinct": len(key), "raw": int(raw.sum())}
-        if order == 1:
-            _save(folder, name, raw=raw)
-        else:
+        save_arrays(f"{folder}/{name}", keys=key, counts=np.minimum(count, BIG).astype(np.uint8), bigkeys=key[big], bigcounts=count[big], **({"raw": raw} if order == 1 else {}))
+        if order > 1:
             context = gram(words[:-1])
             c, _, (total, one, two, more) = summed(context, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
-            _save(folder, f"context-{name}", keys=c, totals=total.astype(np.int64), one=one.astype(np.uint32), two=two.astype(np.uint32), more=more.astype(np.uint32))
-        own = f"{folder}/{name}.{uuid.uuid4().hex}"
-        with open(own, "w") as f:
-            json.dump(totals, f)
-        os.replace(own, f"{folder}/{name}.json")
+            save_arrays(f"{folder}/context-{name}", keys=c, totals=total.astype(np.int64), one=one.astype(np.uint32), two=two.astype(np.uint32), more=more.astype(np.uint32))
+        kinds = {f"n{c}": int((count == c).sum()) for c in (1, 2, 3, 4)}
+        _note(folder, order, name, kinds | {"more": int((count > 2).sum()), "total": int(count.sum()), "distinct": len(key), "raw": int(raw.sum())})
         if order > 1:
             _, row, (left, below) = summed(gram(words[1:]), np.ones(len(key), np.int64), raw)
             yield from packed([w[row] for w in words[1:]], left, below, lay)
@@ -266,10 +266,12 @@ def fit(docs: DataFrame, order: int = 2, folder: str | None = None) -> NgramMode
     for level in range(order, 0, -1):
         entries = write_level(entries, level, lay, folder)
     entries.count()
+    fields = ("n1", "n2", "n3", "n4", "more", "total", "distinct", "raw")
     totals = []
     for level in range(1, order + 1):
-        found = [json.load(open(f"{folder}/{f}")) for f in sorted(os.listdir(folder)) if f.startswith(f"{level}-") and f.endswith(".json")] if os.path.isdir(folder) else []
-        totals.append({k: sum(x[k] for x in found) for k in ("total", "distinct", "raw", "more")} | {"kinds": [sum(x["kinds"][i] for x in found) for i in range(4)]})
+        noted = f"{folder}/totals-{level}"
+        found = spark.read.schema(", ".join(f"{k} long" for k in fields)).json(f"file://{noted}").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in fields]).first().asDict() if os.path.isdir(noted) else dict.fromkeys(fields, 0)
+        totals.append(found | {"kinds": [found[f"n{c}"] for c in (1, 2, 3, 4)]})
     d = [discounts(t["kinds"]) for t in totals]
     words = totals[0]
     held_back = d[0][0] * words["kinds"][0] + d[0][1] * words["kinds"][1] + d[0][2] * words["more"]
@@ -277,17 +279,10 @@ def fit(docs: DataFrame, order: int = 2, folder: str | None = None) -> NgramMode
 
 
 class Reader:
-    """The arrays of a model, mapped into memory as they are asked for."""
+    """The arrays of a model, mapped into memory as they are asked for; a file for each range and level, of which a bounded number is open."""
 
     def __init__(self, model: NgramModel):
-        self.model, self.arrays = model, {}
-
-    def array(self, name: str, shard: int, kind: str) -> np.ndarray | None:
-        key = f"{name}-{shard:06d}.{kind}"
-        if key not in self.arrays:
-            path = f"{self.model.folder}/{key}.npy"
-            self.arrays[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.arrays[key]
+        self.model, self.maps = model, Maps()
 
     def find(self, name: str, shard: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
         """Values of each kind for each key in its range, 0 where it is absent. Keys are sorted and distinct within a range."""
@@ -296,19 +291,20 @@ class Reader:
         cuts = np.searchsorted(shard[order], np.arange(self.model.layout.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             use = order[cuts[s] : cuts[s + 1]]
-            held = self.array(name, int(s), "keys")
-            if held is None or not len(held):
+            arrays = self.maps.get(f"{self.model.folder}/{name}-{s:06d}")
+            if arrays is None or not len(arrays["keys"]):
                 continue
+            held = arrays["keys"]
             at = np.minimum(np.searchsorted(held, keys[use]), len(held) - 1)
             hit = held[at] == keys[use]
             use, at = use[hit], at[hit]
             for o, kind in zip(out, kinds, strict=True):
-                o[use] = self.array(name, int(s), kind)[at]
+                o[use] = arrays[kind][at]
             if "counts" in kinds:
                 o = out[kinds.index("counts")]
                 big = use[o[use] == BIG]
                 if len(big):
-                    o[big] = self.array(name, int(s), "bigcounts")[np.searchsorted(self.array(name, int(s), "bigkeys"), keys[big])]
+                    o[big] = arrays["bigcounts"][np.searchsorted(arrays["bigkeys"], keys[big])]
         return out
 
     def context_totals(self, n: int, context: np.ndarray, split: np.ndarray) -> list[np.ndarray]:

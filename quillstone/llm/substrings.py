@@ -29,7 +29,6 @@ number of hash ranges follows the input's size, so that a range's task stays the
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +43,7 @@ from quillstone.llm.files import local_path
 
 ROWS = 2
 SLICE_BITS = 22
+BITMAP = "cells.bits"
 FLUSH = 1 << 19
 MOST_CELLS = 1 << 33
 #: Odd multipliers that give each row its own cells. Fixed values.
@@ -104,15 +104,20 @@ def partial_sketches(docs: DataFrame, width: int, bits: int, most_held: int = FL
     return docs.select("text").mapInArrow(task, "slice int, once_size int, once binary, more_size int, more binary")
 
 
-def merge_sketches(partials: DataFrame, folder: str) -> int:
-    """Add up the slices and write each one's bitmap of cells that reached 2. Returns the number of slices written."""
+def merge_sketches(partials: DataFrame, folder: str, bits: int) -> int:
+    """Add up the slices and write each one's bits, of cells that reached 2, into its place in the one file of all slices. Returns the number of slices written.
+
+    Slices that nobody met are holes of zeros. A repeated task writes the same bytes to the same place.
+    """
+    size = (1 << SLICE_BITS) // 8
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{BITMAP}", "wb") as f:
+        f.truncate(size * (ROWS << (bits - SLICE_BITS)))
 
     def write(number: int, count: np.ndarray) -> pa.RecordBatch:
-        os.makedirs(folder, exist_ok=True)
-        name = f"{folder}/{number:06d}.bits"
-        with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:
+        with open(f"{folder}/{BITMAP}", "r+b", buffering=0) as f:
+            f.seek(number * size)
             f.write(np.packbits(count > 1, bitorder="little").tobytes())
-        os.replace(f.name, name)
         return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32())})
 
     def task(batches):
@@ -133,25 +138,20 @@ def merge_sketches(partials: DataFrame, folder: str) -> int:
 
 
 @lru_cache(2)
-def _bitmaps(folder: str, bits: int) -> list[np.ndarray | None]:
-    n = ROWS << (bits - SLICE_BITS)
-    names = [f"{folder}/{i:06d}.bits" for i in range(n)]
-    return [np.memmap(x, np.uint8, "r") if os.path.exists(x) else None for x in names]
+def _bitmap(folder: str) -> np.ndarray:
+    """The bits of all slices: one map, one descriptor, whatever their number."""
+    return np.memmap(f"{folder}/{BITMAP}", np.uint8, "r")
 
 
 def maybe_repeated(h: np.ndarray, folder: str, bits: int) -> np.ndarray:
     """True where every row's cell reached 2."""
-    maps, out = _bitmaps(folder, bits), np.ones(len(h), bool)
+    held, out = _bitmap(folder), np.ones(len(h), bool)
     for row in range(ROWS):
         at = np.flatnonzero(out)
-        c = cells(h[at], row, bits)
-        part = (c >> U(SLICE_BITS)).astype(np.int64) + (row << (bits - SLICE_BITS))
-        low = (c & U((1 << SLICE_BITS) - 1)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(len(maps) + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            pick = order[cuts[s] : cuts[s + 1]]
-            out[at[pick]] = (maps[s][low[pick] >> 3] >> (low[pick] & 7).astype(np.uint8)) & 1 if maps[s] is not None else False
+        place = cells(h[at], row, bits).astype(np.int64) + (row << bits)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        out[at[order]] = (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1
     return out
 
 
@@ -318,7 +318,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, most_cells: int = MOST_CEL
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     bits = cell_bits(words, most_cells)
     folder = local_path(new_shared_path(spark, "window-sketch"))
-    merge_sketches(partial_sketches(docs, width, bits, most_held), folder)
+    merge_sketches(partial_sketches(docs, width, bits, most_held), folder, bits)
     decided = decide(candidates(keyed, width, folder, bits, shards, most_held), shards)
     found = gather(decided, shards).withColumnRenamed("spans", "__spans")
     columns = docs.columns
