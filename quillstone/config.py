@@ -27,6 +27,8 @@ class Config:
     variant_similarity: float = 0.18
     fallback_similarity: float = 0.06
     fallback_hits: int = 14
+    fallback_per_doc: int = 3
+    fallback_most: int = 80
     semantic_weight: float = 0.75
     overlap_cap: int = 12
     gate_score: float = 0.26

@@ -39,11 +39,13 @@ SAMPLE = 100 * RANGES
 def with_range(rows: DataFrame, order: list[str], out: str = "__range") -> DataFrame:
     """Adds the number of the range of ``order`` that a row lies in; ranges follow one another in that order (nulls first).
 
-    Their borders are RANGES - 1 of a bounded sample of keys, brought to the driver and written into the plan, so
-    that every use of the result cuts alike. Where they lie decides about balance and never about results.
+    Their borders are RANGES - 1 of a bounded sample of distinct keys (one of each of SAMPLE hash buckets, so that copies
+    count once), brought to the driver and written into the plan, so that every use of the result cuts alike. Where they
+    lie decides about balance and never about results.
     """
     keys = rows.select(*order)
-    some = keys.orderBy(F.xxhash64(*order)).limit(SAMPLE).orderBy(*order).collect()
+    hashed = keys.select(F.struct(*order).alias("k"), F.xxhash64(*order).alias("h"))
+    some = hashed.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("b")).agg(F.min_by("k", "h").alias("k")).select("k.*").orderBy(*order).collect()
     types = [f.dataType for f in keys.schema]
     cuts = sorted({len(some) * i // RANGES for i in range(1, RANGES)}) if some else []
     borders = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(some[i], types, order, strict=True)]) for i in cuts]
@@ -65,11 +67,14 @@ def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) ->
     return made.select(*rows.columns, *[(F.col(f"__in_{n}") + F.col(f"__begin_{n}")).alias(n) for n in sums])
 
 
+def numbered(new: DataFrame, first: int, order: list[str]) -> DataFrame:
+    """New rows get consecutive ids from ``first``, in the given order (nulls first)."""
+    return running_sums(new, order, {"__before": F.lit(1).cast("long")}).withColumn("chunk_id", F.lit(first).cast("long") + F.col("__before")).drop("__before")
+
+
 def with_next_ids(new: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """New rows get consecutive ids after the largest one, in the given order (nulls first)."""
-    top = rows.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-    numbered = running_sums(new, order, {"__before": F.lit(1).cast("long")})
-    return numbered.withColumn("chunk_id", F.lit(top).cast("long") + F.col("__before") + 1).drop("__before")
+    return numbered(new, rows.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0] + 1, order)
 
 
 def stale(rows: DataFrame, versions: dict[str, int]) -> DataFrame:

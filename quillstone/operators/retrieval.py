@@ -2,78 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import keywords
+from quillstone.sources.scratch import if_small
 
 
 def keyword_scan(units: DataFrame, queries: DataFrame, block: int = 5_000, least: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, n_found, score) over (chunk_id, text) and (query_id, toks array).
-
-    Substring matches: full phrase of two or more tokens .75, all tokens .65, three
-    quarters of three or more .60, half of two or more .55. With ``least``, so many found
-    tokens make a hit whatever their share (score 0 below one half). Queries are a stated set,
-    taken in blocks: one automaton holds the distinct tokens and phrases of up to ``block``
-    queries, so a text is read once for all of them, and each found token adds to the counts of
-    the queries that have it.
-    """
-    asked = queries.select("query_id", "toks").filter(F.size("toks") > 0).toLocalIterator()
-    out = None
-    while some := [(r[0], r[1]) for r in islice(asked, block)]:
-        tokens = sorted({t for _, toks in some for t in toks})
-        phrases = sorted({" ".join(toks) for _, toks in some if len(toks) > 1})
-
-        def task(batches: Iterator[pa.RecordBatch], some=some, tokens=tokens, phrases=phrases) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine, number = ahocorasick.Automaton(), {}
-            for s in [*tokens, *phrases]:
-                number.setdefault(s, len(number))
-            for s, i in number.items():
-                machine.add_word(s, i)
-            machine.make_automaton()
-            lists: list[list[int]] = [[] for _ in number]
-            whole: dict[int, list[int]] = {}
-            for q, (_, toks) in enumerate(some):
-                for t in toks:
-                    lists[number[t]].append(q)
-                if len(toks) > 1:
-                    whole.setdefault(number[" ".join(toks)], []).append(q)
-            having = [np.array(x, np.int64) for x in lists]
-            n = np.array([len(toks) for _, toks in some])
-            ids = np.array([q for q, _ in some])
-            for b in batches:
-                chunk, parts = b.column(0).to_numpy(zero_copy_only=False), []
-                for i, text in enumerate(b.column(1)):
-                    found = {v for _, v in machine.iter(text.as_py())} if text.is_valid else ()
-                    if not found:
-                        continue
-                    q, count = np.unique(np.concatenate([having[v] for v in found]), return_counts=True)
-                    ratio, size = count / n[q], n[q]
-                    score = np.select([ratio == 1, (ratio >= 0.75) & (size >= 3), (ratio >= 0.5) & (size >= 2)], [0.65, 0.60, 0.55], 0.0)
-                    full = [x for v in found if v in whole for x in whole[v]]
-                    score[np.isin(q, full)] = 0.75
-                    use = score > 0 if least is None else (score > 0) | (count >= least)
-                    parts.append((ids[q[use]], np.full(use.sum(), chunk[i]), count[use], score[use]))
-                if parts:
-                    made = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2].astype(np.int64)), pa.array(made[3])], ["query_id", "chunk_id", "n_found", "score"])
-
-        made = units.select("chunk_id", F.lower("text").alias("t")).mapInArrow(task, "query_id long, chunk_id long, n_found long, score double")
-        out = made if out is None else out.unionByName(made)
-    return units.sparkSession.createDataFrame([], "query_id long, chunk_id long, n_found long, score double") if out is None else out
-
-
-def if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """Marked for broadcast if it has at most ``most`` rows, which are counted."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    """Every hit: see ``keywords.scan``."""
+    return keywords.scan(units, queries, block, least)
 
 
 def ranked(hits: DataFrame, per: tuple[str, ...], *order) -> DataFrame:

@@ -7,6 +7,7 @@ from vectors, keywords and neighbouring pages; texts join last, within the budge
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from quillstone import lexicon
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
-from quillstone.operators import answers, replies, retrieval, vectors
+from quillstone.operators import answers, keywords, postings, replies, retrieval, vectors
 from quillstone.sources.scratch import kept
 
 
@@ -67,8 +68,8 @@ def injected(asked: DataFrame, hits: DataFrame, live: DataFrame, config: Config)
     return out.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
-def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> DataFrame:
-    """(query_id, chunk_id, score, is_context) for prepared questions; only active chunks take part."""
+def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, is_context) for prepared questions; only active chunks take part. ``index``: posting lists of the chunks, so that only candidates are read."""
     live = chunks.filter("active").select("chunk_id", "doc_name", "page", "text")
     real = questions.filter("route <> 'A'")
     v = chunk_vectors.join(live.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("vec_id"), "embedding")
@@ -77,7 +78,8 @@ def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     shifted = q.withColumn("query_id", -F.col("query_id") - 1)
     semantic = vectors.top_k(v, shifted, config.top_k, config.similarity, config.query_block).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("chunk_id"), "score")
     semantic = kept(semantic)
-    keyword = retrieval.fused(retrieval.keyword_scan(live, real, config.query_block), semantic, config.fusion_weight, config.keyword_hits)
+    find = keywords.scan if index is None else partial(postings.search, index)
+    keyword = keywords.fused(live, real, semantic, config.fusion_weight, config.keyword_hits, config.query_block, find)
     direct = kept(retrieval.merged(semantic, keyword))
     wide = real.filter(answers.any_of(F.lower("question"), lexicon.EXPANSION_TRIGGERS)).select("query_id")
     first = retrieval.ranked(direct, ("query_id",), F.desc("score"), "chunk_id").filter(F.col("rn") <= config.expanded_hits).drop("rn")
@@ -88,7 +90,7 @@ def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     return direct.withColumn("is_context", F.lit(False)).unionByName(near.withColumn("is_context", F.lit(True)))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, answerer: Callable[[DataFrame], DataFrame] = replies.extractive, config: Config = CONFIG, rewrite: Rewrite | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, answerer: Callable[[DataFrame], DataFrame] = replies.extractive, config: Config = CONFIG, rewrite: Rewrite | None = None, history: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, references): query_id, route, language, answer, decision; and the references in order.
 
     ``answerer`` turns (query_id, ref_id, snippet, …) into (query_id, answer); without
@@ -96,7 +98,7 @@ def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embed
     the answer cites, the first three where it cites none.
     """
     asked = kept(prepared(questions, rewrite, history, config))
-    hits = evidence(asked, chunks, chunk_vectors, embedder, config)
+    hits = evidence(asked, chunks, chunk_vectors, embedder, config, index)
     texts = chunks.select("chunk_id", "doc_name", "page", "text")
     j = hits.join(texts, "chunk_id").join(retrieval.if_small(asked.select("query_id", "question", "toks"), config.query_block), "query_id")
     best = F.max(F.when(~F.col("is_context"), F.col("score"))).over(retrieval.W.partitionBy("query_id", "doc_name"))

@@ -50,7 +50,7 @@ def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest:
     changed = units.join(fresh, "doc_name", "left_semi").select("doc_name", "page", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = kept(chunk_units(changed.repartition(tasks, "doc_name", "page", "text"), config))
-    order = ["doc_name", "page", "slice_no"]
+    order = ["doc_name", "page", "slice_no", "text_sha256"]
     if rows is None:
         return maintenance.with_next_ids(made, spark.createDataFrame([], "chunk_id long"), order), status
     gone = status.filter("status in ('changed', 'removed')").select(F.col("filename").alias("doc_name"))

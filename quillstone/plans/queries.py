@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from quillstone import lexicon
 from quillstone.config import CONFIG as C
 from quillstone.functions import text as T
-from quillstone.operators import answers, chunking, lines, maintenance, retrieval, vectors
+from quillstone.operators import answers, blocked, chunking, keywords, lines, maintenance, postings, retrieval, vectors
 from quillstone.plans import variants
+from quillstone.sources.scratch import kept, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,6 +347,13 @@ def vec_normalize(spark, d):
     return e.select("vec_id", F.round(size, 5).alias("norm"), F.round(v[0], 5).alias("first_part"))
 
 
+@query(ORACLES["vec_topk"])
+def vec_topk_blocked(spark, d):
+    """vec_topk with neither side on the driver."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return blocked.top_k(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 30)
+
+
 @query(f"with {TOPK(30)} select query_id % 5 as query_id, vec_id, max(score) as score from hits group by 1, 2")
 def vec_multi_query_max(spark, d):
     return vectors.best_of_variants(hits(spark, d, 30).withColumn("query_id", F.col("query_id") % 5))
@@ -364,6 +372,18 @@ def keyword_scan(spark, d):
     return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block)
 
 
+def posted(spark, d):
+    """The posting lists of all texts, built in the shared folder."""
+    path = new_folder(spark, "postings")
+    postings.add(units(spark, d), path)
+    return postings.opened(spark, path)
+
+
+@query(ORACLES["keyword_scan"])
+def posted_scan(spark, d):
+    return postings.search(posted(spark, d), units(spark, d), tokens(spark, d), C.query_block)
+
+
 ASKED_HITS = lambda k: f"{PAIRS}, mine as (select query_id, 50 * (query_id % (select max(vec_id) // 50 + 1 from embeddings)) as vec from asked), best as (select * from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}), qhits as (select m.query_id, b.vec_id as chunk_id, b.score from mine m join best b on b.query_id = m.vec)"
 SEM = f"{ASKED_HITS(30)}, sem as (select * from qhits)"
 FUSED = "fu as (select k.query_id, k.chunk_id, round(k.score + coalesce(0.1::double * s.score, 0), 6) as score from kw k left join sem s using (query_id, chunk_id) qualify row_number() over (partition by k.query_id order by round(k.score + coalesce(0.1::double * s.score, 0), 6) desc, k.chunk_id) <= 10)"
@@ -374,7 +394,7 @@ def semantic(spark, d):
 
 
 def fused(spark, d):
-    return retrieval.fused(keyword_scan(spark, d), semantic(spark, d), C.fusion_weight, C.keyword_hits)
+    return keywords.fused(units(spark, d), tokens(spark, d), semantic(spark, d), C.fusion_weight, C.keyword_hits, C.query_block)
 
 
 @query(f"with {SCAN}, {SEM}, {FUSED} select query_id, chunk_id, score from fu")
@@ -398,7 +418,7 @@ GROUPED = f"{SCAN}, {SEM}, {FUSED}, {WINDOW.format('fu')}, ev as (select query_i
 
 
 def evidence(spark, d):
-    first = fused(spark, d)
+    first = kept(fused(spark, d))  # ten hits a question, used three times
     u = units(spark, d)
     return first.withColumn("is_context", F.lit(False)).unionByName(retrieval.page_window(first, u, C.page_radius, C.similarity).withColumn("is_context", F.lit(True)))
 
@@ -473,16 +493,7 @@ def relative_keep(spark, d):
 s as (select query_id, chunk_id, doc_name, round(case when phrase then greatest(0.62, 0.4 + least(0.28, 0.05 * n)) else 0.4 + least(0.28, 0.05 * n) end::double, 6) as score from o where n >= 2),
 p as (select * from s qualify row_number() over (partition by query_id, doc_name order by score desc, chunk_id) <= 3) select query_id, chunk_id, score from p qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 80""")
 def lexical_fallback(spark, d):
-    found = keyword_all(spark, d)
-    base = F.lit(0.4) + F.least(F.lit(0.28), F.lit(0.05) * F.col("n_found"))
-    s = found.withColumn("score", F.round(F.when(F.col("score") == 0.75, F.greatest(F.lit(0.62), base)).otherwise(base), 6)).join(units(spark, d).select("chunk_id", "doc_name"), "chunk_id")
-    p = retrieval.ranked(s, ("query_id", "doc_name"), F.desc("score"), "chunk_id").filter("rn <= 3")
-    return retrieval.ranked(p.drop("rn"), ("query_id",), F.desc("score"), "chunk_id").filter("rn <= 80").select("query_id", "chunk_id", "score")
-
-
-def keyword_all(spark, d):
-    """Two or more tokens, however many the question has."""
-    return retrieval.keyword_scan(units(spark, d), tokens(spark, d), C.query_block, least=2).filter("n_found >= 2")
+    return keywords.lexical(units(spark, d), tokens(spark, d), block=C.query_block)
 
 
 INTENT_SQL = " union all ".join(f"select {i} as no, '{p}' as pattern, '{e}' as extra" for i, (_, p, e) in enumerate(lexicon.INTENTS))

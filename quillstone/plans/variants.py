@@ -7,6 +7,8 @@ neighbouring pages, and put in the order of their documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from quillstone import lexicon
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
-from quillstone.operators import retrieval, vectors
+from quillstone.operators import keywords, postings, retrieval, vectors
 from quillstone.sources.scratch import kept
 
 
@@ -41,18 +43,8 @@ def wordings(questions: DataFrame, most: int) -> DataFrame:
     return retrieval.ranked(first, ("query_id",), "at").filter(F.col("rn") <= most).select("query_id", F.col("rn").alias("no"), "wording")
 
 
-def lexical(questions: DataFrame, live: DataFrame, config: Config) -> DataFrame:
-    """(query_id, chunk_id, score) by words alone: two or more of a question's tokens, three hits a document, eighty a question."""
-    asked = questions.select("query_id", T.query_words(F.col("question"), lexicon.QUERY_STOP).alias("toks"))
-    found = retrieval.keyword_scan(live, asked, config.query_block, least=2).filter("n_found >= 2")
-    base = F.lit(0.4) + F.least(F.lit(0.28), F.lit(0.05) * F.col("n_found"))
-    s = found.withColumn("score", F.round(F.when(F.col("score") == 0.75, F.greatest(F.lit(0.62), base)).otherwise(base), 6)).join(live.select("chunk_id", "doc_name"), "chunk_id")
-    p = retrieval.ranked(s, ("query_id", "doc_name"), F.desc("score"), "chunk_id").filter("rn <= 3").drop("rn")
-    return retrieval.ranked(p, ("query_id",), F.desc("score"), "chunk_id").filter("rn <= 80").select("query_id", "chunk_id", "score")
-
-
-def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> DataFrame:
-    """(query_id, doc_rank, doc_name, page, chunk_id, score, blend, is_context) of (query_id, question), best documents first."""
+def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_rank, doc_name, page, chunk_id, score, blend, is_context) of (query_id, question), best documents first. ``index``: posting lists of the chunks, so that only candidates are read."""
     live = chunks.filter("active").select("chunk_id", "doc_name", "page", "text")
     worded = wordings(questions, config.max_variants).withColumn("__v", -(F.col("query_id") * config.max_queries + F.col("no")) - 1)
     q = worded.select(F.col("__v").alias("query_id"), embedded(F.col("wording"), embedder).alias("embedding"))
@@ -60,7 +52,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     found = vectors.top_k(v, q, config.top_k, config.fallback_similarity, config.query_block).withColumnRenamed("query_id", "__v")
     best = kept(vectors.best_of_variants(found.join(retrieval.if_small(worded.select("query_id", "__v")), "__v")))
     semantic = vectors.thresholded(best, config.variant_similarity, config.fallback_similarity, config.fallback_hits).withColumnRenamed("vec_id", "chunk_id")
-    merged = kept(retrieval.merged(semantic, lexical(questions, live, config)))
+    tokens = questions.select("query_id", T.query_words(F.col("question"), lexicon.QUERY_STOP).alias("toks"))
+    find = keywords.scan if index is None else partial(postings.search, index)
+    merged = kept(retrieval.merged(semantic, keywords.lexical(live, tokens, config.fallback_per_doc, config.fallback_most, config.query_block, find)))
     terms = [p for phrases in lexicon.PHRASES.values() for p in phrases]
     has = sum((F.contains(F.lower("text"), F.lit(p)).cast("int") for p in terms), F.lit(0))
     keys = questions.select("query_id", T.keywords(F.col("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys"))

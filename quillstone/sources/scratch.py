@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where one machine does everything and the session names no shared folder.
 LOCAL = "/tmp/checkpoints/quillstone"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in ``spark.checkpoint.dir``: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. A cluster must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         context.setCheckpointDir(root or LOCAL)
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in ``spark.checkpoint.dir``: cuts lineage and survives lost executors."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, which are counted."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
