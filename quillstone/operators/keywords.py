@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.sources.scratch import if_small, kept
+from quillstone.sources.scratch import if_small, kept, spread
 
 HITS = "query_id long, chunk_id long, n_found long, score double"
 #: Tokens of a text's questions from which one automaton is quicker than a search for each.
 MANY_TOKENS = 64
+#: Texts whose counts are added up together: this many times the questions of a block are held.
+AT_ONCE = 128
 #: Hits that a task holds before it drops those that cannot be wanted.
 HELD = 1 << 18
 #: A hit this little below the bar is still held until its key is compared in whole digits.
@@ -42,6 +44,21 @@ class Best:
     key: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = field(default=lambda n, score, semantic: score)
 
 
+class Lists:
+    """Lists of questions by word, end to end."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.size = np.array([len(x) for x in lists], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64) if lists else np.zeros(0, np.int64)
+        self.flat = np.array([q for x in lists for q in x], np.int64)
+
+    def counts(self, text: np.ndarray, word: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """How many of a text's words have a question on their list."""
+        n = self.size[word]
+        at = np.repeat(self.start[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(text, n) * shape[1] + self.flat[at], minlength=shape[0] * shape[1]).reshape(shape)
+
+
 class Asked:
     """A block of questions: their tokens, and what a number of found tokens is worth."""
 
@@ -61,7 +78,8 @@ class Asked:
                 having[self.number[t]].append(q)
             if self.phrases[q]:
                 whole[self.number[self.phrases[q]]].append(q)
-        self.having, self.whole = [np.array(x, np.int64) for x in having], whole
+        self.having, self.whole = Lists(having), Lists(whole)
+        self.wanted = [frozenset(self.number[w] for w in (*toks, *filter(None, [phrase]))) for toks, phrase in zip(self.tokens, self.phrases, strict=True)]
         half = np.where(self.size == 1, 1, -(-self.size // 2))
         self.need = half if least is None else np.minimum(half, least)
 
@@ -79,15 +97,19 @@ class Asked:
         machine.make_automaton()
         return machine
 
-    def hits(self, found: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(question, number of tokens, score) of a text that has these words."""
-        q, count = np.unique(np.concatenate([self.having[v] for v in found]), return_counts=True)
-        score = self.score(q, count)
-        full = [x for v in found for x in self.whole[v]]
-        if full:
-            score[np.isin(q, full)] = 0.75
-        use = score > 0 if self.least is None else (score > 0) | (count >= self.least)
-        return q[use], count[use], score[use]
+    def hits(self, found: list[set[int]], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, question, number of tokens, score) of texts that have these words; ``only`` marks the pairs that are asked for."""
+        text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        word = np.fromiter((v for f in found for v in f), np.int64, len(text))
+        shape = len(found), len(self.ids)
+        count = self.having.counts(text, word, shape)
+        wanted = count > 0 if only is None else (count > 0) & only
+        text_of, q = np.nonzero(wanted)
+        n = count[text_of, q]
+        score = self.score(q, n)
+        score[self.whole.counts(text, word, shape)[text_of, q] > 0] = 0.75
+        use = score > 0 if self.least is None else (score > 0) | (n >= self.least)
+        return text_of[use], q[use], n[use], score[use]
 
 
 class Held:
@@ -98,16 +120,19 @@ class Held:
         self.documents: dict[str | None, int] = {}
         self.bar = np.full(len(asked.ids), -np.inf)
 
-    def add(self, chunk: int, document: str | None, q: np.ndarray, count: np.ndarray, score: np.ndarray, semantic: dict[int, float] | None) -> None:
-        """``semantic``: of this text, by question id."""
-        more = np.array([semantic.get(int(i), 0.0) for i in self.asked.ids[q]]) if semantic else np.zeros(len(q))
-        key = np.round(self.best.key(count, score, more), 6) if self.best else score
+    def add(self, chunks: list[int], documents: list[str | None], hits: tuple[np.ndarray, ...], semantic: list[dict[int, float] | None]) -> None:
+        """Hits of some texts. ``semantic``: for each text, its scores by question id."""
+        text, q, count, score = hits
+        near = np.zeros(len(q))
+        for t in [t for t, s in enumerate(semantic) if s]:
+            mine = np.flatnonzero(text == t)
+            near[mine] = [semantic[t].get(i, 0.0) for i in self.asked.ids[q[mine]].tolist()]
+        key = np.round(self.best.key(count, score, near), 6) if self.best else score
         use = key >= self.bar[q] - SLACK
+        number = np.array([self.documents.setdefault(d, len(self.documents)) for d in documents], np.int64)
         if use.any():
-            n = int(use.sum())
-            number = self.documents.setdefault(document, len(self.documents))
-            self.parts.append((q[use], np.full(n, chunk, np.int64), count[use], score[use], key[use], np.full(n, number, np.int64)))
-            self.n += n
+            self.parts.append((q[use], np.array(chunks, np.int64)[text[use]], count[use], score[use], key[use], number[text[use]]))
+            self.n += int(use.sum())
 
     def cut(self) -> None:
         q, chunk, count, score, key, document = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -154,16 +179,24 @@ def blocks_of(queries: DataFrame, block: int, least: int | None) -> Iterator[Ask
         yield Asked(some, least)
 
 
-def with_semantic(units: DataFrame, semantic: DataFrame | None) -> DataFrame:
+def with_semantic(units: DataFrame, semantic: DataFrame | None, deal: bool = True) -> DataFrame:
     """chunk_id, doc_name, t (lower case) and semantic (hits of the chunk, at most one a question)."""
     name = F.col("doc_name") if "doc_name" in units.columns else F.lit(None).cast("string")
     plain = units.select("chunk_id", name.alias("doc_name"), F.lower("text").alias("t"))
+    plain = spread(plain) if deal else plain
     if semantic is None:
         return plain.withColumn("semantic", F.lit(None).cast("array<struct<query_id:bigint,score:double>>"))
     by_chunk = semantic.groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "score")).alias("semantic"))
     return plain.join(if_small(by_chunk), "chunk_id", "left").select("chunk_id", "doc_name", "t", "semantic")
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """AT_ONCE texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def by_question(cell: pa.Scalar) -> dict[int, float] | None:
     return {x["query_id"]: x["score"] for x in cell.as_py()} if cell.is_valid else None
 
@@ -178,11 +211,9 @@ def scan(units: DataFrame, queries: DataFrame, block: int = 5_000, least: int |
 
         def task(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             machine, held = asked.automaton(), Held(asked, best)
-            for b in batches:
-                for chunk, name, text, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                    found = {v for _, v in machine.iter(text.as_py())} if text.is_valid else ()
-                    if found:
-                        held.add(chunk, name, *asked.hits(found), by_question(near))
+            for b in pieces(batches):
+                found = [{v for _, v in machine.iter(t.as_py())} if t.is_valid else set() for t in b.column(2)]
+                held.add(b.column(0).to_pylist(), b.column(1).to_pylist(), asked.hits(found), [by_question(x) for x in b.column(3)])
                 yield from held.batches(False)
             yield from held.batches(True)
 

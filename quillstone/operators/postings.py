@@ -17,20 +17,23 @@ are not in ``units`` any more are candidates without a text and give no hits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.keywords import HITS, MANY_TOKENS, SLACK, Asked, Best, Held, blocks_of, by_question, with_semantic
-from quillstone.sources.scratch import if_small
+from quillstone.operators.keywords import HITS, MANY_TOKENS, SLACK, Asked, Best, Held, blocks_of, by_question, pieces, with_semantic
+from quillstone.sources.scratch import if_small, kept, spread
 
 SPAN_BITS = 16
 #: Hash ranges of grams, one folder each.
 PARTS = 64
 #: No code point; marks grams of fewer than three.
 NONE = (1 << 21) - 1
+#: Candidates are looked up in granules of 2**10 ids; so many granules come to the driver at most, and so many ranges go into a filter.
+GRANULE_BITS, MOST_GRANULES, MOST_RANGES = 10, 100_000, 64
 #: Ids of a span that are counted at a time.
 STEP = 1 << 11
 #: Postings of a flush.
@@ -88,7 +91,7 @@ def lists(units: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return units.select("chunk_id", F.lower("text").alias("t")).mapInArrow(task, ROWS)
+    return spread(units.select("chunk_id", F.lower("text").alias("t"))).mapInArrow(task, ROWS)
 
 
 def add(units: DataFrame, path: str) -> None:
@@ -151,36 +154,56 @@ def candidates(postings: DataFrame, asked: Asked) -> DataFrame:
     return mine.repartition(n, "span").sortWithinPartitions("span").mapInArrow(task, "chunk_id long, asked array<int>, bound array<int>")
 
 
+def ranges(granules: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of ids that hold these sorted granules, cut at the widest gaps."""
+    if not granules:
+        return []
+    widest = sorted(sorted(range(1, len(granules)), key=lambda i: granules[i - 1] - granules[i])[: most - 1])
+    widest = [i for i in widest if granules[i] - granules[i - 1] > 1]
+    cuts = [0, *widest, len(granules)]
+    return [(granules[a] << GRANULE_BITS, ((granules[z - 1] + 1) << GRANULE_BITS) - 1) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def covered(found: DataFrame) -> Column:
+    """A condition on chunk_id that candidates meet, as few ranges: scans of tables in the order of their ids skip what lies between. True where candidates lie in too many places to say."""
+    granules = found.select(F.shiftright("chunk_id", GRANULE_BITS).alias("g")).distinct().limit(MOST_GRANULES + 1).collect()
+    if len(granules) > MOST_GRANULES:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.col("chunk_id").between(a, z) for a, z in ranges(sorted(r.g for r in granules))], F.lit(False))
+
+
 def search(postings: DataFrame, units: DataFrame, queries: DataFrame, block: int = 5_000, least: int | None = None, best: Best | None = None, semantic: DataFrame | None = None) -> DataFrame:
-    """HITS as ``keywords.scan`` finds them, from the texts of candidates only."""
-    rows, out = with_semantic(units, semantic), None
+    """HITS as ``keywords.scan`` finds them, from the texts of candidates only: their id ranges are a filter that reaches the scan."""
+    spark = units.sparkSession
+    out = None
     for asked in blocks_of(queries, block, least):
 
         def task(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             machine, held = None, Held(asked, best)
-            for b in batches:
-                for chunk, name, text, near, qs, bounds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                    if not text.is_valid:
-                        continue
-                    q, bound, semantic_of = np.array(qs), np.array(bounds), by_question(near)
+            for b in pieces(batches):
+                semantic_of, found, only = [by_question(x) for x in b.column(3)], [], np.zeros((b.num_rows, len(asked.ids)), bool)
+                for i, (text, qs, bounds) in enumerate(zip(b.column(2), b.column(4), b.column(5), strict=True)):
+                    q = qs.values.to_numpy()
                     if best:
+                        bound = bounds.values.to_numpy().astype(np.int64)
                         top = np.where((bound == asked.size[q]) & (asked.size[q] > 1), 0.75, asked.score(q, bound))
-                        more = np.array([semantic_of.get(int(i), 0.0) for i in asked.ids[q]]) if semantic_of else np.zeros(len(q))
+                        more = np.array([semantic_of[i].get(x, 0.0) for x in asked.ids[q].tolist()]) if semantic_of[i] else np.zeros(len(q))
                         q = q[best.key(bound, top, more) >= held.bar[q] - SLACK]
-                    t = text.as_py()
-                    words = {w for i in q for w in asked.tokens[i]}
+                    only[i, q] = True
+                    words = frozenset().union(*(asked.wanted[x] for x in q.tolist())) if text.is_valid else ()
+                    t = text.as_py() if words else ""
                     if len(words) > MANY_TOKENS:
                         machine = machine or asked.automaton()
-                        found = {v for _, v in machine.iter(t)}
+                        found.append({v for _, v in machine.iter(t)})
                     else:
-                        found = {asked.number[w] for w in words if w in t} | {asked.number[asked.phrases[i]] for i in q if asked.phrases[i] and asked.phrases[i] in t}
-                    if found:
-                        hit, count, score = asked.hits(found)
-                        mine = np.isin(hit, q)
-                        held.add(chunk, name, hit[mine], count[mine], score[mine], semantic_of)
+                        found.append({w for w in words if asked.words[w] in t})
+                held.add(b.column(0).to_pylist(), b.column(1).to_pylist(), asked.hits(found, only), semantic_of)
                 yield from held.batches(False)
             yield from held.batches(True)
 
-        made = rows.join(candidates(postings, asked), "chunk_id").select("chunk_id", "doc_name", "t", "semantic", "asked", "bound").mapInArrow(task, HITS)
+        found = kept(candidates(postings, asked))
+        rows = with_semantic(units.filter(covered(found)), semantic, deal=False)
+        dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")  # verifying is much work for few bytes
+        made = rows.join(dealt.hint("merge"), "chunk_id").select("chunk_id", "doc_name", "t", "semantic", "asked", "bound").mapInArrow(task, HITS)
         out = made if out is None else out.unionByName(made)
-    return units.sparkSession.createDataFrame([], HITS) if out is None else out
+    return spark.createDataFrame([], HITS) if out is None else out

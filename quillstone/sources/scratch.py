@@ -27,10 +27,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``kept`` has written in this process, for ``clear``.
+_written: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in ``spark.checkpoint.dir``: cuts lineage and survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read again: computed once, lineage cut, lost executors survived. (``checkpoint`` would compute it twice.)"""
+    spark = df.sparkSession
+    path = new_folder(spark, "kept")
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many folders there are so far, for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete what ``kept`` wrote after a mark. Only once the results that use it are written."""
+    for path in _written[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since:]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than there are cores, dealt over all of them: for work that is much for few bytes. Large tables have more and stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:

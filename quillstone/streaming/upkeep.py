@@ -18,6 +18,7 @@ from quillstone.config import CONFIG, Config
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.operators import maintenance
 from quillstone.plans.ingest import chunk_units
+from quillstone.sources import scratch
 from quillstone.sources.scratch import kept
 from quillstone.sources.segments import Generation, Store
 from quillstone.streaming.indexer import ARRIVAL
@@ -136,8 +137,10 @@ def run(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: b
     prepare(spark)
 
     def add(df: DataFrame, i: int) -> None:
+        begin = scratch.mark()
         publish(store, df, i)
         store.compact()
+        scratch.clear(spark, begin)
 
     writer = changes(spark.readStream.schema(ARRIVAL).json(folder), keep_removed).writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="30 seconds").start()

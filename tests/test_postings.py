@@ -103,3 +103,15 @@ def test_empty_tables(spark, data):
     assert postings.lists(units.limit(0)).collect() == []
     assert postings.search(index.limit(0), units, queries).collect() == []
     assert postings.search(index, units.limit(0), queries).collect() == [] and postings.search(index, units, queries.limit(0)).collect() == []
+
+
+def test_candidates_reach_the_scan_as_ranges(spark, tmp_path, data):
+    assert postings.ranges([]) == [] and postings.ranges([3]) == [(3072, 4095)]
+    assert postings.ranges([1, 2, 3, 50, 51, 90], 2) == [(1024, 4095), (51200, 93183)]
+    assert postings.ranges([1, 2, 3, 50, 51, 90], 9) == [(1024, 4095), (51200, 53247), (92160, 93183)]
+    texts, _, units, _, index = data
+    units.orderBy("chunk_id").write.parquet(str(tmp_path / "units"))
+    one = spark.createDataFrame([(1, ["日本ssu", "gassu", "dépha"])], "query_id long, toks array<string>")
+    made = postings.search(index, spark.read.parquet(str(tmp_path / "units")), one)
+    assert {(r.query_id, r.chunk_id): (r.n_found, r.score) for r in made.collect()} == plain(texts, [(1, ["日本ssu", "gassu", "dépha"])])
+    assert "GreaterThanOrEqual(chunk_id" in made._jdf.queryExecution().executedPlan().toString()
