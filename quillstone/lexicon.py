@@ -110,3 +110,17 @@ BOT_WORDS = ["ai", "bot", "chatbot", "assistant"]
 #: Marks of a refusal where one is due, and where none is. Fixed values, but for names of one organisation.
 REFUSED = ["available nahi hai", "not available", "not found", "not contain", "nahi hai", "not specified", "unfortunately", "i could not find"]
 REFUSED_PLAINLY = ["available nahi hai"]
+#: Words of a question about pay or for details, which takes neighbouring pages along. Fixed values.
+CONTEXT_WORDS = ["salary", "pay", "benefit", "scale", "allowance", "detail", "everything", "sab kuch", "all info", "full"]
+#: Phrases of texts that answer questions about schedules. Fixed values.
+SCHEDULE_PHRASES = ["scheduled laws", "schedule", "annex", "appendix", "annexure"]
+#: Words that belong to an intent and so name nothing: what is left of a question's keywords are its entities.
+INTENT_WORDS = sorted({w for _, pattern, extra in INTENTS for w in extra.split()} | {"role", "criteria", "complain"})
+#: How papers put what a question of an intent asks; {} stands for the question. Fixed values, but for names of one organisation.
+INTENT_WORDINGS = {
+    "complaint": ["public complaints and hearings hearing officer process"],
+    "vision": ["objects and purposes for which the authority is established"],
+    "composition": ["authority shall consist of the following members chairperson vice chairperson secretary member", "constitution of the authority members of the authority"],
+    "criteria": ["{} eligibility criteria qualification experience", "{} minimum qualification experience required"],
+    "role": ["terms of reference duties and responsibilities job description"],
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import keywords
+from quillstone.operators import spelling as spell
 from quillstone.sources.scratch import if_small
 
 
@@ -89,20 +90,13 @@ def criteria_first(hits: DataFrame, lead: int = 2) -> DataFrame:
     return ranked(led, ("query_id",), F.desc("lead"), key, "doc_name").select("query_id", "doc_name", F.col("rn").cast("long").alias("doc_rank"))
 
 
-def spelling(vocabulary: DataFrame, queries: DataFrame, distance: int = 2, most: int = 3) -> DataFrame:
-    """(tok, word, dist): the nearest known words of each question token of letters.
-
-    Words meet tokens of their first letter and of each length within ``distance``, so blocks stay small; texts
-    never take part.
-    """
-    v = vocabulary.filter("word rlike '^[a-z]+$'").select("word", F.left("word", F.lit(1)).alias("k"), F.length("word").alias("n"))
-    t = queries.select(F.explode("toks").alias("tok")).distinct().filter("tok rlike '^[a-z]+$'")
-    t = t.select("tok", F.left("tok", F.lit(1)).alias("k"), F.explode(F.sequence(F.length("tok") - distance, F.length("tok") + distance)).alias("n"))
-    near = v.join(if_small(t), ["k", "n"]).filter("tok <> word").withColumn("dist", F.levenshtein("tok", "word", distance)).filter("dist >= 0")
-    return ranked(near, ("tok",), "dist", "word").filter(F.col("rn") <= most).select("tok", "word", "dist")
+def spelling(vocabulary: DataFrame, queries: DataFrame, distance: int = 2, most: int = 3, index: DataFrame | None = None) -> DataFrame:
+    """(tok, word, dist): the nearest known words of each question token of letters. ``index``: the vocabulary's deletion keys, if they are kept."""
+    index = spell.keyed(vocabulary, "word", distance) if index is None else index
+    return spell.neighbours(index, queries.select(F.explode("toks").alias("tok")), distance, most)
 
 
-def corrected(questions: DataFrame, vocabulary: DataFrame, stop: list[str], short: list[str], distance: int = 2, most_fixes: int = 2, most_words: int = 24) -> DataFrame:
+def corrected(questions: DataFrame, vocabulary: DataFrame, stop: list[str], short: list[str], distance: int = 2, most_fixes: int = 2, most_words: int = 24, index: DataFrame | None = None) -> DataFrame:
     """(query_id, corrected) of the questions that spelling changes: unknown words become the nearest known one.
 
     Words of fewer than four letters, numbers and stop words stay; so do words known as they are or by their stem. Nearest
@@ -115,7 +109,7 @@ def corrected(questions: DataFrame, vocabulary: DataFrame, stop: list[str], shor
     toks = each.filter(open_).select("tok").distinct()
     known = vocabulary.select("word").distinct()
     strange = toks.join(known, F.col("tok") == F.col("word"), "left_anti").join(known, T.stem(F.col("tok")) == F.col("word"), "left_anti")
-    best = spelling(vocabulary, strange.select(F.array("tok").alias("toks")), distance, 1).select("tok", F.col("word").alias("fix"))
+    best = spelling(vocabulary, strange.select(F.array("tok").alias("toks")), distance, 1, index).select("tok", F.col("word").alias("fix"))
     fixable = each.join(best, "tok", "left").withColumn("n_fix", F.count("fix").over(W.partitionBy("query_id").orderBy("pos")))
     word = F.when(F.col("n_fix") <= most_fixes, F.coalesce("fix", "tok")).otherwise(F.col("tok"))
     made = fixable.groupBy("query_id").agg(F.max("n_fix").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), " ").alias("corrected"))

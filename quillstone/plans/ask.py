@@ -20,6 +20,8 @@ from quillstone.operators import answers, keywords, postings, replies, retrieval
 from quillstone.sources.scratch import kept
 
 
+#: Replies that need no evidence, by ``answers.canned_intent``. Give your own.
+CANNED = {"greeting": "Hello! What would you like to know?", "identity": "I answer questions about the documents of this collection.", "creator": "I answer questions about the documents of this collection."}
 #: question, last question and last answer to a standalone question; null where it fails.
 Rewrite = Callable[[Column, Column, Column], Column]
 
@@ -39,8 +41,10 @@ def followed_up(question: Column, last_question: Column, last_answer: Column) ->
     return F.when(back, F.concat(question, F.lit(" "), last_question)).otherwise(question)
 
 
-def prepared(questions: DataFrame, rewrite: Rewrite | None = None, history: DataFrame | None = None, config: Config = CONFIG) -> DataFrame:
-    """(query_id, question) with route, language, the corrected and expanded question and its keyword tokens.
+def prepared(questions: DataFrame, rewrite: Rewrite | None = None, history: DataFrame | None = None, config: Config = CONFIG, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(query_id, question) with route, language, canned intent, reply to a greeting at the start, the corrected and expanded question and its keyword tokens.
+
+    With a ``vocabulary`` (word, n), words that it does not know become the nearest one that it does.
 
     With ``history`` (query_id, turn, role, text), follow-up questions are rewritten and those about pay name its table;
     thanks are left alone, and so is a question whose rewriting fails.
@@ -53,7 +57,12 @@ def prepared(questions: DataFrame, rewrite: Rewrite | None = None, history: Data
         made = replies.with_pay_terms(F.coalesce((rewrite or followed_up)(fixed, F.col("last_question"), F.col("last_answer")), fixed))
         fixed = F.when(F.col("last_question").isNull() | thanks, fixed).otherwise(made)
     asked = T.schedule_number(T.expand_words(fixed, lexicon.ABBREVIATIONS), lexicon.ROMAN)
-    named = split.select("query_id", "question", F.col("__g.decision").alias("route"), answers.language(F.col("question")).alias("language"), asked.alias("asked"))
+    known = F.lit(False) if history is None else F.col("last_question").isNotNull()
+    canned = answers.canned_intent(F.col("question"), known)
+    named = split.select("query_id", "question", F.col("__g.decision").alias("route"), answers.language(F.col("question")).alias("language"), canned.alias("canned"), answers.acknowledged(F.col("question"))["ack"].alias("ack"), asked.alias("asked"))
+    if vocabulary is not None:
+        fixes = retrieval.corrected(named.select("query_id", F.col("asked").alias("question")), vocabulary, lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)
+        named = named.join(retrieval.if_small(fixes), "query_id", "left").withColumn("asked", F.coalesce("corrected", "asked")).drop("corrected")
     return named.withColumn("toks", T.query_words(F.col("asked"), lexicon.QUERY_STOP))
 
 
@@ -71,7 +80,7 @@ def injected(asked: DataFrame, hits: DataFrame, live: DataFrame, config: Config)
 def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG, index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, is_context) for prepared questions; only active chunks take part. ``index``: posting lists of the chunks, so that only candidates are read."""
     live = chunks.filter("active").select("chunk_id", "doc_name", "page", "text")
-    real = questions.filter("route <> 'A'")
+    real = questions.filter("route <> 'A' and canned is null")
     v = chunk_vectors.join(live.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("vec_id"), "embedding")
     q = real.select("query_id", embedded(F.col("asked"), embedder).alias("embedding"))
     # ids of queries and chunks are apart: a query is never its own hit
@@ -90,14 +99,15 @@ def evidence(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     return direct.withColumn("is_context", F.lit(False)).unionByName(near.withColumn("is_context", F.lit(True)))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, answerer: Callable[[DataFrame], DataFrame] = replies.extractive, config: Config = CONFIG, rewrite: Rewrite | None = None, history: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, answerer: Callable[[DataFrame], DataFrame] = replies.extractive, config: Config = CONFIG, rewrite: Rewrite | None = None, history: DataFrame | None = None, index: DataFrame | None = None, vocabulary: DataFrame | None = None, canned: dict[str, str] = CANNED) -> tuple[DataFrame, DataFrame]:
     """(answers, references): query_id, route, language, answer, decision; and the references in order.
 
     ``answerer`` turns (query_id, ref_id, snippet, …) into (query_id, answer); without
-    evidence the decision is to refuse, and a greeting is answered as one. References are those that
+    evidence the decision is to refuse; greetings and questions about the assistant itself get the ``canned`` reply and never reach the joins,
+    and a greeting before a question is returned before its answer. References are those that
     the answer cites, the first three where it cites none.
     """
-    asked = kept(prepared(questions, rewrite, history, config))
+    asked = kept(prepared(questions, rewrite, history, config, vocabulary))
     hits = evidence(asked, chunks, chunk_vectors, embedder, config, index)
     texts = chunks.select("chunk_id", "doc_name", "page", "text")
     j = hits.join(texts, "chunk_id").join(retrieval.if_small(asked.select("query_id", "question", "toks"), config.query_block), "query_id")
@@ -110,7 +120,9 @@ def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embed
     shown = kept(refs.withColumn("ref_id", F.col("display_id")))
     made = kept(answerer(shown))
     refs = answers.cited(made, shown).drop("ref_id")
-    out = asked.select("query_id", "route", "language").join(made, "query_id", "left")
-    said = F.when(F.col("route") == "A", "Hello! What would you like to know?").otherwise(F.coalesce("answer", F.lit("This is not mentioned in the context.")))
-    out = out.withColumn("answer", said).withColumn("decision", replies.decision(F.col("answer"), lexicon.REFUSALS))
+    out = asked.select("query_id", "route", "language", "canned", "ack").join(made, "query_id", "left")
+    fixed = F.coalesce(*[F.when(F.col("canned") == k, F.lit(v)) for k, v in canned.items()])
+    found = F.concat(F.when(F.col("route") == "B", F.col("ack")).otherwise(F.lit("")), F.coalesce("answer", F.lit("This is not mentioned in the context.")))
+    said = F.coalesce(F.when(F.col("route") == "A", F.lit(canned["greeting"])), fixed, found)
+    out = out.withColumn("answer", said).drop("canned", "ack").withColumn("decision", replies.decision(F.col("answer"), lexicon.REFUSALS))
     return out, refs

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
-from quillstone.operators import chunking, lines, maintenance
+from quillstone.operators import chunking, lines, maintenance, spelling
+from quillstone.sources import hadoop
 from quillstone.sources.scratch import kept
 from quillstone.sources.snapshots import Builds
 
@@ -67,12 +66,20 @@ def reindexed(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Confi
 
 def vocabulary(builds: Builds, chunks: DataFrame) -> DataFrame:
     """(word, n) of the chunks that belong to the active build: counted once, kept beside the build's tables and read from then on. Without an active build it is counted each time."""
-    spark, build = chunks.sparkSession, builds.active()
     counted = chunks.select(F.explode(T.words_of(F.lower("text"))).alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return beside(builds, "vocabulary", counted)
+
+
+def spelling_index(builds: Builds, words: DataFrame) -> DataFrame:
+    """(key, word): the deletion keys of a vocabulary, kept beside the active build in the same way."""
+    return beside(builds, "spelling", spelling.keyed(words, "word"))
+
+
+def beside(builds: Builds, name: str, made: DataFrame) -> DataFrame:
+    """A table of the active build, written if it is not there as a whole."""
+    build = builds.active()
     if not build:
-        return counted
-    known = builds.read(spark, "vocabulary")
-    if known is None or not os.path.exists(builds.path(build, "vocabulary/_SUCCESS")):
-        counted.write.mode("overwrite").parquet(builds.path(build, "vocabulary"))
-        known = builds.read(spark, "vocabulary")
-    return known
+        return made
+    if "_SUCCESS" not in hadoop.names(made.sparkSession, builds.path(build, name)):
+        made.write.mode("overwrite").parquet(builds.path(build, name))
+    return builds.read(made.sparkSession, name)

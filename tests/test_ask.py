@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.embed import char_batches, embedded, hashed_ngrams
 from quillstone.operators import replies
-from quillstone.plans.ask import ask
+from quillstone.plans.ask import ask, prepared
 from quillstone.plans.ingest import ingest
 from quillstone.sources.scratch import kept
 
@@ -72,7 +72,11 @@ def test_several_wordings(spark):
     got = retrieve(asks, chunks, v).collect()
     top = {r.query_id: (r.doc_name, r.page) for r in sorted(got, key=lambda r: r.blend) if r.doc_rank == 1 and not r.is_context}
     assert top[2] == ("rules.pdf", 2) and top[3] == ("acts.pdf", 1)
-    assert len({(r.query_id, r.chunk_id) for r in got}) == len(got) and any(r.is_context for r in got)
+    assert len({(r.query_id, r.chunk_id) for r in got}) == len(got)
+    # neighbouring pages come along only where a question is about pay or asks for details
+    assert not any(r.is_context for r in got)
+    wide = retrieve(spark.createDataFrame([(5, "Enforcement Officer full details please of this role here")], asks.schema), chunks, v).collect()
+    assert any(r.is_context for r in wide) and len({r.chunk_id for r in wide}) == len(wide)
 
 
 def test_embedder(spark):
@@ -81,3 +85,37 @@ def test_embedder(spark):
     assert [len(b) for b in char_batches(["a" * 30, "b" * 15, "c" * 5, "d" * 90], 50)] == [3, 1]
     df = spark.createDataFrame([("x y z",), (None,)], "t string")
     assert all(len(r.e) == 64 for r in df.select(embedded(F.col("t")).alias("e")).collect())
+
+
+def test_wordings_of_a_model(spark):
+    from quillstone.plans.variants import wordings
+
+    asks = spark.createDataFrame([(1, "who is the dg"), (2, "who leads papers now"), (3, "same")], "query_id long, question string")
+    said = spark.createDataFrame([(1, '{"queries": ["Director General", "WHO IS THE DG", "head", "chief"]}'), (2, "no JSON"), (3, None)], "query_id long, reply string")
+    w = {}
+    for r in sorted(wordings(asks, 3, said, 5).collect(), key=lambda r: r.no):
+        w.setdefault(r.query_id, []).append(r.wording)
+    assert w == {1: ["who is the dg", "who is the Director General", "Director General", "head"], 2: ["who leads papers now"], 3: ["same"]}
+
+
+def test_canned_replies_and_spelling_in_ask(spark):
+    chunks, v = index(spark)
+    asks = spark.createDataFrame([(1, "who created you"), (2, "what is your name"), (3, "hello, hearing after a complaint"), (4, "hearng after a complaint")], "query_id long, question string")
+    vocabulary = spark.createDataFrame([("hearing", 5), ("after", 2), ("complaint", 9)], "word string, n long")
+    out, refs = ask(asks, chunks, v, vocabulary=vocabulary, canned={"greeting": "Hi!", "identity": "The assistant.", "creator": "Its makers."})
+    got = {r.query_id: r.answer for r in out.collect()}
+    assert got[1] == "Its makers." and got[2] == "The assistant." and got[3].startswith("Hello! ") and {r.query_id for r in refs.collect()} == {3, 4}
+    asked = {r.query_id: r.asked for r in prepared(asks, vocabulary=vocabulary).collect()}
+    assert asked[4] == "hearing after a complaint"
+
+
+def test_posting_lists_in_ask(spark):
+    from quillstone.operators import postings
+    from quillstone.sources.scratch import new_folder
+
+    chunks, v = index(spark)
+    path = new_folder(spark, "postings")
+    postings.add(chunks, path)
+    asks = spark.createDataFrame([(1, "hearing after a complaint"), (2, "Enforcement Officer")], "query_id long, question string")
+    plain, by_list = (ask(asks, chunks, v, index=i) for i in (None, postings.opened(spark, path)))
+    assert [sorted(map(tuple, x.collect())) for x in plain] == [sorted(map(tuple, x.collect())) for x in by_list]
