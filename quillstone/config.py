@@ -13,6 +13,8 @@ class Config:
     chunk_max_chars: int = 4500
     chunk_overlap_chars: int = 350
     chunk_min_chars: int = 200
+    #: A line that names the collection in every text that is embedded; none where it is blank.
+    identity: str = ""
     #: Most characters of a text that go to the embedder.
     embed_chars: int = 12_000
     # live retrieval

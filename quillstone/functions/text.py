@@ -158,6 +158,28 @@ def search_text(doc: Column, loc: Column, tags: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("DOC: "), doc), F.concat(F.lit("LOC: "), loc), F.concat(F.lit("TAGS: "), F.array_join(tags, ",")), text)
 
 
+def full_embed_text(doc: Column, rank: Column, kind: Column, loc: Column, tags: Column, text: Column, identity: str = "") -> Column:
+    """What is embedded, with the document's rank and type and a line that names the collection (left out where it is blank), a blank line, and the stripped text."""
+    listed = F.when(F.size(tags) > 0, F.concat(F.lit("TAGS: "), F.array_join(tags, ", "))).otherwise("TAGS:")
+    lines = [F.concat(F.lit("DOCUMENT: "), named(doc)), F.concat(F.lit("RANK: "), F.coalesce(rank.cast("string"), F.lit("0"))), F.concat(F.lit("TYPE: "), typed(kind)), F.concat(F.lit("LOCATION: "), loc), listed]
+    return stripped(F.concat_ws("\n", *lines, *([F.lit(identity)] if identity else []), F.lit(""), stripped(F.coalesce(text, F.lit("")))))
+
+
+def full_search_text(doc: Column, kind: Column, loc: Column, tags: Column, text: Column) -> Column:
+    """What is searched, with the document's type, a blank line, and the stripped text."""
+    listed = F.when(F.size(tags) > 0, F.concat(F.lit("TAGS: "), F.array_join(tags, ", "))).otherwise("TAGS:")
+    lines = [F.concat(F.lit("DOC: "), named(doc)), F.concat(F.lit("TYPE: "), typed(kind)), F.concat(F.lit("LOC: "), loc), listed]
+    return stripped(F.concat_ws("\n", *lines, F.lit(""), stripped(F.coalesce(text, F.lit("")))))
+
+
+def named(doc: Column) -> Column:
+    return stripped(F.when(F.coalesce(doc, F.lit("")) == "", F.lit("Unknown document")).otherwise(doc))
+
+
+def typed(kind: Column) -> Column:
+    return stripped(F.coalesce(kind, F.lit("")))
+
+
 def matching_text(text: Column, search: Column) -> Column:
     """What fallbacks look through: the text, and the search text below it unless the text holds it already. Nulls are blank."""
     a, b = F.coalesce(text, F.lit("")), F.coalesce(search, F.lit(""))

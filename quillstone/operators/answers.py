@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone import lexicon
+from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 
 
@@ -135,3 +136,9 @@ def canned_intent(question: Column, has_history: Column) -> Column:
 
 def any_start(c: Column, starts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(s)) for s in starts])
+
+
+def good_hits(hits: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Hits (with doc_name, score, is_context) that an answer may rest on, with ``best``: of documents whose best direct hit is good enough, direct hits that are so themselves and their context."""
+    best = F.max(F.when(~F.col("is_context"), F.col("score"))).over(W.partitionBy("query_id", "doc_name"))
+    return hits.withColumn("best", best).filter((F.col("best") >= config.answer_doc_score) & (F.col("is_context") | (F.col("score") >= config.answer_hit_score)))

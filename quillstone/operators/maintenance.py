@@ -82,14 +82,21 @@ def stale(rows: DataFrame, versions: dict[str, int]) -> DataFrame:
     return rows.filter("active").agg(*[F.coalesce(F.bool_or(~F.col(c).eqNullSafe(F.lit(v))), F.lit(False)).alias(f"stale_{c}") for c, v in versions.items()])
 
 
+def header_texts(config: Config = CONFIG) -> dict[str, Column]:
+    """embed_text and search_text of chunk rows (doc_name, doc_rank, source_type, loc_label, tags, text)."""
+    doc, rank, kind, loc, tags, text = (F.col(c) for c in ("doc_name", "doc_rank", "source_type", "loc_label", "tags", "text"))
+    return {"embed_text": T.full_embed_text(doc, rank, kind, loc, tags, text, config.identity), "search_text": T.full_search_text(doc, kind, loc, tags, text)}
+
+
 def refreshed(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Active rows (chunk_id, doc_name, loc_label, tags, text, ... versions and digests as stored) brought up to date.
 
-    Versions, texts, digests and the public path are made anew; ``refreshed`` tells whether a stored one differed
+    Rows that know their source's type and rank get the whole headers. Versions, texts, digests and the public path are made anew; ``refreshed`` tells whether a stored one differed
     (null differs). Other columns stay. Vectors come from ``embed_text``: see ``plans.ingest.reindexed``.
     """
     parts = [F.col(c) for c in ("doc_name", "loc_label", "tags", "text")]
-    texts = {"embed_text": T.embed_text(*parts), "search_text": T.search_text(*parts)}
+    whole = {"source_type", "doc_rank"} <= set(rows.columns)
+    texts = header_texts(config) if whole else {"embed_text": T.embed_text(*parts), "search_text": T.search_text(*parts)}
     made = {
         "embed_version": F.lit(config.embed_version),
         "search_version": F.lit(config.search_version),

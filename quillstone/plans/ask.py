@@ -111,8 +111,7 @@ def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embed
     hits = evidence(asked, chunks, chunk_vectors, embedder, config, index)
     texts = chunks.select("chunk_id", "doc_name", "page", "text")
     j = hits.join(texts, "chunk_id").join(retrieval.if_small(asked.select("query_id", "question", "toks"), config.query_block), "query_id")
-    best = F.max(F.when(~F.col("is_context"), F.col("score"))).over(retrieval.W.partitionBy("query_id", "doc_name"))
-    good = j.withColumn("best", best).filter((F.col("best") >= config.answer_doc_score) & (F.col("is_context") | (F.col("score") >= config.answer_hit_score)))
+    good = answers.good_hits(j, config)
     subject = answers.subject_matches(F.lower("text"), F.filter("toks", lambda w: ~w.isin(lexicon.SUBJECT_STOP) & (F.length(w) > 2))) + answers.boosts(F.col("question"), F.col("text"))
     sized = good.withColumns({"subject": subject, "size": F.length("text")})
     fit = retrieval.within_budget(sized, "query_id", [F.desc("subject"), F.desc("score"), "chunk_id"], "size", config.evidence_chars, config.evidence_parts)

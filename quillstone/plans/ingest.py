@@ -21,18 +21,36 @@ def with_stripped_text(units: DataFrame) -> DataFrame:
     return left.withColumn("text", F.array_join("kept_lines", "\n")).drop("kept_lines", "n_lines")
 
 
+#: What a source may know of a unit besides doc_name, page and text, and what is taken where it does not.
+KNOWN = {
+    "kind": lambda: F.when(F.col("page").isNotNull(), F.lit("page")).otherwise("section"),
+    "anchor": lambda: F.lit(None).cast("string"),
+    "source_type": lambda: F.lower(F.regexp_extract("doc_name", r"\.([^.]*)$", 1)),
+    "doc_rank": lambda: T.book_rank(F.col("doc_name")),
+    "seq": lambda: F.col("page").cast("long"),
+}
+ORDER = ["doc_name", "seq", "page", "anchor", "slice_no", "text_sha256"]
+
+
+def with_known(units: DataFrame) -> DataFrame:
+    """Units as chunking wants them: doc_name, page, text and KNOWN, whatever the source left out or called by a reader's names."""
+    for old, new in (("loc_page", "page"), ("loc_kind", "kind"), ("loc_anchor", "anchor")):
+        units = units.withColumnRenamed(old, new) if new not in units.columns else units
+    return units.select("doc_name", F.col("page").cast("long").alias("page"), "text", *[(F.coalesce(c, make()) if c in ("doc_rank", "source_type", "kind") else F.col(c) if c != "seq" else F.col(c).cast("long")).alias(c) if c in units.columns else make().alias(c) for c, make in KNOWN.items()])
+
+
 def chunk_units(units: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Units (doc_name, page, text) to chunks with tags and digests; ids are left to the caller.
+    """Units (doc_name, page, text; kind, anchor, source_type, doc_rank, seq where the source knows them) to chunks with tags and digests; ids are left to the caller.
 
-    Units never mix. Null and empty units give no chunk; equal units give equal chunks.
+    A chunk keeps what its source knew, and is labelled by page or by anchor. Units never mix. Null and empty units give no chunk; equal units give equal chunks.
     """
     parts = chunking.chunked(F.col("text"), config.chunk_max_chars, config.chunk_overlap_chars, config.chunk_min_chars, KEEP_MARKS)
-    cut = units.select("doc_name", "page", F.posexplode(parts).alias("slice_no", "text"))
+    cut = with_known(units).select("doc_name", "page", *KNOWN, F.posexplode(parts).alias("slice_no", "text"))
     good = cut.filter(~T.is_low_signal(F.col("text"), KEEP_MARKS))
-    label = T.loc_label(F.lit("page"), F.col("page"), F.lit(None).cast("long"), F.lit(None).cast("string"))
+    label = T.loc_label(F.col("kind"), F.col("page"), F.lit(None).cast("long"), F.col("anchor"))
     tagged = good.withColumns({"tags": T.tags(F.col("text"), TAGS), "loc_label": label, "text_sha256": F.sha2(T.normal_space(F.col("text")), 256)})
-    made = tagged.withColumns({"embed_text": T.embed_text(F.col("doc_name"), F.col("loc_label"), F.col("tags"), F.col("text")), "search_text": T.search_text(F.col("doc_name"), F.col("loc_label"), F.col("tags"), F.col("text"))})
-    return made.withColumns({"embed_sha256": F.sha2("embed_text", 256), "preview": F.left("text", F.lit(config.preview_chars)), "embed_version": F.lit(config.embed_version), "search_version": F.lit(config.search_version), "active": F.lit(True), "deactivated_at": F.lit(None).cast("long")})
+    made = tagged.withColumns(maintenance.header_texts(config))
+    return made.withColumns({"embed_sha256": F.sha2("embed_text", 256), "search_sha256": F.sha2("search_text", 256), "preview": F.left("text", F.lit(config.preview_chars)), "embed_version": F.lit(config.embed_version), "search_version": F.lit(config.search_version), "active": F.lit(True), "deactivated_at": F.lit(None).cast("long")})
 
 
 def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest: DataFrame | None, at: int, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
@@ -46,15 +64,14 @@ def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest:
         manifest = spark.createDataFrame([], "filename string, sha256 string")
     status = maintenance.manifest_diff(files, manifest)
     fresh = status.filter("status in ('new', 'changed')").select(F.col("filename").alias("doc_name"))
-    changed = units.join(fresh, "doc_name", "left_semi").select("doc_name", "page", "text")
+    changed = with_known(units.join(fresh, "doc_name", "left_semi"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = kept(chunk_units(changed.repartition(tasks, "doc_name", "page", "text"), config))
-    order = ["doc_name", "page", "slice_no", "text_sha256"]
     if rows is None:
-        return maintenance.with_next_ids(made, spark.createDataFrame([], "chunk_id long"), order), status
+        return maintenance.with_next_ids(made, spark.createDataFrame([], "chunk_id long"), ORDER), status
     gone = status.filter("status in ('changed', 'removed')").select(F.col("filename").alias("doc_name"))
     known = maintenance.soft_deleted(rows, gone, "doc_name", F.lit(at).cast("long"))
-    return known.unionByName(maintenance.with_next_ids(made, rows, order)), status
+    return known.unionByName(maintenance.with_next_ids(made, rows, ORDER), allowMissingColumns=True), status
 
 
 def reindexed(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstone import lexicon
 from quillstone.config import CONFIG as C
-from quillstone.operators import gates
+from quillstone.functions import text as T
+from quillstone.operators import answers, gates
 from quillstone.plans.queries import ASKED, BLEND, FUSED, SCAN, SEM, UNITS, asked, blended, fused, in_list, query, read, stems, units
 from quillstone.plans.queries_more import distinct, plain
 
@@ -100,3 +101,59 @@ def context_radius(spark, d):
     return kinds(spark, d).select("query_id", gates.context_radius(F.col("question")).alias("radius"))
 
 
+
+
+TAGGED = "case when doc_id % 3 = 0 then text || ' Schedule of the disciplinary hearing: how to file Complaints, vice chairperson, FAQ.' else text end"
+LISTED = "list_filter([" + ", ".join(rf"case when regexp_matches(lower(body), '{ENDS[0]}{p}{ENDS[1]}') then '{t}' end" for p, t in lexicon.TAGS) + "], lambda v: v is not null)"
+TAGS = f"list_filter({LISTED}, lambda v, i: list_position({LISTED}, v) = i)"
+
+
+def tagged(spark, d):
+    """Whole texts; a third of them with words that the lexicon's own tags are for."""
+    i = F.col("doc_id")
+    body = F.when(i % 3 == 0, F.concat("text", F.lit(" Schedule of the disciplinary hearing: how to file Complaints, vice chairperson, FAQ."))).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.when(i % 7 != 0, F.concat(F.lit("book "), i, F.lit(".pdf"))).alias("doc"), F.when(i % 5 != 0, F.lit(" pdf ")).alias("kind"), body.alias("body"))
+
+
+@query(f"with b as (select doc_id, {TAGGED} as body from documents) select doc_id, array_to_string({TAGS}, ',') as tags from b")
+def lexicon_tags(spark, d):
+    return tagged(spark, d).select("doc_id", F.array_join(T.tags(F.col("body"), lexicon.TAGS), ",").alias("tags"))
+
+
+TRIM = r"regexp_replace({0}, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g')"
+
+
+@query(rf"""with b as (select doc_id, case when doc_id % 7 <> 0 then 'book ' || doc_id || '.pdf' end as doc, case when doc_id % 5 <> 0 then 'pdf' else '' end as kind, {TAGGED} as body from documents), t as (select *, {TAGS} as tags, {TRIM.format('body')} as txt from b),
+h as (select *, case when len(tags) > 0 then 'TAGS: ' || array_to_string(tags, ', ') else 'TAGS:' end as line, coalesce(doc, 'Unknown document') as named, case when doc is null then 0 else doc_id end as rank from t)
+select doc_id, md5({TRIM.format("'DOCUMENT: ' || named || chr(10) || 'RANK: ' || rank || chr(10) || 'TYPE: ' || kind || chr(10) || 'LOCATION: Page ' || doc_id || chr(10) || line || chr(10) || 'All papers' || chr(10) || chr(10) || txt")}) as embed, md5({TRIM.format("'DOC: ' || named || chr(10) || 'TYPE: ' || kind || chr(10) || 'LOC: Page ' || doc_id || chr(10) || line || chr(10) || chr(10) || txt")}) as search from h""")
+def full_headers(spark, d):
+    t = tagged(spark, d).withColumn("tags", T.tags(F.col("body"), lexicon.TAGS))
+    loc, rank = F.concat(F.lit("Page "), "doc_id"), F.when(F.col("doc").isNotNull(), T.book_rank(F.col("doc")))
+    return t.select("doc_id", F.md5(T.full_embed_text(F.col("doc"), rank, F.col("kind"), loc, F.col("tags"), F.col("body"), "All papers")).alias("embed"), F.md5(T.full_search_text(F.col("doc"), F.col("kind"), loc, F.col("tags"), F.col("body"))).alias("search"))
+
+
+FIXED = f"map {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in lexicon.TYPOS.items())}}}"
+SHORT = f"map {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in lexicon.ABBREVIATIONS.items())}}}"
+ODD = "o as (select query_id, 'Salery of the genral offcer; CTO, dg. (hr) scedule: ' || question || ' Moniter benifits tor' as q from asked), w as (select query_id, list_filter(regexp_split_to_array(q, '[\x09-\x0D ]+'), lambda w: w <> '') as ws from o)"
+
+
+def misspelt(spark, d):
+    return asked(spark, d).select("query_id", F.concat(F.lit("Salery of the genral offcer; CTO, dg. (hr) scedule: "), "question", F.lit(" Moniter benifits tor")).alias("q"))
+
+
+@query(rf"with {ASKED}, {ODD}, f as (select query_id, list_transform(ws, lambda w: case when {FIXED}[lower(w)] is null then w when regexp_matches(left(w, 1), '\p{{Lu}}') then upper(left({FIXED}[lower(w)], 1)) || substr({FIXED}[lower(w)], 2) else {FIXED}[lower(w)] end) as ws from w) select query_id, array_to_string(ws, ' ') as fixed from f")
+def lexicon_typos(spark, d):
+    return misspelt(spark, d).select("query_id", T.fix_words(F.col("q"), lexicon.TYPOS).alias("fixed"))
+
+
+@query(f"with {ASKED}, {ODD} select query_id, array_to_string(list_transform(ws, lambda w: coalesce({SHORT}[lower(regexp_replace(w, '[^a-zA-Z]', '', 'g'))], w)), ' ') as expanded from w")
+def lexicon_abbreviations(spark, d):
+    return misspelt(spark, d).select("query_id", T.expand_words(F.col("q"), lexicon.ABBREVIATIONS).alias("expanded"))
+
+
+@query(f"""with {SCAN}, {SEM}, {FUSED}, g as (select query_id, doc_name, max(score) as top from fu join units using (chunk_id) group by all)
+select f.query_id, f.chunk_id, f.score from fu f join units u using (chunk_id) join g on g.query_id = f.query_id and g.doc_name = u.doc_name where g.top >= 0.28 and f.score >= 0.26 and g.top < 0.66""")
+def weak_documents(spark, d):
+    """Hits that pass the thresholds of an answer, of documents that a bar of .66 would refuse."""
+    named = fused(spark, d).join(units(spark, d).select("chunk_id", "doc_name"), "chunk_id")
+    return answers.good_hits(named.withColumn("is_context", F.lit(False)), C).filter("best < 0.66").select("query_id", "chunk_id", "score")

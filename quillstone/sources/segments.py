@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.sources import hadoop
+from quillstone.sources import bucketed, hadoop
 from quillstone.sources.scratch import if_small
 
 
@@ -166,12 +166,24 @@ class Store:
             merged = self.write({"chunks": self.chunks(only), "vectors": self.vectors(only), "retired": elsewhere, "files": files}, level + 1, tuple(b for s in mine for b in s.batches))
             self.commit(now, (merged, *(s for s in now.segments if s.level != level)), now.next_id)
 
+    def serve(self, buckets: int) -> tuple[DataFrame, DataFrame]:
+        """Chunks and vectors of the current generation as tables bucketed by chunk_id, written once for each generation, for many batches of questions."""
+        now = self.current()
+        folder = f"{self.root}/serving/{now.number:012d}"
+        made = {"chunks": self.chunks, "vectors": self.vectors}
+        found = {n: bucketed.opened(self.spark, f"{folder}/{n}") for n in made}
+        chunks, vectors = (bucketed.write(make(now), f"{folder}/{n}", buckets) if found[n] is None else found[n] for n, make in made.items())
+        return chunks, vectors
+
     def expire(self, keep: int = 3) -> list[str]:
         """Delete generations beyond the newest ``keep``, and segments that none of these names."""
         numbers = self.numbers()
         for n in numbers[:-keep]:
             hadoop.delete(self.spark, f"{self.root}/generations/{n:012d}.json")
         used = {s.id for n in numbers[-keep:] if (g := self.generation(n)) for s in g.segments}
+        for s in hadoop.names(self.spark, f"{self.root}/serving"):
+            if int(s) not in numbers[-keep:]:
+                hadoop.delete(self.spark, f"{self.root}/serving/{s}")
         old = [s for s in hadoop.names(self.spark, f"{self.root}/segments") if s not in used]
         for s in old:
             hadoop.delete(self.spark, f"{self.root}/segments/{s}")

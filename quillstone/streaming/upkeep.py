@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quillstone.config import CONFIG, Config
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.operators import maintenance
-from quillstone.plans.ingest import chunk_units
+from quillstone.plans.ingest import ORDER, chunk_units
 from quillstone.sources import scratch
 from quillstone.sources.scratch import kept
 from quillstone.sources.segments import Generation, Store
@@ -114,7 +114,7 @@ def publish(store: Store, changed: DataFrame, batch: int, embedder: Embedder = h
     def make(after: Generation) -> tuple[dict[str, DataFrame | None], int]:
         units = now.filter(F.col("status") != REMOVED).select(F.col("filename").alias("doc_name"), F.inline("units"))
         made = kept(chunk_units(units, config))
-        numbered = kept(maintenance.numbered(made, after.next_id, ["doc_name", "page", "slice_no", "text_sha256"]))
+        numbered = kept(maintenance.numbered(made, after.next_id, ORDER))
         rows, retired = store.chunks(after), None
         if rows is not None:
             gone = now.filter(F.col("status") != NEW).select(F.col("filename").alias("doc_name"))

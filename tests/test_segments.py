@@ -168,3 +168,30 @@ def test_digests_agree(spark):
     rows = [("a", 1, 2, "two", False), ("a", 1, 1, "one", False), ("a", 1, None, None, None), ("a", 1, 1, "one", False), (None, 1, 1, "x", False), ("b", None, 1, "x", False)]
     (r,) = upkeep.batch_changes(spark.createDataFrame(rows, ARRIVAL), None).collect()
     assert r.sha256 == upkeep.digest([(2, "two"), (1, "one"), (None, None)]) and len(r.units) == 3
+
+
+def test_served_tables_join_without_an_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.plans.ask import ask
+
+    store = Store(spark, new_folder(spark, "store"))
+    for i in (0, 1):
+        add(spark, store, BATCHES[i], i)
+    chunks, vectors = store.serve(8)
+    assert content(store) == sorted((r.doc_name, r.page, r.slice_no, r.text) for r in chunks.filter("active").collect())
+    again, _ = Store(spark, store.root).serve(8)
+    assert again.count() == chunks.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        live = chunks.filter("active").select("chunk_id", "doc_name", "page", "text")
+        assert "Exchange" not in shown(vectors.join(live.select("chunk_id"), "chunk_id", "left_semi"))
+        hits = spark.range(5).select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"))
+        assert shown(hits.join(live, "chunk_id")).count("Exchange hashpartitioning") == 1  # the hits' own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    asks = spark.createDataFrame([(1, "version of page with signal words")], "query_id long, question string")
+    answers, refs = ask(asks, chunks, vectors)
+    assert answers.count() == 1 and refs.count() > 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.config import Config, from_environment
 from quillstone.functions import audio
-from quillstone.operators import replies
+from quillstone.operators import maintenance, replies
 from quillstone.sources import readers
 from quillstone.sources.snapshots import Builds
 from quillstone.streaming import indexer
@@ -90,6 +90,20 @@ def test_transcriber(spark):
     assert got[1] == got[4] == audio.FAILED and got[2] == audio.TOO_SHORT
 
 
+def test_chunks_keep_what_their_source_knows(spark, tmp_path):
+    from quillstone.plans.ingest import ingest
+
+    (tmp_path / "book3 notes.txt").write_text("first page " * 20 + "\f" + "second page " * 20)
+    docx(tmp_path / "b.docx", [("Heading1", "Scope"), ("", "what it covers " * 20), ("Heading1", "Terms"), ("", "what words mean " * 20)])
+    units = readers.read_units(spark, str(tmp_path))
+    files = units.select(F.col("doc_name").alias("filename")).distinct().withColumn("sha256", F.lit("x"))
+    rows = sorted(ingest(units, files, None, None, 0)[0].collect(), key=lambda r: r.chunk_id)
+    got = [(r.chunk_id, r.doc_name, r.loc_label, r.source_type, r.doc_rank) for r in rows]
+    assert got == [(1, "b.docx", 'Section: "Scope" (Paragraphs 2–2)', "docx", 0), (2, "b.docx", 'Section: "Terms" (Paragraphs 4–4)', "docx", 0), (3, "book3 notes.txt", "Page 1", "txt", 3), (4, "book3 notes.txt", "Page 2", "txt", 3)]
+    assert rows[0].embed_text.startswith('DOCUMENT: b.docx\nRANK: 0\nTYPE: docx\nLOCATION: Section: "Scope" (Paragraphs 2–2)\nTAGS:')
+    assert not maintenance.refreshed(spark.createDataFrame(rows, ingest(units, files, None, None, 0)[0].schema).withColumn("public_path", F.lit(None).cast("string"))).filter("embed_text is null").count()
+
+
 def content(builds, spark):
     return sorted((r.doc_name, r.page, r.slice_no, r.text) for r in builds.read(spark, "chunks").filter("active").collect())
 
