@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.config import CONFIG, Config
@@ -10,7 +10,7 @@ from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
 from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
 from quillstone.operators import chunking, lines, maintenance, spelling
-from quillstone.sources import hadoop
+from quillstone.sources import hadoop, readers
 from quillstone.sources.scratch import kept
 from quillstone.sources.snapshots import Builds
 
@@ -21,6 +21,18 @@ def with_stripped_text(units: DataFrame) -> DataFrame:
     return left.withColumn("text", F.array_join("kept_lines", "\n")).drop("kept_lines", "n_lines")
 
 
+def stripped_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of a folder without repeated headers and footers. They are found in a first pass that takes the edges of pages only; texts are read once, in the second."""
+    def numbered(units: DataFrame) -> DataFrame:
+        place = F.concat_ws("|", "doc_name", F.col("seq").cast("string"))
+        return units.withColumnRenamed("loc_page", "page").withColumn("chunk_id", place)
+
+    repeated = lines.repeated_lines(numbered(readers.read_units(spark, folder, edges=True)).filter("loc_kind = 'page'"), HEADER_MARKS)
+    left = lines.without_repeated(numbered(readers.read_units(spark, folder)), repeated)
+    page = F.when(F.col("loc_kind") == "page", F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
+    return left.withColumn("text", page).drop("kept_lines", "n_lines", "chunk_id")
+
+
 #: What a source may know of a unit besides doc_name, page and text, and what is taken where it does not.
 KNOWN = {
     "kind": lambda: F.when(F.col("page").isNotNull(), F.lit("page")).otherwise("section"),

@@ -90,6 +90,38 @@ def test_transcriber(spark):
     assert got[1] == got[4] == audio.FAILED and got[2] == audio.TOO_SHORT
 
 
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    pages = [f"GOVERNMENT authority\nbody of page {i} " + "x" * (i % 700) + f"\nanother line {i}\n" + ("é" * (i % 5)) + f"\n{i}" for i in range(1, 5001)]
+    pages[99], pages[2499] = "", "  "
+    (tmp_path / "big.txt").write_text("\f".join(pages))
+    (tmp_path / "small.txt").write_text("one\ftwo\f")
+    (tmp_path / "empty.txt").write_text("")
+    units = readers.read_units(spark, str(tmp_path))
+    got = {(r.doc_name, r.loc_page): r.text for r in units.collect()}
+    assert got == {("big.txt", i): p for i, p in enumerate(pages, 1) if p.strip()} | {("small.txt", 1): "one", ("small.txt", 2): "two"}
+    tasks = units.filter("doc_name = 'big.txt'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 4998
+    one = units.filter("doc_name = 'small.txt' and loc_page > 1")
+    assert [r.text for r in one.collect()] == ["two"] and one.rdd.getNumPartitions() == 1
+    for size in (1, 7, 64):  # borders anywhere: on a form feed, in a letter, between pages
+        monkeypatch.setattr(readers, "SPLIT_BYTES", size)
+        (tmp_path / "odd").mkdir(exist_ok=True)
+        (tmp_path / "odd" / "o.txt").write_text("\fab\f\fééé\fz")
+        length = (tmp_path / "odd" / "o.txt").stat().st_size
+        cut = [x for a in range(0, length, size) for x in readers.text_range(str(tmp_path / "odd" / "o.txt"), a, min(a + size, length))]
+        assert [(n, t) for n, t in cut if t] == [(2, "ab"), (4, "ééé"), (5, "z")]
+
+
+def test_stripped_units(spark, tmp_path):
+    from quillstone.plans.ingest import stripped_units
+
+    body = lambda i: "\n".join(f"line {k} of page {i} tells something of its own" for k in range(6))
+    (tmp_path / "a.txt").write_text("\f".join(f"Government of Somewhere\n{body(i)}\nPage {i}" for i in range(1, 6)) + "\fGovernment of Somewhere\nshort")
+    got = {r.page: r.text for r in stripped_units(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in range(1, 6)} == {i: body(i) for i in range(1, 6)}
+    assert got[6] == "Government of Somewhere\nshort"  # one line of two would be left: the page stays as it was
+
+
 def test_chunks_keep_what_their_source_knows(spark, tmp_path):
     from quillstone.plans.ingest import ingest
 
