@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +58,45 @@ def html(refs: DataFrame) -> DataFrame:
     return g.select("query_id", body.alias("html"), F.array_join(F.transform("rs", lambda r: r["key"]), ",").alias("keys"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def inline_html(c: Column) -> Column:
+    """Bold, emphasis and citation marks of a line."""
+    strong = F.regexp_replace(c, r"\*\*(.*?)\*\*", "<strong>$1</strong>")
+    return F.regexp_replace(F.regexp_replace(strong, r"\*(.*?)\*", "<em>$1</em>"), r"\[([0-9]+)\]", '<span class="cite-badge">[$1]</span>')
+
+
+def answer_blocks(answer: Column) -> Column:
+    """array<struct<kind, items>>: an answer's lines as headings, lists, paragraphs and spaces.
+
+    Lines are stripped. Bullets that follow one another are one ``ul``, numbered lines one ``ol``; a blank line ends a list and is a
+    ``space`` if the line before it is not blank. Everything happens in the row, each line is looked at once. Null and empty answers have no blocks.
+    """
+    kind = lambda x: F.when(x == "", "space").when(F.startswith(x, F.lit("## ")), "heading").when(F.rlike(x, F.lit("^[-•][\\x09-\\x0D ]")), "ul").when(F.rlike(x, F.lit("^[0-9]+[.)][\\x09-\\x0D ]")), "ol").otherwise("para")
+    body = lambda k, x: inline_html(F.when(k == "heading", F.substr(x, F.lit(4))).when(k == "ul", F.regexp_replace(x, "^[-•][\\x09-\\x0D ]*", "")).when(k == "ol", F.regexp_replace(x, "^[0-9]+[.)][\\x09-\\x0D ]*", "")).otherwise(x))
+
+    def grouped(marked: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("struct<kind:string,text:string>")), F.slice(marked, 1, F.size(marked) - 1))
+        pairs = F.arrays_zip(marked.alias("x"), before.alias("b"))
+        place = F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["x"]["kind"].alias("kind"), (~p["x"]["kind"].isin("ul", "ol") | ~p["x"]["kind"].eqNullSafe(p["b"]["kind"])).alias("new"), p["b"]["kind"].alias("last")))
+        return bound(F.filter(place, lambda p: p["new"]), lambda starts: cut(marked, starts))
+
+    def cut(marked: Column, starts: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), lambda p: p["at"]), F.array(F.size(marked)))
+        blocks = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(z["s"]["kind"].alias("kind"), F.transform(F.slice(marked, z["s"]["at"] + 1, z["e"] - z["s"]["at"]), lambda m: m["text"]).alias("items"), z["s"]["last"].alias("last")))
+        shown = F.filter(blocks, lambda b: (b["kind"] != "space") | (b["last"].isNotNull() & (b["last"] != "space")))
+        return F.transform(shown, lambda b: F.struct(b["kind"].alias("kind"), F.when(b["kind"] == "space", F.array().cast("array<string>")).otherwise(b["items"]).alias("items")))
+
+    def mark(line: Column) -> Column:
+        return bound(kind(line), lambda k: F.struct(k.alias("kind"), body(k, line).alias("text")))
+
+    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: T.stripped(x))
+    return bound(F.transform(lines, mark), grouped)
+
+
 def as_json(answers: DataFrame, refs: DataFrame) -> DataFrame:
     """(query_id, response): answer, decision and references as one JSON object."""
     g = refs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ref_id", "doc_name", "page", "snippet"))).alias("references"))

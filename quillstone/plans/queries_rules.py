@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone import lexicon
 from quillstone.config import CONFIG as C
 from quillstone.functions import text as T
-from quillstone.operators import answers, gates
+from quillstone.operators import answers, gates, replies
 from quillstone.plans.queries import ASKED, BLEND, FUSED, SCAN, SEM, UNITS, asked, blended, fused, in_list, query, read, stems, units
 from quillstone.plans.queries_more import distinct, plain
 
@@ -157,3 +157,21 @@ def weak_documents(spark, d):
     """Hits that pass the thresholds of an answer, of documents that a bar of .66 would refuse."""
     named = fused(spark, d).join(units(spark, d).select("chunk_id", "doc_name"), "chunk_id")
     return answers.good_hits(named.withColumn("is_context", F.lit(False)), C).filter("best < 0.66").select("query_id", "chunk_id", "score")
+
+
+SPACE = r"[\x09-\x0D ]"
+HTML = r"""regexp_replace(regexp_replace(regexp_replace({0}, '\*\*(.*?)\*\*', '<strong>\1</strong>', 'g'), '\*(.*?)\*', '<em>\1</em>', 'g'), '\[([0-9]+)\]', '<span class="cite-badge">[\1]</span>', 'g')"""
+
+
+@query(rf"""with a as (select conv_id, turn, '## The **head** [1]' || chr(10) || '- one *point*' || chr(10) || '  • two [2]' || chr(10) || '1. first' || chr(10) || '2) second' || chr(10) || chr(10) || chr(10) || text || chr(10) || '-none' || chr(10) || ' ' || chr(10) || '- last' as t from conversations),
+l as (select conv_id, turn, i, {TRIM.format('ls[i]')} as x from (select conv_id, turn, string_split(t, chr(10)) as ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) as i from a)),
+k as (select *, case when x = '' then 'space' when starts_with(x, '## ') then 'heading' when regexp_matches(x, '^[-•]{SPACE}') then 'ul' when regexp_matches(x, '^[0-9]+[.)]{SPACE}') then 'ol' else 'para' end as kind from l),
+b as (select *, lag(kind) over (partition by conv_id, turn order by i) as last, {HTML.format(f"case kind when 'heading' then substr(x, 4) when 'ul' then regexp_replace(x, '^[-•]{SPACE}*', '') when 'ol' then regexp_replace(x, '^[0-9]+[.)]{SPACE}*', '') else x end")} as html from k),
+g as (select *, sum((kind not in ('ul', 'ol') or kind is distinct from last)::int) over (partition by conv_id, turn order by i) as grp from b),
+m as (select conv_id, turn, grp, min(i) as i, first(kind) as kind, string_agg(html, '|' order by i) as items, first(last order by i) as last from g group by conv_id, turn, grp)
+select conv_id, turn, string_agg(kind || ':' || items, chr(10) order by i) as blocks from m where kind <> 'space' or (last is not null and last <> 'space') group by conv_id, turn""")
+def answer_blocks(spark, d):
+    """Turns with Markdown before and after them."""
+    text = F.concat(F.lit("## The **head** [1]\n- one *point*\n  • two [2]\n1. first\n2) second\n\n\n"), "text", F.lit("\n-none\n \n- last"))
+    shown = F.array_join(F.transform("b", lambda b: F.concat(b["kind"], F.lit(":"), F.array_join(b["items"], "|"))), "\n")
+    return read(spark, d, "conversations").select("conv_id", "turn", replies.answer_blocks(text).alias("b")).select("conv_id", "turn", shown.alias("blocks"))

@@ -81,3 +81,12 @@ def test_vocabulary_is_kept_with_its_build(spark, tmp_path):
     assert builds.publish(spark, "build_1", {"chunks": chunks.withColumn("active", F.lit(True))})
     assert ingest.vocabulary(builds, chunks).count() == 2
     assert ingest.vocabulary(builds, chunks.limit(0)).count() == 2
+
+
+def test_blocks_of_answers(spark):
+    from quillstone.operators import replies
+
+    rows = [(1, "# no\n## Yes **b**\n- a\n- b *c*\n1. x\n- d\n\n\nend [12]"), (2, ""), (3, None), (4, "\n\n"), (5, "- only"), (6, "2) n\n3. m\n \n4. o")]
+    got = {r.id: [(b.kind, list(b["items"])) for b in r.b] for r in spark.createDataFrame(rows, "id long, t string").select("id", replies.answer_blocks(F.col("t")).alias("b")).collect()}
+    assert got[1] == [("para", ["# no"]), ("heading", ["Yes <strong>b</strong>"]), ("ul", ["a", "b <em>c</em>"]), ("ol", ["x"]), ("ul", ["d"]), ("space", []), ("para", ['end <span class="cite-badge">[12]</span>'])]
+    assert got[2] == got[3] == got[4] == [] and got[5] == [("ul", ["only"])] and got[6] == [("ol", ["n", "m"]), ("space", []), ("ol", ["o"])]
