@@ -8,7 +8,9 @@ containment. No Python runs on executors.
 
 Defined results: null counts as empty; a text without words has an empty sketch; one with
 fewer words than ``width`` has its whole word sequence as the one shingle; two empty
-sketches are alike by 1, an empty and a filled one by 0.
+sketches are alike by 1, an empty and a filled one by 0. Where an id repeats, its rows are rows of their own, and the
+text of least MD5 stands for the id as its neighbour's next; null ids come last in the order; a table of one id has itself as next.
+Extra columns are ignored; an empty table gives no rows; a text of any length is one row's work, in memory of some times its size.
 """
 
 from __future__ import annotations

@@ -61,6 +61,44 @@ def test_odd_rows_of_components(spark, tables):
     assert got == sorted([(None, 3, None, True), (None, 0, None, True), (5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)], key=repr)
 
 
+ODD = [(None, "a b c d e f"), (None, None), (5, "same text here it is"), (5, "same text here it is"), (5, "another text of one id"), (6, "same text here it is")]
+
+
+def test_odd_rows_of_substrings(spark, tables):
+    got = sorted(map(tuple, substrings.op7_substrings(spark, f"{tables['folder']}/odd").collect()), key=repr)
+    assert got == sorted([(i, n, gone, brute.sha(kept)) for i, n, gone, kept in brute.without_repeats(ODD)], key=repr)
+    long = [(i, " ".join(f"w{k}" for k in range(20)) + t) for i, t in ((None, ""), (None, ""), (7, " x"), (7, ""), (7, ""), (9, " y"))]
+    made = substrings.remove_repeated(spark.createDataFrame(long, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in made.collect()), key=repr)
+    assert got == sorted(brute.without_repeats(long), key=repr) and sum(r[2] for r in got) == 20
+
+
+def test_odd_rows_of_mixing(spark, tables):
+    got = sorted(map(tuple, mixing.op4_mixing(spark, f"{tables['folder']}/odd").collect()), key=repr)
+    assert sorted(r[:2] for r in got if r[0] is not None) == [(5, 5), (5, 5), (5, 5), (6, 5)]
+    assert {(r[0], r[1], r[2]) for r in got if r[0] is None} == {(None, 6, 6), (None, 0, 6)}
+    # 26 words: the null source weighs 2, stops at 3 times its 6 words, and source s takes the rest; no row beyond 3 times its size
+    assert {(r[2], r[3]) for r in got} == {(20, 26 / 3), (6, 52 / 3)} and all(r[4] <= 3 * r[1] for r in got)
+    assert sorted(r[4] for r in got if r[2] == 20)[:2] == [0, 0]
+
+
+def test_odd_rows_of_the_model(spark, tables):
+    got = lm.op9_lm(spark, f"{tables['folder']}/odd").collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    seen = [w for i, t in ODD if not held(i) for w in [*brute.words(brute.lower(t or "")), "</s>"]]
+    assert {r.train_tokens for r in got} == {len(seen)}
+    base = lambda t: sum(math.log10((seen.count(w) + 0.5) / (len(seen) + 0.5 * (len(set(seen)) + 1))) for w in [*brute.words(brute.lower(t or "")), "</s>"])
+    want = sorted((repr(i), held(i), len(brute.words(t or "")) + 1, round(base(t), 9)) for i, t in ODD)
+    assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, round(r.base_score, 9)) for r in got) == want
+
+
+def test_very_long_text_of_the_model(spark):
+    long = "alpha beta gamma " * 400_000
+    docs = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, "delta")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
+    assert got[1].n_tokens == 1_200_001 and got[1].n_known == 1_200_001 and got[1].score > -1200.0
+
+
 @pytest.mark.parametrize("width,query", [(4, True), (5, False)])
 def test_components(spark, tables, width, query):
     folder = f"{tables['folder']}/full"
