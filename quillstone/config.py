@@ -17,6 +17,9 @@ class Config:
     identity: str = ""
     #: Most characters of a text that go to the embedder.
     embed_chars: int = 12_000
+    #: How often a batch is embedded before it has failed, and the seconds before the second try.
+    embed_tries: int = 4
+    embed_wait: float = 0.8
     # live retrieval
     top_k: int = 30
     similarity: float = 0.14
@@ -48,6 +51,8 @@ class Config:
     evidence_chars: int = 28_000
     evidence_parts: int = 30
     snippet_chars: int = 200
+    #: Address that the references' links begin with.
+    base_url: str = ""
     preview_chars: int = 300
     history_turns: int = 4
     rewrite_chars: int = 300

@@ -200,6 +200,17 @@ def normal_text(c: Column) -> Column:
     return stripped(replaced(replaced(F.lower(c), "[^a-z0-9\\x{0600}-\\x{06FF}\\x09-\\x0D ]", " "), f"{WS}+", " "))
 
 
+def expanded_text(c: Column, forms: dict[str, str], misspellings: dict[str, str] | None = None) -> Column:
+    """The normal text of c with short forms written out, then misspellings put right, both word by word. Null is empty.
+
+    Words are those of the text as it stands, so a short form that touches an underscore or a letter of another script stays; marks
+    of the Arabic block belong to words.
+    """
+    written = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}_\\x{0600}-\\x{06FF}]+"), lambda w: F.coalesce(lookup(w, forms), w))
+    plain = normal_text(F.array_join(written, " "))
+    return plain if not misspellings else F.array_join(F.transform(words_of(plain), lambda w: F.coalesce(lookup(w, misspellings), w)), " ")
+
+
 def stem(t: Column) -> Column:
     n = F.length(t)
     return (

@@ -124,3 +124,12 @@ INTENT_WORDINGS = {
     "criteria": ["{} eligibility criteria qualification experience", "{} minimum qualification experience required"],
     "role": ["terms of reference duties and responsibilities job description"],
 }
+#: Words of a question that are not marked on a page. Fixed values.
+HIGHLIGHT_STOP = "a an the is are was were of in on at to for with by about as from mein ka ki ke ko ne aur hai hain kya kyun kab kahan kaise kon who what where when why how batao bataen".split()
+#: Words for short forms where texts are compared by words, and misspellings of the organisation's own name (add your own). Fixed values.
+SHORT_FORMS = {
+    "cto": "chief technology officer", "tor": "terms of reference", "tors": "terms of reference", "dg": "director general", "hr": "human resource",
+    "it": "information technology", "mgr": "manager", "dev": "development", "sr": "senior", "jr": "junior",
+    "eo": "enforcement officer", "io": "investigation officer", "sso": "senior staff officer",
+}
+OWN_MISSPELLINGS: dict[str, str] = {}

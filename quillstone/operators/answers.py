@@ -64,6 +64,17 @@ def usable_history(turns: DataFrame, refusals: list[str], last: int = 4) -> Data
     return counted.filter("r < a").select("conv_id", "turn", "role", "text")
 
 
+def last_pair(turns: DataFrame) -> DataFrame:
+    """(conv_id, last_question, last_answer) of (conv_id, turn, role, text): the latest turn of each role that has text.
+
+    With a column ``question`` (the one that is asked now), user turns that repeat it do not count. Every conversation has a row; null where a role said nothing.
+    """
+    text = F.when(F.coalesce("text", F.lit("")) != "", F.col("text"))
+    now = F.coalesce(F.col("text") == F.col("question"), F.lit(False)) if "question" in turns.columns else F.lit(False)
+    counts = {"question": text.isNotNull() & (F.col("role") == "user") & ~now, "answer": text.isNotNull() & (F.col("role") == "assistant")}
+    return turns.groupBy("conv_id").agg(*[F.max_by(F.when(ok, text), F.when(ok, F.col("turn"))).alias(f"last_{k}") for k, ok in counts.items()])
+
+
 def page_ranges(pages: DataFrame, per: list[str]) -> DataFrame:
     """Pages as '1–3, 7'."""
     distinct = pages.select(*per, "page").distinct()
@@ -96,6 +107,13 @@ def checked(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", (F.size(missing) == 0).alias("passed"), F.array_join(missing, "|").alias("missing"))
 
 
+def summary(cases: DataFrame, *by: str) -> DataFrame:
+    """(by, n, passed, failed, pass_rate) of cases with ``passed``; one that has no verdict has failed."""
+    ok = F.coalesce("passed", F.lit(False))
+    rate = F.round(F.avg(ok.cast("double")), 6).alias("pass_rate")
+    return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), rate)
+
+
 def passed(answer: Column, keywords: Column, is_refusal: Column, decision: Column) -> Column:
     """struct(passed, missing): a refusal case must be refused; any other must not be, and must hold every keyword."""
     low = F.lower(F.coalesce(answer, F.lit("")))

@@ -119,6 +119,20 @@ def manifest(files: DataFrame, config: Config = CONFIG) -> DataFrame:
     return files.select("filename", "path", *figures, *blank, F.lit(MANIFEST_VERSION).alias("version"), build.alias("build"))
 
 
+def scanned(found: DataFrame, known: DataFrame, config: Config = CONFIG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, status, counts) of a scan: the rows to save, filename and status of each file, and one row with found, new_or_changed, unchanged and removed.
+
+    An unchanged file keeps its old row as far as the manifest knows it; removed files have none. ``found`` as in ``manifest``; ``known`` is the manifest of the last scan.
+    """
+    status = manifest_diff(found, known)
+    same = status.filter("status = 'unchanged'").select("filename")
+    fresh = manifest(found, config)
+    rows = known.join(same, "filename", "left_semi").unionByName(fresh.join(same, "filename", "left_anti"), allowMissingColumns=True)
+    n = lambda *names: F.count_if(F.col("status").isin(*names)).alias
+    counts = status.agg(n("new", "changed", "unchanged")("found"), n("new", "changed")("new_or_changed"), n("unchanged")("unchanged"), n("removed")("removed"))
+    return rows, status, counts
+
+
 def to_delete(builds: DataFrame, keep: int) -> DataFrame:
     """Builds beyond the newest ``keep`` that are not active."""
     r = builds.withColumn("rn", F.row_number().over(W.orderBy(F.desc("build_id"))))

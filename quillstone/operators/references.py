@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone import lexicon
 from quillstone.functions import text as T
 
 #: Where published files live. Fixed values.
@@ -89,3 +90,44 @@ def grouped(refs: DataFrame) -> DataFrame:
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     made = refs.withColumns({"path": F.coalesce("path", F.lit("")), "pages": page_list(F.col("page_start"), F.col("page_end")), "places": place_list(F.col("place"))})
     return made.groupBy("query_id", "document", "path").agg(first("url").alias("url"), first("snippet").alias("snippet"), every("pages").alias("pages"), every("places").alias("places"))
+
+
+def page_url(base: Column, path: Column, document: Column, page: Column) -> Column:
+    """Where a page of evidence can be opened: the published path, else the document's file, below the base. Without a page, no anchor."""
+    at = F.when(F.coalesce(path, F.lit("")) != "", F.concat(base, path)).otherwise(F.concat(base, F.lit(DATA_PATH), F.coalesce(document, F.lit(""))))
+    return F.concat(at, F.coalesce(F.concat(F.lit("#page="), page.cast("string")), F.lit("")))
+
+
+def shown_places(places: Column, most: int = 6) -> Column:
+    """The first places of a reference joined by '; ', and how many more there are."""
+    more = F.when(F.size(places) > most, F.concat(F.lit("; +"), (F.size(places) - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return F.concat(F.array_join(F.slice(places, 1, most), "; "), more)
+
+
+#: Marks that end a line of a snippet; a line, a phrase and a word that are marked are longer than these. Fixed values.
+LINE_END = "[\\n.•]+"
+SHORT_LINE, SHORT_PHRASE, SHORT_WORD = 10, 2, 2
+#: A phrase longer than this is looked for by its beginning where the page does not have it as a whole. Fixed value.
+BEGINNING = 20
+
+
+def highlights(snippet: Column, question: Column) -> Column:
+    """array<string>: what is marked on a page for a snippet and a question.
+
+    The whole snippet on one line, its lines, then the question's words in lower case, without stop words; each in order, repeats kept.
+    Nulls and blanks add nothing.
+    """
+    body = T.stripped(F.coalesce(snippet, F.lit("")))
+    whole = F.filter(F.array(F.replace(body, F.lit("\n"), F.lit(" "))), lambda p: F.length(p) > SHORT_PHRASE)
+    parts = F.filter(F.transform(F.split(body, LINE_END), T.stripped), lambda p: F.length(p) > SHORT_LINE)
+    words = F.filter(F.split(F.lower(F.coalesce(question, F.lit(""))), "[^\\p{L}\\p{N}_]+"), lambda w: (F.length(w) > SHORT_WORD) & ~w.isin(lexicon.HIGHLIGHT_STOP))
+    return F.concat(whole, parts, words)
+
+
+def marks(page: Column, phrases: Column) -> Column:
+    """array<string>: of the phrases, those that the page has (without regard to case); of a long one that it has not, the beginning, if it has that. Each once."""
+    low = F.lower(F.coalesce(page, F.lit("")))
+    has = lambda p: F.contains(low, F.lower(p))
+    start = lambda p: F.left(p, F.lit(BEGINNING))
+    found = F.transform(phrases, lambda p: F.when(has(p), p).when((F.length(p) > BEGINNING) & has(start(p)), start(p)))
+    return F.array_distinct(F.array_compact(found))

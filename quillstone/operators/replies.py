@@ -50,9 +50,9 @@ def extractive(context: DataFrame) -> DataFrame:
 
 
 def html(refs: DataFrame) -> DataFrame:
-    """(query_id, html, keys): the extractive answer with its list of references."""
-    item = F.concat(F.lit("<li>"), F.col("ref_id").cast("string"), F.lit(". "), "doc_name", F.lit(" p."), F.col("page").cast("string"), F.lit(": "), escaped(F.left("snippet", F.lit(40))), F.lit("</li>"))
-    key = F.concat("doc_name", F.lit("#"), F.col("page").cast("string"))
+    """(query_id, html, keys): the extractive answer with its list of references; one without a page is named by its document alone."""
+    item = F.concat(F.lit("<li>"), F.col("ref_id").cast("string"), F.lit(". "), "doc_name", F.coalesce(F.concat(F.lit(" p."), F.col("page").cast("string")), F.lit("")), F.lit(": "), escaped(F.left("snippet", F.lit(40))), F.lit("</li>"))
+    key = F.concat("doc_name", F.coalesce(F.concat(F.lit("#"), F.col("page").cast("string")), F.lit("")))
     g = refs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ref_id", item.alias("li"), key.alias("key")))).alias("rs"), F.min_by("snippet", "ref_id").alias("top"))
     body = F.concat(F.lit("<p>"), escaped(F.col("top")), F.lit(" [1]</p><ol>"), F.array_join(F.transform("rs", lambda r: r["li"]), ""), F.lit("</ol>"))
     return g.select("query_id", body.alias("html"), F.array_join(F.transform("rs", lambda r: r["key"]), ",").alias("keys"))
@@ -99,7 +99,8 @@ def answer_blocks(answer: Column) -> Column:
 
 def as_json(answers: DataFrame, refs: DataFrame) -> DataFrame:
     """(query_id, response): answer, decision and references as one JSON object."""
-    g = refs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ref_id", "doc_name", "page", "snippet"))).alias("references"))
+    shown = [c for c in ("ref_id", "doc_name", "page", "snippet", "url") if c in refs.columns]
+    g = refs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("references"))
     return answers.join(g, "query_id", "left").select("query_id", F.to_json(F.struct("answer", "decision", F.coalesce("references", F.array()).alias("references"))).alias("response"))
 
 

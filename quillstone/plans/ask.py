@@ -16,7 +16,7 @@ from quillstone import lexicon
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
-from quillstone.operators import answers, keywords, postings, replies, retrieval, vectors
+from quillstone.operators import answers, keywords, postings, references, replies, retrieval, vectors
 from quillstone.sources.scratch import kept
 
 
@@ -105,17 +105,19 @@ def ask(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embed
     ``answerer`` turns (query_id, ref_id, snippet, …) into (query_id, answer); without
     evidence the decision is to refuse; greetings and questions about the assistant itself get the ``canned`` reply and never reach the joins,
     and a greeting before a question is returned before its answer. References are those that
-    the answer cites, the first three where it cites none.
+    the answer cites, the first three where it cites none; each has the ``url`` of its page.
     """
     asked = kept(prepared(questions, rewrite, history, config, vocabulary))
     hits = evidence(asked, chunks, chunk_vectors, embedder, config, index)
-    texts = chunks.select("chunk_id", "doc_name", "page", "text")
+    path = F.col("public_path") if "public_path" in chunks.columns else F.lit(None).cast("string")
+    url = references.page_url(F.lit(config.base_url.rstrip("/")), path, F.col("doc_name"), F.col("page"))
+    texts = chunks.select("chunk_id", "doc_name", "page", "text", url.alias("url"))
     j = hits.join(texts, "chunk_id").join(retrieval.if_small(asked.select("query_id", "question", "toks"), config.query_block), "query_id")
     good = answers.good_hits(j, config)
     subject = answers.subject_matches(F.lower("text"), F.filter("toks", lambda w: ~w.isin(lexicon.SUBJECT_STOP) & (F.length(w) > 2))) + answers.boosts(F.col("question"), F.col("text"))
     sized = good.withColumns({"subject": subject, "size": F.length("text")})
     fit = retrieval.within_budget(sized, "query_id", [F.desc("subject"), F.desc("score"), "chunk_id"], "size", config.evidence_chars, config.evidence_parts)
-    refs = answers.renumbered(fit.select("query_id", F.col("rn").alias("ref_id"), "doc_name", "page", F.left("text", F.lit(config.snippet_chars)).alias("snippet")))
+    refs = answers.renumbered(fit.select("query_id", F.col("rn").alias("ref_id"), "doc_name", "page", F.left("text", F.lit(config.snippet_chars)).alias("snippet"), "url"))
     shown = kept(refs.withColumn("ref_id", F.col("display_id")))
     made = kept(answerer(shown))
     refs = answers.cited(made, shown).drop("ref_id")

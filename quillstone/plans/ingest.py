@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
-from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
+from quillstone.functions.embed import Embedder, embedded, hashed_ngrams, retried
 from quillstone.lexicon import HEADER_MARKS, KEEP_MARKS, TAGS
 from quillstone.operators import chunking, lines, maintenance, spelling
 from quillstone.sources import hadoop, readers
@@ -86,10 +86,20 @@ def ingest(units: DataFrame, files: DataFrame, rows: DataFrame | None, manifest:
     return known.unionByName(maintenance.with_next_ids(made, rows, ORDER), allowMissingColumns=True), status
 
 
+def embedded_rows(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
+    """(vectors, failed) of (chunk_id, embed_text): chunk_id with its embedding, and the chunk_ids of batches that failed for good, to be tried another time.
+
+    Each batch is tried ``embed_tries`` times. Texts are embedded once; the result is kept while both halves are read.
+    """
+    patient = retried(embedder, config.embed_tries, config.embed_wait)
+    made = kept(rows.select("chunk_id", embedded(F.col("embed_text"), patient, config.embed_chars, mark_failed=True).alias("embedding")))
+    return made.filter("embedding is not null"), made.filter("embedding is null").select("chunk_id")
+
+
 def reindexed(rows: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
     """(chunk table, vectors) made anew from the active rows: versions, digests and paths as ``maintenance.refreshed`` sets them, one vector per row. Inactive rows stay in the table as they are."""
     fresh = maintenance.refreshed(rows, config)
-    vectors = fresh.select("chunk_id", embedded(F.col("embed_text"), embedder, config.embed_chars).alias("embedding"))
+    vectors = fresh.select("chunk_id", embedded(F.col("embed_text"), retried(embedder, config.embed_tries, config.embed_wait), config.embed_chars).alias("embedding"))
     return rows.filter("not active").unionByName(fresh.drop("refreshed"), allowMissingColumns=True), vectors
 
 

@@ -569,10 +569,12 @@ def page_ranges(spark, d):
     return answers.page_ranges(units(spark, d), ["doc_name"])
 
 
-@query("select conv_id, max_by(text, turn) filter (role = 'user') as last_question, max_by(text, turn) filter (role = 'assistant') as last_answer from conversations group by conv_id")
+@query("with q as (select conv_id, case when conv_id % 2 = 0 then max_by(text, turn) filter (role = 'user') end as question from conversations group by conv_id) select conv_id, max_by(text, turn) filter (role = 'user' and text <> '' and (question is null or text <> question)) as last_question, max_by(text, turn) filter (role = 'assistant' and text <> '') as last_answer from conversations join q using (conv_id) group by conv_id")
 def last_turn_pair(spark, d):
+    """In every second conversation the last user turn is the question itself."""
     c = read(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.expr("max_by(text, turn) filter (where role = 'user')").alias("last_question"), F.expr("max_by(text, turn) filter (where role = 'assistant')").alias("last_answer"))
+    last = F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).over(W.partitionBy("conv_id"))
+    return answers.last_pair(c.withColumn("question", F.when(F.col("conv_id") % 2 == 0, last)))
 
 
 @query("with r as (select * from conversations where role in ('user', 'assistant') qualify row_number() over (partition by conv_id order by turn desc) <= 4), c as (select *, count(*) filter (role = 'assistant') over (partition by conv_id) as a, count(*) filter (role = 'assistant' and contains(lower(text), 'that')) over (partition by conv_id) as n from r) select conv_id, turn, role, text from c where n < a")
@@ -585,24 +587,6 @@ def url_build(spark, d):
     return read(spark, d, "pages").select("page_id", T.url_quoted(F.col("url")).alias("quoted"), F.element_at(F.split("url", "/"), -1).alias("base"))
 
 
-@query("""with l as (select distinct source as name from documents), w as (select distinct upper(source) as wanted from documents union select distinct source || '.pdf' from documents union select distinct source from documents),
-c as (select wanted, name, case when wanted = name then 1 when wanted = name || '.pdf' then 2 when lower(wanted) = lower(name) then 3 end as priority from w, l) select wanted, name, priority from c where priority is not null qualify row_number() over (partition by wanted order by priority, name) = 1""")
-def filename_resolve(spark, d):
-    names = read(spark, d, "documents").select(F.col("source").alias("name")).distinct()
-    wanted = names.select(F.explode(F.array(F.upper("name"), F.concat("name", F.lit(".pdf")), F.col("name"))).alias("wanted")).distinct()
-    rules = [F.col("name"), F.concat("name", F.lit(".pdf")), F.lower("name")]
-    keys = [F.col("wanted"), F.col("wanted"), F.lower("wanted")]
-    parts = [wanted.select("wanted", k.alias("k")).join(names.select("name", r.alias("k")), "k").select("wanted", "name", F.lit(i + 1).alias("priority")) for i, (r, k) in enumerate(zip(rules, keys, strict=True))]
-    return retrieval.ranked(parts[0].union(parts[1]).union(parts[2]), ("wanted",), "priority", "name").filter("rn = 1").drop("rn")
-
-
-@query(f"with {REFS} select query_id, ref_id, array_to_string(list_filter({word_list('snippet')}, lambda w: length(w) > 2 and lower(w) not in {in_list(STOP)})[1:6], ' ') || case when len(list_filter({word_list('snippet')}, lambda w: length(w) > 2 and lower(w) not in {in_list(STOP)})) > 6 then ' +' || len(list_filter({word_list('snippet')}, lambda w: length(w) > 2 and lower(w) not in {in_list(STOP)})) - 6 || ' more' else '' end as phrases from refs")
-def highlight_phrases(spark, d):
-    ws = F.filter(T.words_of(F.col("snippet")), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(STOP))
-    more = F.when(F.size(ws) > 6, F.concat(F.lit(" +"), (F.size(ws) - 6).cast("string"), F.lit(" more"))).otherwise("")
-    return references(spark, d).select("query_id", "ref_id", F.concat(F.array_join(F.slice(ws, 1, 6), " "), more).alias("phrases"))
-
-
 @query(r"select conv_id, turn, case when regexp_matches(text, '[\x{0900}-\x{097F}]') then 'unsupported' when regexp_matches(text, '[\x{0600}-\x{06FF}]') then 'urdu' when regexp_matches(lower(text), '(^|[^a-z])(kya|hai|hain|kaun|kon|kaise|kahan|mujhe|batao|nahi|aap)($|[^a-z])') then 'roman_urdu' else 'english' end as language from conversations")
 def language_route(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", answers.language(F.col("text")).alias("language"))
@@ -622,10 +606,10 @@ def eval_cases(spark, d):
     return answers.checked(docs.join(retrieval.if_small(tokens(spark, d)), "query_id").select(F.col("query_id").alias("case_id"), F.col("toks").alias("keywords"), "answer"))
 
 
-@query("select source, count(*) as n, count(*) filter (quality = 1) as passed, round(avg(quality::double), 6) as pass_rate from documents join labels using (doc_id) group by source")
+@query("select source, count(*) as n, count(*) filter (quality = 1) as passed, count(*) filter (quality is distinct from 1) as failed, round(avg((quality is not distinct from 1)::int::double), 6) as pass_rate from documents join labels using (doc_id) group by source")
 def eval_pass_rate(spark, d):
     j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id")
-    return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).cast("long").alias("passed"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("pass_rate"))
+    return answers.summary(j.withColumn("passed", F.col("quality") == 1), "source")
 
 
 # ---- maintenance -----------------------------------------------------------------------

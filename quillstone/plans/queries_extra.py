@@ -60,10 +60,13 @@ def open_urls(spark, d):
 
 
 PATHS = ["/srv/data/%s", "/srv/data/../data/%s", "/srv/data/../%s", "/srv/database/%s", "/srv/data/./a//../%s", "srv/data/%s", "/srv/data/a/../../../%s", "/../srv/data/%s"]
-INSIDE = [True, True, False, False, True, False, False, True]
 
 
-@query("with p as (select page_id, string_split(string_split(url, '?')[1], '/')[-1] as base from pages) " + " union all ".join(f"select page_id, '{p.replace('%s', '')}' || base as path, {str(x).lower()} as contained from p" for p, x in zip(PATHS, INSIDE, strict=True)))
+STEP = "case when p[1] in ('', '.') then a when p[1] = '..' then a[:-2] else list_concat(a, p) end"
+AT = f"'/' || array_to_string(list_reduce(list_transform(string_split(path, '/'), lambda p: [p]), lambda a, p: {STEP}, []::varchar[]), '/')"
+
+
+@query("with b as (select page_id, string_split(string_split(url, '?')[1], '/')[-1] as base from pages), p as (" + " union all ".join(f"select page_id, '{p.replace('%s', '')}' || base as path from b" for p in PATHS) + f"), r as (select *, {AT} as dest from p) select page_id, path, starts_with(path, '/') and (dest = '/srv/data' or starts_with(dest, '/srv/data/')) as contained from r")
 def contained_paths(spark, d):
     base = F.element_at(F.split(F.element_at(F.split("url", r"\?"), 1), "/"), -1)
     made = read(spark, d, "pages").select("page_id", F.explode(F.array(*[F.concat(F.lit(p.replace("%s", "")), base) for p in PATHS])).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone import lexicon
 from quillstone.config import CONFIG as C
 from quillstone.functions import text as T
-from quillstone.operators import answers, replies, retrieval
+from quillstone.operators import answers, filenames, replies, retrieval
 from quillstone.plans.queries import ASKED, ASKED_HITS, BLEND, FUSED, NOT_PLAIN, REFS, SCAN, SEM, STOP, UNITS, WS, asked, blended, fused, in_list, query, question_hits, read, references, stems, strip, units
 
 PLAIN = strip(f"regexp_replace(regexp_replace(lower(question), '{NOT_PLAIN}', ' ', 'g'), '{WS}+', ' ', 'g')")
@@ -91,24 +91,22 @@ def criteria_priority(spark, d):
     return retrieval.criteria_first(blended(spark, d))
 
 
-@query(f"with {SCAN}, {SEM}, {FUSED} select query_id, chunk_id, score from fu join units using (chunk_id) where doc_name in (select source from documents where doc_id % 13 = 0)")
+@query(f"with {SCAN}, {SEM}, {FUSED}, files as (select distinct case when doc_id % 2 = 0 then source else source || '.pdf' end as name from documents where doc_id % 13 = 0) select query_id, chunk_id, score from fu join units using (chunk_id) where doc_name in (select name from files) or doc_name || '.pdf' in (select name from files)")
 def existing_files(spark, d):
-    there = read(spark, d, "documents").filter("doc_id % 13 = 0").select(F.col("source").alias("doc_name")).distinct()
-    return fused(spark, d).join(units(spark, d).select("chunk_id", "doc_name"), "chunk_id").join(there, "doc_name", "left_semi").select("query_id", "chunk_id", "score")
+    i = F.col("doc_id")
+    files = read(spark, d, "documents").filter(i % 13 == 0).select(F.when(i % 2 == 0, F.col("source")).otherwise(F.concat("source", F.lit(".pdf"))).alias("name"))
+    return filenames.existing(fused(spark, d).join(units(spark, d).select("chunk_id", "doc_name"), "chunk_id"), files).select("query_id", "chunk_id", "score")
 
 
 PERSON = r"(Mr|Dr|Mrs|Ms)\.? +[A-Z][a-z]|Licensed"
 
 
-@query(f"""with {SCAN}, {SEM}, {FUSED}, named as (select chunk_id, text from units where regexp_matches(text, '{PERSON}') and length(text) > 50 qualify row_number() over (order by chunk_id) <= 3),
-has as (select distinct query_id from fu join units u using (chunk_id) where regexp_matches(u.text, '{PERSON}')) select query_id, chunk_id, 0.6::double as score from asked, named where contains(lower(question), 'the') and query_id not in (select query_id from has)""")
+@query(f"""with {SCAN}, {SEM}, {FUSED}, persons as (select chunk_id from units where regexp_matches(text, '{PERSON}') and length(text) > 50), named as (select chunk_id from persons order by chunk_id limit 3),
+has as (select distinct query_id from fu join persons using (chunk_id)) select query_id, chunk_id, 0.6::double as score from asked, named where contains(lower(question), 'the') and query_id not in (select query_id from has)""")
 def name_injection(spark, d):
-    u, first = units(spark, d), fused(spark, d)
-    person = F.rlike("text", F.lit(PERSON))
-    named = u.filter(person & (F.length("text") > 50)).select("chunk_id").orderBy("chunk_id").limit(3)
-    has = first.join(u.filter(person).select("chunk_id"), "chunk_id", "left_semi").select("query_id").distinct()
-    wants = asked(spark, d).filter(F.contains(F.lower("question"), F.lit("the"))).select("query_id").join(has, "query_id", "left_anti")
-    return named.join(retrieval.if_small(wants)).select("query_id", "chunk_id", F.lit(0.6).alias("score"))
+    person = units(spark, d).filter(F.rlike("text", F.lit(PERSON)) & (F.length("text") > 50)).select("chunk_id")
+    wants = asked(spark, d).filter(F.contains(F.lower("question"), F.lit("the")))
+    return retrieval.given(fused(spark, d), wants, person, C.name_score, C.named_chunks)
 
 
 @query("""with a as (select conv_id, turn, 0 as variant, text as answer from conversations union all select conv_id, turn, 1, 'It is Not Mentioned in the context.' from conversations union all select conv_id, turn, 2, '' from conversations)

@@ -16,7 +16,7 @@ from quillstone import lexicon
 from quillstone.config import CONFIG, Config
 from quillstone.functions import text as T
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
-from quillstone.operators import gates, keywords, postings, retrieval, vectors
+from quillstone.operators import filenames, gates, keywords, postings, retrieval, vectors
 from quillstone.sources.scratch import kept
 
 
@@ -54,8 +54,8 @@ def distinct_wordings(v: DataFrame, most: int) -> DataFrame:
     return retrieval.ranked(first, ("query_id",), "at").filter(F.col("rn") <= most).select("query_id", F.col("rn").alias("no"), "wording")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG, index: DataFrame | None = None, replies: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_rank, doc_name, page, chunk_id, score, blend, is_context) of (query_id, question), best documents first. ``replies``: see ``wordings``. ``index``: posting lists of the chunks, so that only candidates are read."""
+def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, embedder: Embedder = hashed_ngrams, config: Config = CONFIG, index: DataFrame | None = None, replies: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_rank, doc_name, page, chunk_id, score, blend, is_context) of (query_id, question), best documents first. ``replies``: see ``wordings``. ``index``: posting lists of the chunks, so that only candidates are read. ``files`` (name): those that are still there; documents without a file are left out at the end."""
     live = chunks.filter("active").select("chunk_id", "doc_name", "page", "text")
     worded = wordings(questions, config.max_variants, replies, config.max_queries).withColumn("__v", -(F.col("query_id") * config.max_queries + F.col("no")) - 1)
     q = worded.select(F.col("__v").alias("query_id"), embedded(F.col("wording"), embedder).alias("embedding"))
@@ -69,13 +69,16 @@ def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     merged = kept(retrieval.merged(retrieval.merged(semantic, intended), keywords.lexical(live, tokens, config.fallback_per_doc, config.fallback_most, config.query_block, find)))
     terms = [p for phrases in lexicon.PHRASES.values() for p in phrases]
     has = sum((F.contains(F.lower("text"), F.lit(p)).cast("int") for p in terms), F.lit(0))
-    keys = questions.select("query_id", T.keywords(F.col("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys"))
-    marked = retrieval.with_overlap(merged, keys, live.withColumn("phrases", has), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)
+    written = lambda c: T.expanded_text(F.col(c), lexicon.SHORT_FORMS, lexicon.OWN_MISSPELLINGS)
+    keys = questions.select("query_id", T.keywords(written("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys"))
+    marked = retrieval.with_overlap(merged, keys, live.withColumn("phrases", has).withColumn("text", written("text")), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)
     ranked = retrieval.blended(marked, config.semantic_weight, config.overlap_cap)
     gated = gates.gated(ranked, questions, config.gate_per_doc, config.gate_score, config.gate_soft)
     capped = retrieval.ranked(gated, ("query_id", "doc_name"), F.desc("blend"), "chunk_id").filter(F.col("rn") <= config.hits_per_doc).drop("rn")
     capped = kept(capped)
     first = gates.kept_documents(capped, config.gate_score, config.relative_keep, config.max_docs)
+    if files is not None:
+        first = filenames.existing(first, files)
     order = retrieval.criteria_first(capped.join(first.select("query_id", "doc_name"), ["query_id", "doc_name"], "left_semi"))
     order = kept(order)
     direct = capped.join(order, ["query_id", "doc_name"]).select("query_id", "doc_rank", "doc_name", "page", "chunk_id", "score", "blend", F.lit(False).alias("is_context"))

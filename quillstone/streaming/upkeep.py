@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillstone.config import CONFIG, Config
-from quillstone.functions.embed import Embedder, embedded, hashed_ngrams
+from quillstone.functions.embed import Embedder, embedded, hashed_ngrams, retried
 from quillstone.operators import maintenance
 from quillstone.plans.ingest import ORDER, chunk_units
 from quillstone.sources import scratch
@@ -119,7 +119,7 @@ def publish(store: Store, changed: DataFrame, batch: int, embedder: Embedder = h
         if rows is not None:
             gone = now.filter(F.col("status") != NEW).select(F.col("filename").alias("doc_name"))
             retired = rows.filter("active").select("chunk_id", "doc_name").join(gone, "doc_name", "left_semi").select("chunk_id", F.lit(batch).cast("long").alias("deactivated_at"))
-        vectors = numbered.select("chunk_id", embedded(F.col("embed_text"), embedder, config.embed_chars).alias("embedding"))
+        vectors = numbered.select("chunk_id", embedded(F.col("embed_text"), retried(embedder, config.embed_tries, config.embed_wait), config.embed_chars).alias("embedding"))
         files = now.select("filename", "version", "sha256", (F.col("status") == REMOVED).alias("removed"), F.lit(after.number + 1).cast("long").alias("seq"))
         return {"chunks": numbered, "vectors": vectors, "retired": retired, "files": files}, after.next_id + numbered.count()
 
