@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quillstone import lexicon
 from quillstone.functions import text as T
-from quillstone.operators import replies, retrieval
+from quillstone.operators import intents, replies, retrieval
 from quillstone.operators.answers import any_of
-from quillstone.sources.scratch import if_small
+from quillstone.sources.scratch import if_small, kept, spread
 
 #: The order in which a question's intents are tried.
 INTENT_ORDER = ["definition", "schedule", "composition", "criteria", "complaint", "vision", "role"]
@@ -38,34 +38,28 @@ def context_radius(question: Column, wide: int = 2) -> Column:
     return F.when(any_of(F.lower(question), lexicon.CONTEXT_WORDS), F.lit(wide)).otherwise(F.lit(0))
 
 
-def by_intent(questions: DataFrame, units: DataFrame, phrases: dict[str, list[str]] | None = None, per_doc: int = 3, most: int = 80, definitions: int = 60) -> DataFrame:
+def by_intent(questions: DataFrame, units: DataFrame, phrases: dict[str, list[str]] | None = None, per_doc: int = 3, most: int = 80, definitions: int = 60, block: int = 5_000) -> DataFrame:
     """(query_id, chunk_id, score): chunks that speak of what a question wants, by its phrases and its keywords.
 
     ``units`` (chunk_id, doc_name, text; search_text if it counts). Definitions take chunks with a phrase (.70). Others score .40 and .05 a
     keyword up to .28, .62 at least with a phrase, and need: schedules, complaints, purposes and roles a phrase or a keyword; composition and criteria a phrase, or two keywords and one
     of the question's entities where it has any. Of a document the first ``per_doc`` chunks count, of a question the first ``most``. Questions without an
-    intent have none. Keywords meet tokens by an equi-join; phrases are looked up once a text.
+    intent have none. Every text is read once for all questions of a block (``intents``).
     """
     phrases = lexicon.PHRASES | {"schedule": lexicon.SCHEDULE_PHRASES, "definition": []} | (phrases or {})
     q = questions.select("query_id", wanted_intent(F.col("question")).alias("intent"), T.keywords(F.col("question"), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT, 12).alias("keys")).filter("intent is not null")
-    q = q.withColumn("entities", F.slice(F.filter("keys", lambda w: ~w.isin(lexicon.INTENT_WORDS)), 1, 10))
+    # the intents of a question are many patterns, and are used three times
+    q = kept(q.withColumn("entities", F.slice(F.filter("keys", lambda w: ~w.isin(lexicon.INTENT_WORDS)), 1, 10)))
     text = T.matching_text(F.col("text"), F.col("search_text") if "search_text" in units.columns else F.lit(None))
-    rows = units.select("chunk_id", "doc_name", T.normal_text(text).alias("__n"), F.array_distinct(T.overlap_tokens(text, lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT)).alias("__t"))
+    # few bytes a text, much work: the tokens of a text are made once, for keywords and phrases
+    rows = spread(units).select("chunk_id", "doc_name", T.normal_text(text).alias("__n"))
     has = [F.when(any_of(F.col("__n"), p), F.lit(name)) for name, p in phrases.items() if p]
-    rows = rows.select("chunk_id", "doc_name", F.array_compact(F.array(*has)).alias("__said"), "__t")
-    # a chunk meets a question through a keyword or through a phrase of its intent
-    asks = q.select("query_id", "intent", F.explode("keys").alias("__key"), "entities").withColumn("__entity", F.array_contains("entities", F.col("__key")))
-    counted = rows.select("chunk_id", F.explode("__t").alias("__key")).join(if_small(asks.drop("entities", "intent")), "__key").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("__entity").alias("n_entity"))
-    said = rows.select("chunk_id", F.explode("__said").alias("intent")).join(if_small(q.select("query_id", "intent")), "intent").select("query_id", "chunk_id", F.lit(True).alias("phrase"))
-    both = counted.join(said, ["query_id", "chunk_id"], "full").join(if_small(q.select("query_id", "intent", (F.size("entities") > 0).alias("named"))), "query_id")
-    both = both.select("query_id", "chunk_id", "intent", "named", F.coalesce("n_all", F.lit(0)).alias("n_all"), F.coalesce("n_entity", F.lit(0)).alias("n_entity"), F.coalesce("phrase", F.lit(False)).alias("phrase"))
-    loose = F.col("phrase") | (F.col("n_all") >= 1)
-    strict = F.col("phrase") | ((F.col("n_all") >= 2) & (~F.col("named") | (F.col("n_entity") >= 1)))
-    fits = F.when(F.col("intent") == "definition", F.col("phrase")).when(F.col("intent").isin("composition", "criteria"), strict).otherwise(loose)
+    tokens = F.array_distinct(T.stems(F.array_distinct(T.words_of(F.col("__n"))), lexicon.OVERLAP_STOP, lexicon.KEEP_SHORT))
+    rows = rows.select("chunk_id", "doc_name", tokens.alias("tokens"), F.array_compact(F.array(*has)).alias("said"))
+    found = intents.found(rows, q, per_doc, max(most, definitions), block).join(if_small(q.select("query_id", "intent")), "query_id")
     plain = F.lit(0.4) + F.least(F.lit(0.28), F.lit(0.05) * F.col("n_all"))
     score = F.when(F.col("intent") == "definition", F.lit(0.7)).when(F.col("phrase"), F.greatest(F.lit(0.62), plain)).otherwise(plain)
-    found = both.filter(fits).withColumn("score", F.round(score, 6)).join(units.select("chunk_id", "doc_name"), "chunk_id")
-    few = retrieval.ranked(found, ("query_id", "doc_name"), "chunk_id").filter(F.col("rn") <= per_doc).drop("rn")
+    few = retrieval.ranked(found.withColumn("score", F.round(score, 6)), ("query_id", "doc_name"), "chunk_id").filter(F.col("rn") <= per_doc).drop("rn")
     return retrieval.ranked(few, ("query_id",), "chunk_id").filter(F.col("rn") <= F.when(F.col("intent") == "definition", definitions).otherwise(most)).select("query_id", "chunk_id", "score")
 
 

@@ -65,7 +65,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     semantic = vectors.thresholded(best, config.variant_similarity, config.fallback_similarity, config.fallback_hits).withColumnRenamed("vec_id", "chunk_id")
     tokens = questions.select("query_id", T.query_words(F.col("question"), lexicon.QUERY_STOP).alias("toks"))
     find = keywords.scan if index is None else partial(postings.search, index)
-    intended = gates.by_intent(questions, live, per_doc=config.fallback_per_doc, most=config.fallback_most)
+    intended = gates.by_intent(questions, live, per_doc=config.fallback_per_doc, most=config.fallback_most, block=config.query_block)
     merged = kept(retrieval.merged(retrieval.merged(semantic, intended), keywords.lexical(live, tokens, config.fallback_per_doc, config.fallback_most, config.query_block, find)))
     terms = [p for phrases in lexicon.PHRASES.values() for p in phrases]
     has = sum((F.contains(F.lower("text"), F.lit(p)).cast("int") for p in terms), F.lit(0))
