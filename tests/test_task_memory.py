@@ -6,7 +6,7 @@ import pytest
 
 from quillstone.plans import catalog
 
-NAMED = ["keyword_semantic_fusion", "page_window_expand", "context_budget", "page_marks", "page_expand_sorted", "answer_thresholds", "citation_filter", "weak_documents"]
+NAMED = ["keyword_semantic_fusion", "page_window_expand", "context_budget", "page_marks", "page_expand_sorted", "answer_thresholds", "citation_filter", "weak_documents", "name_injection"]
 #: One product of 800 queries and an Arrow batch of 10,000 vectors is 64 MB.
 MOST = 48e6
 
