@@ -72,6 +72,25 @@ def numbered(new: DataFrame, first: int, order: list[str]) -> DataFrame:
     return running_sums(new, order, {"__before": F.lit(1).cast("long")}).withColumn("chunk_id", F.lit(first).cast("long") + F.col("__before")).drop("__before")
 
 
+#: Where a row lies: its partition in the upper bits, its number in that in the lower 33 (``monotonically_increasing_id``).
+PLACE, IN_PARTITION = "__place", 33
+
+
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows that were dealt out by range of the first columns of ``order``, sorted and with their places. They have to be kept before ``numbered_by_place``: made anew, they may lie elsewhere."""
+    return rows.sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id())
+
+
+def numbered_by_place(rows: DataFrame, first: int) -> DataFrame:
+    """Placed rows get consecutive ids from ``first``: those of ``numbered``, but no row moves, and one row per partition is joined to them."""
+    part = F.shiftrightunsigned(PLACE, IN_PARTITION)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    along = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    begins = sizes.select("__part", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__begin"))
+    at = F.lit(first).cast("long") + F.col("__begin") + F.col(PLACE).bitwiseAND(F.lit((1 << IN_PARTITION) - 1))
+    return rows.join(F.broadcast(begins), part == F.col("__part")).withColumn("chunk_id", at).drop(PLACE, "__part", "__begin")
+
+
 def with_next_ids(new: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """New rows get consecutive ids after the largest one, in the given order (nulls first)."""
     return numbered(new, rows.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0] + 1, order)

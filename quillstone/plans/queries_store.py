@@ -25,6 +25,7 @@ def store(spark, d) -> Store:
     for batch, arrivals in enumerate((first, second, third)):
         upkeep.publish(made, upkeep.batch_changes(arrivals, made.files(removed=True)), batch)
         made.compact()
+        made.expire(keep=1)  # nobody else reads this store
     return made
 
 

@@ -3,6 +3,7 @@
 A batch writes one segment: its own chunks and vectors, the ids of chunks that it retires, and its lines of the file
 manifest. Nothing that is there is rewritten. Readers put segments together: rows of all, less what any of them retires.
 ``compact`` merges ``fanout`` segments of a level into one of the next, so a row is rewritten as often as there are levels.
+A chunk's text lies on disk once: of columns that repeat it a segment holds what they add (``lean``), and readers get them whole.
 
 A generation is a small file that names its segments, created if absent under the next number, on any file system that Spark reaches.
 Of two publishers with the same parent one wins and the other gets ``Conflict``: it reads again and repeats its batch. The active
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.sources import bucketed, hadoop
-from quillstone.sources.scratch import if_small
+from quillstone.sources.scratch import if_small, written
 
 
 class Conflict(RuntimeError):
@@ -53,6 +54,46 @@ class Generation:
 TABLES = {"chunks": "rows", "retired": "retired", "vectors": "vectors", "files": "files"}
 
 
+#: Ids of chunks that are merged at a time: so many retired ones at most are sent to every task, and no text is dealt out for them.
+SPAN = 1 << 19
+
+#: Columns of chunks that repeat the text, and what a segment holds instead: what stands before it, or how much of it there is.
+ENDS_WITH_TEXT = {"embed_text": "__embed_before", "search_text": "__search_before"}
+BEGINS_TEXT = {"preview": "__preview_chars"}
+
+
+def lean(rows: DataFrame) -> DataFrame:
+    """Chunks as a segment holds them. A column that does not repeat the text of its row stays in that row as it is."""
+    text, made = F.col("text") if "text" in rows.columns else None, {}
+    for c, short in ENDS_WITH_TEXT.items() if text is not None else ():
+        if c in rows.columns:
+            before = F.substr(c, F.lit(1), F.length(c) - F.length(text))
+            same = F.concat(before, text) == F.col(c)
+            made |= {c: F.when(same, F.lit(None).cast("string")).otherwise(F.col(c)), short: F.when(same, before)}
+    for c, short in BEGINS_TEXT.items() if text is not None else ():
+        if c in rows.columns:
+            same = F.left(text, F.length(c)) == F.col(c)
+            made |= {c: F.when(same, F.lit(None).cast("string")).otherwise(F.col(c)), short: F.when(same, F.length(c))}
+    return rows.withColumns(made) if made else rows
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Chunks with the columns that ``lean`` took apart."""
+    made = {c: F.coalesce(c, F.concat(short, "text")) for c, short in ENDS_WITH_TEXT.items() if short in rows.columns}
+    made |= {c: F.coalesce(F.col(c), F.left("text", F.col(short))) for c, short in BEGINS_TEXT.items() if short in rows.columns}
+    return rows.withColumns(made).drop(*ENDS_WITH_TEXT.values(), *BEGINS_TEXT.values()) if made else rows
+
+
+def with_retired(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Chunks, those of ``gone`` (chunk_id, __at) inactive."""
+    made = {"deactivated_at": F.coalesce("deactivated_at", "__at"), "active": F.col("active") & F.col("__at").isNull()}
+    return rows.join(gone, "chunk_id", "left").withColumns(made).select(*rows.columns)
+
+
+def without_retired(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    return vectors.join(gone, "chunk_id", "left_anti")
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -96,27 +137,24 @@ class Store:
     def table(self, name: str, of: tuple[Segment, ...]) -> DataFrame | None:
         """One scan over the segments that hold the table; None if none does."""
         paths = [self.path(s.id, name) for s in of if getattr(s, TABLES[name])]
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+        found = self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+        return whole(found) if found is not None and name == "chunks" else found
 
     def retired(self, of: tuple[Segment, ...]) -> DataFrame | None:
         found = self.table("retired", of)
-        return None if found is None else if_small(found.groupBy("chunk_id").agg(F.min("deactivated_at").alias("__at")))
+        return None if found is None else found.groupBy("chunk_id").agg(F.min("deactivated_at").alias("__at"))
 
     def chunks(self, at: Generation | None = None) -> DataFrame | None:
         """All rows, retired ones inactive, from the segments as they lie."""
         g = at or self.current()
         rows, gone = self.table("chunks", g.segments), self.retired(g.segments)
-        if rows is None or gone is None:
-            return rows
-        hit = rows.join(gone, "chunk_id", "left")
-        made = {"deactivated_at": F.coalesce("deactivated_at", "__at"), "active": F.col("active") & F.col("__at").isNull()}
-        return hit.withColumns(made).select(*rows.columns)
+        return rows if rows is None or gone is None else with_retired(rows, if_small(gone))
 
     def vectors(self, at: Generation | None = None) -> DataFrame | None:
         """Vectors of chunks that are not retired."""
         g = at or self.current()
         rows, gone = self.table("vectors", g.segments), self.retired(g.segments)
-        return rows if rows is None or gone is None else rows.join(gone, "chunk_id", "left_anti")
+        return rows if rows is None or gone is None else without_retired(rows, if_small(gone))
 
     def files(self, at: Generation | None = None, removed: bool = False) -> DataFrame | None:
         """(filename, version, sha256): the last line of each file; of removed ones too if asked for."""
@@ -128,12 +166,15 @@ class Store:
 
     # ---- writing
 
-    def write(self, tables: dict[str, DataFrame | None], level: int, batches: tuple[int, ...]) -> Segment:
-        """A new segment; empty tables leave no folder behind that anybody reads."""
+    def write(self, tables: dict[str, DataFrame | list[DataFrame] | None], level: int, batches: tuple[int, ...]) -> Segment:
+        """A new segment; a table that comes in parts is written part by part. Empty tables leave no folder behind that anybody reads."""
         made = Segment(uuid.uuid4().hex, level, 0, 0, 0, 0, batches)
-        for name, df in tables.items():
-            if df is not None:
-                df.write.parquet(self.path(made.id, name))
+        for name, given in tables.items():
+            parts = given if isinstance(given, list) else [] if given is None else [given]
+            for i, df in enumerate(parts):
+                df = lean(df) if name == "chunks" else df
+                written(df, self.path(made.id, name), more=i > 0)
+            if parts:
                 made = replace(made, **{TABLES[name]: self.spark.read.schema(df.schema).parquet(self.path(made.id, name)).count()})
         return made
 
@@ -151,6 +192,15 @@ class Store:
                     raise
         raise AssertionError("no tries")
 
+    def merged(self, name: str, of: tuple[Segment, ...], less: Callable[[DataFrame, DataFrame], DataFrame]) -> list[DataFrame] | None:
+        """Chunks or vectors of some segments, after ``less`` took account of the ids that these retire: in parts of SPAN ids, to be written one after another."""
+        rows, gone = self.table(name, of), self.retired(of)
+        if rows is None or gone is None:
+            return None if rows is None else [rows]
+        low, high = rows.agg(F.coalesce(F.min("chunk_id"), F.lit(0)), F.coalesce(F.max("chunk_id"), F.lit(0))).first()
+        spans = [F.col("chunk_id").between(i, i + SPAN - 1) for i in range(low, high + 1, SPAN)]
+        return [less(rows.filter(s), F.broadcast(gone.filter(s))) for s in spans]
+
     def compact(self) -> Generation:
         """Merge segments until no level has ``fanout`` of them. Retired rows stay as inactive ones, their vectors go, of manifest lines the last of a file stays."""
         while True:
@@ -159,11 +209,10 @@ class Store:
             if level is None:
                 return now
             mine = tuple(s for s in now.segments if s.level == level)
-            only = replace(now, segments=mine)
             gone, rows, files = self.table("retired", mine), self.table("chunks", mine), self.table("files", mine)
             elsewhere = gone if gone is None or rows is None else gone.join(rows.select("chunk_id"), "chunk_id", "left_anti")
             files = None if files is None else files.groupBy("filename").agg(F.max_by(F.struct("version", "sha256", "removed", "seq"), F.col("seq")).alias("f")).select("filename", "f.*")
-            merged = self.write({"chunks": self.chunks(only), "vectors": self.vectors(only), "retired": elsewhere, "files": files}, level + 1, tuple(b for s in mine for b in s.batches))
+            merged = self.write({"chunks": self.merged("chunks", mine, with_retired), "vectors": self.merged("vectors", mine, without_retired), "retired": elsewhere, "files": files}, level + 1, tuple(b for s in mine for b in s.batches))
             self.commit(now, (merged, *(s for s in now.segments if s.level != level)), now.next_id)
 
     def serve(self, buckets: int) -> tuple[DataFrame, DataFrame]:

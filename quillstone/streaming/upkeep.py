@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,8 @@ from quillstone.config import CONFIG, Config
 from quillstone.functions.embed import Embedder, embedded, hashed_ngrams, retried
 from quillstone.operators import maintenance
 from quillstone.plans.ingest import ORDER, chunk_units
-from quillstone.sources import scratch
-from quillstone.sources.scratch import kept
-from quillstone.sources.segments import Generation, Store
+from quillstone.sources.scratch import brief
+from quillstone.sources.segments import Generation, Store, lean, whole
 from quillstone.streaming.indexer import ARRIVAL
 
 CHANGES = "filename string, version long, status string, sha256 string, units array<struct<page:long,text:string>>"
@@ -107,23 +107,29 @@ def batch_changes(arrivals: DataFrame, files: DataFrame | None) -> DataFrame:
 def publish(store: Store, changed: DataFrame, batch: int, embedder: Embedder = hashed_ngrams, config: Config = CONFIG) -> Generation:
     """Add CHANGES as one segment: chunks and vectors of new and changed files, ids that changed and removed ones retire, and their manifest lines.
 
-    What is written grows with the batch; of the store's rows, names and ids are read to find what retires.
+    What is written grows with the batch; of the store's rows, names and ids are read to find what retires. Units are kept until they
+    are chunks, and chunks until they are a segment. Units are dealt out by range of their names, so that chunks lie in the order of their ids.
     """
-    now = kept(changed)
-
-    def make(after: Generation) -> tuple[dict[str, DataFrame | None], int]:
-        units = now.filter(F.col("status") != REMOVED).select(F.col("filename").alias("doc_name"), F.inline("units"))
-        made = kept(chunk_units(units, config))
-        numbered = kept(maintenance.numbered(made, after.next_id, ORDER))
-        rows, retired = store.chunks(after), None
-        if rows is not None:
-            gone = now.filter(F.col("status") != NEW).select(F.col("filename").alias("doc_name"))
-            retired = rows.filter("active").select("chunk_id", "doc_name").join(gone, "doc_name", "left_semi").select("chunk_id", F.lit(batch).cast("long").alias("deactivated_at"))
-        vectors = numbered.select("chunk_id", embedded(F.col("embed_text"), retried(embedder, config.embed_tries, config.embed_wait), config.embed_chars).alias("embedding"))
-        files = now.select("filename", "version", "sha256", (F.col("status") == REMOVED).alias("removed"), F.lit(after.number + 1).cast("long").alias("seq"))
-        return {"chunks": numbered, "vectors": vectors, "retired": retired, "files": files}, after.next_id + numbered.count()
-
-    return store.publish(batch, make)
+    tasks = int(changed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with ExitStack() as held:
+        with brief(changed) as now:
+            if batch in (there := store.current()).batches:
+                return there
+            lines = held.enter_context(brief(now.drop("units")))
+            units = now.filter(F.col("status") != REMOVED).select(F.col("filename").alias("doc_name"), F.inline("units")).repartitionByRange(tasks, "doc_name", "page")
+            made = held.enter_context(brief(maintenance.placed(lean(chunk_units(units, config)), ORDER)))
+
+        def make(after: Generation) -> tuple[dict[str, DataFrame | None], int]:
+            numbered = whole(maintenance.numbered_by_place(made, after.next_id))
+            rows, retired = store.chunks(after), None
+            if rows is not None:
+                gone = lines.filter(F.col("status") != NEW).select(F.col("filename").alias("doc_name"))
+                retired = rows.filter("active").select("chunk_id", "doc_name").join(gone, "doc_name", "left_semi").select("chunk_id", F.lit(batch).cast("long").alias("deactivated_at"))
+            vectors = numbered.select("chunk_id", embedded(F.col("embed_text"), retried(embedder, config.embed_tries, config.embed_wait), config.embed_chars).alias("embedding"))
+            files = lines.select("filename", "version", "sha256", (F.col("status") == REMOVED).alias("removed"), F.lit(after.number + 1).cast("long").alias("seq"))
+            return {"chunks": numbered, "vectors": vectors, "retired": retired, "files": files}, after.next_id + made.count()
+
+        return store.publish(batch, make)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -137,10 +143,8 @@ def run(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: b
     prepare(spark)
 
     def add(df: DataFrame, i: int) -> None:
-        begin = scratch.mark()
         publish(store, df, i)
         store.compact()
-        scratch.clear(spark, begin)
 
     writer = changes(spark.readStream.schema(ARRIVAL).json(folder), keep_removed).writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="30 seconds").start()
